@@ -21,6 +21,7 @@ from vigilo.operators import explore as X
 from vigilo.operators import reshape as R
 from vigilo.operators import sampling as S
 from vigilo.plans import sample as P
+from vigilo.plans.materialize import materialized_sample, materialized_split
 from vigilo.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,7 +42,7 @@ def _reports_text(spark, sf):
 
 
 def _split(spark, sf):
-    return P.build_split(spark, sf)
+    return materialized_split(spark, sf)
 
 
 def _test_rows(spark, sf):
@@ -92,7 +93,7 @@ def q_normalise_alias(spark, sf):
 @register("fill_unknown", O.base() + " SELECT VAERS_ID, " + ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in C.CAT_FEATURES) + " FROM sample_base")
 def q_fill_unknown(spark, sf):
-    s = P.build_sample(spark, sf)
+    s = materialized_sample(spark, sf)
     return s.select(C.KEY, *[fill_unknown(c).alias(c) for c in C.CAT_FEATURES])
 
 
@@ -168,7 +169,7 @@ def q_left_join_dim(spark, sf):
 
 @register("stratified_sample", O.base(O.flags_ctes()) + " SELECT * FROM sample_wide")
 def q_stratified_sample(spark, sf):
-    return P.build_sample(spark, sf)
+    return materialized_sample(spark, sf)
 
 
 @register("stratified_split", O.base() + " SELECT VAERS_ID, DIED, split FROM split_base")
@@ -209,23 +210,23 @@ def _rate_sql(key: str, min_n: int | None, digits: int, src: str = "sample_base"
 
 @register("rate_by_sex", O.base() + _rate_sql("SEX", C.MIN_SUPPORT["SEX"], 2))
 def q_rate_by_sex(spark, sf):
-    return X.rate_table(P.build_sample(spark, sf), "SEX", C.MIN_SUPPORT["SEX"])
+    return X.rate_table(materialized_sample(spark, sf), "SEX", C.MIN_SUPPORT["SEX"])
 
 
 @register("rate_by_manufacturer", O.base() + _rate_sql("VAX_MANU", C.MIN_SUPPORT["VAX_MANU"], 2))
 def q_rate_by_manufacturer(spark, sf):
-    return X.rate_table(P.build_sample(spark, sf), "VAX_MANU", C.MIN_SUPPORT["VAX_MANU"])
+    return X.rate_table(materialized_sample(spark, sf), "VAX_MANU", C.MIN_SUPPORT["VAX_MANU"])
 
 
 @register("rate_by_dose", O.base() + _rate_sql("VAX_DOSE_SERIES", C.MIN_SUPPORT["VAX_DOSE_SERIES"], 2))
 def q_rate_by_dose(spark, sf):
-    return X.rate_table(P.build_sample(spark, sf), "VAX_DOSE_SERIES",
+    return X.rate_table(materialized_sample(spark, sf), "VAX_DOSE_SERIES",
                         C.MIN_SUPPORT["VAX_DOSE_SERIES"], order="key")
 
 
 @register("rate_by_state", O.base() + _rate_sql("STATE", C.MIN_SUPPORT["STATE"], 3))
 def q_rate_by_state(spark, sf):
-    return X.rate_table(P.build_sample(spark, sf), "STATE", C.MIN_SUPPORT["STATE"], digits=3)
+    return X.rate_table(materialized_sample(spark, sf), "STATE", C.MIN_SUPPORT["STATE"], digits=3)
 
 
 def _category_sql(key: str) -> str:
@@ -236,18 +237,18 @@ def _category_sql(key: str) -> str:
 
 @register("rate_by_category", _category_sql("STATE"))
 def q_rate_by_category(spark, sf):
-    return X.rate_by_category(P.build_sample(spark, sf), "STATE")
+    return X.rate_by_category(materialized_sample(spark, sf), "STATE")
 
 
 @register("category_counts", _category_sql("VAX_MANU"))
 def q_category_counts(spark, sf):
-    return X.category_counts(P.build_sample(spark, sf), "VAX_MANU")
+    return X.category_counts(materialized_sample(spark, sf), "VAX_MANU")
 
 
 @register("rate_by_flag", O.base(f"t AS ({_rate_sql('HOSPITAL', None, 2, drop_null=False)})") +
           " SELECT *, CASE WHEN HOSPITAL = 1 THEN 'Yes' WHEN HOSPITAL = 0 THEN 'No / Not Reported' END AS label FROM t")
 def q_rate_by_flag(spark, sf):
-    return X.rate_by_flag(P.build_sample(spark, sf), "HOSPITAL")
+    return X.rate_by_flag(materialized_sample(spark, sf), "HOSPITAL")
 
 
 @register("risk_ratio", O.base(f"t AS ({_rate_sql('L_THREAT', None, 2, drop_null=False)})") + """
@@ -256,7 +257,7 @@ def q_rate_by_flag(spark, sf):
         max(CASE WHEN L_THREAT = 1 THEN rate_pct END) / greatest(max(CASE WHEN L_THREAT = 0 THEN rate_pct END), CAST(0.001 AS DOUBLE)) AS ratio
  FROM t""")
 def q_risk_ratio(spark, sf):
-    return X.risk_ratio(P.build_sample(spark, sf), "L_THREAT")
+    return X.risk_ratio(materialized_sample(spark, sf), "L_THREAT")
 
 
 @register("kpi_summary", O.base() + """
@@ -266,7 +267,7 @@ def q_risk_ratio(spark, sf):
         (SELECT count(DISTINCT name) FROM (SELECT """ + O.safe("SYMPTOM") + """ AS name FROM top_terms)) AS n_flags
  FROM sample_base""")
 def q_kpi_summary(spark, sf):
-    return X.kpi_summary(P.build_sample(spark, sf))
+    return X.kpi_summary(materialized_sample(spark, sf))
 
 
 @register("flag_totals_top15", O.base(
@@ -279,7 +280,7 @@ def q_kpi_summary(spark, sf):
  UNION ALL
  SELECT replace(regexp_replace(name, '^SYM_', ''), '_', ' ') AS Symptom, 'Deaths' AS "Group", CAST(deaths AS BIGINT) AS Count FROM top""")
 def q_flag_totals_top15(spark, sf):
-    return X.flag_totals_top15(P.build_sample(spark, sf))
+    return X.flag_totals_top15(materialized_sample(spark, sf))
 
 
 @register("monthly_volume", O.base(
@@ -288,7 +289,7 @@ def q_flag_totals_top15(spark, sf):
  SELECT c.*, CASE WHEN DIED = 1 THEN 'Died' WHEN DIED = 0 THEN 'Survived' END AS Outcome
  FROM c SEMI JOIN m ON c.RECV_YEAR_MONTH = m.RECV_YEAR_MONTH""")
 def q_monthly_volume(spark, sf):
-    return X.monthly_volume(P.build_sample(spark, sf))
+    return X.monthly_volume(materialized_sample(spark, sf))
 
 
 def _corr_sql() -> str:
@@ -302,7 +303,7 @@ def _corr_sql() -> str:
 
 @register("corr_matrix", _corr_sql())
 def q_corr_matrix(spark, sf):
-    return X.corr_matrix(P.build_sample(spark, sf))
+    return X.corr_matrix(materialized_sample(spark, sf))
 
 
 @register("histogram_by_label", O.base(
@@ -311,7 +312,7 @@ def q_corr_matrix(spark, sf):
    SELECT CAST(least(floor((AGE_YRS - lo) / w), {C.AGE_BINS - 1}) AS INTEGER) AS bin, DIED, count(*) AS n, any_value(lo) AS lo, any_value(w) AS w
    FROM sample_base, b WHERE AGE_YRS IS NOT NULL GROUP BY 1, 2)""")
 def q_histogram_by_label(spark, sf):
-    return X.histogram_by_label(P.build_sample(spark, sf), "AGE_YRS", C.AGE_BINS)
+    return X.histogram_by_label(materialized_sample(spark, sf), "AGE_YRS", C.AGE_BINS)
 
 
 def _box_sql(src_cte: str, value: str, group: str) -> str:
@@ -329,7 +330,7 @@ def _box_sql(src_cte: str, value: str, group: str) -> str:
     "src AS (SELECT NUMDAYS, CASE WHEN DIED = 1 THEN 'Died' WHEN DIED = 0 THEN 'Survived' END AS Outcome FROM sample_base)",
     "NUMDAYS", "Outcome"))
 def q_box_stats(spark, sf):
-    return X.lag_box(P.build_sample(spark, sf))
+    return X.lag_box(materialized_sample(spark, sf))
 
 
 OUTCOME_UNION = " UNION ALL ".join(
@@ -339,12 +340,12 @@ OUTCOME_UNION = " UNION ALL ".join(
 
 @register("outcome_unpivot", O.base() + " " + OUTCOME_UNION)
 def q_outcome_unpivot(spark, sf):
-    return R.outcome_unpivot(P.build_sample(spark, sf), "AGE_YRS")
+    return R.outcome_unpivot(materialized_sample(spark, sf), "AGE_YRS")
 
 
 @register("box_stats_outcomes", _box_sql(f"src AS ({OUTCOME_UNION})", "AGE_YRS", "Outcome"))
 def q_box_stats_outcomes(spark, sf):
-    return X.age_box_by_outcomes(P.build_sample(spark, sf))
+    return X.age_box_by_outcomes(materialized_sample(spark, sf))
 
 
 DECILE_LIST = "[" + ", ".join(repr(p) for p in X.DECILES) + "]"
@@ -359,14 +360,14 @@ DECILE_LIST = "[" + ", ".join(repr(p) for p in X.DECILES) + "]"
         {O.rnd('avg(DIED) * 100', 2)} AS rate_pct
  FROM b GROUP BY bucket""")
 def q_decile_rate(spark, sf):
-    return X.decile_rate(P.build_sample(spark, sf), "AGE_YRS")
+    return X.decile_rate(materialized_sample(spark, sf), "AGE_YRS")
 
 
 @register("label_location_stats", O.base() + f"""
  SELECT DIED, {O.r6('avg(AGE_YRS)')} AS mean, {O.r6('quantile_cont(AGE_YRS, 0.5)')} AS median
  FROM sample_base WHERE AGE_YRS IS NOT NULL GROUP BY DIED""")
 def q_label_location_stats(spark, sf):
-    return X.label_location_stats(P.build_sample(spark, sf), "AGE_YRS")
+    return X.label_location_stats(materialized_sample(spark, sf), "AGE_YRS")
 
 
 def _profile_sql(median_cols_sql: str, mode_num_sql: str | None) -> str:
@@ -407,7 +408,7 @@ def q_profile_row_mode_flags(spark, sf):
 
 @register("distinct_sorted", O.base() + " SELECT DISTINCT VAX_MANU FROM sample_base WHERE VAX_MANU IS NOT NULL")
 def q_distinct_sorted(spark, sf):
-    return X.distinct_sorted(P.build_sample(spark, sf), "VAX_MANU")
+    return X.distinct_sorted(materialized_sample(spark, sf), "VAX_MANU")
 
 
 @register("linear_grid", O.base(
@@ -417,3 +418,164 @@ def q_distinct_sorted(spark, sf):
  FROM q, range(0, {C.GRID_POINTS}) r(i)""")
 def q_linear_grid(spark, sf):
     return X.linear_grid(_test_rows(spark, sf), "AGE_YRS")
+
+
+# ---------------------------------------------------------------- evaluation
+# Checked on fixed-formula scores (plans/formula.py) so SQL can follow;
+# the same functions evaluate the fitted Spark ML models (see models.py).
+
+from vigilo.operators import evaluate as E  # noqa: E402
+from vigilo.plans.formula import formula_scores, formula_sql  # noqa: E402
+
+
+def _scored(spark, sf, split="test"):
+    return formula_scores(_split(spark, sf).where(F.col("split") == split))
+
+
+SCORED_TEST = f"scored AS ({formula_sql(chr(10) + 'split_base WHERE split = ' + repr('test'))})"
+SCORED_TRAIN = f"scored AS ({formula_sql(chr(10) + 'split_base WHERE split = ' + repr('train'))})"
+
+
+def _cm_sql(g: str) -> str:
+    return (f"SELECT {g}, count(*) FILTER (WHERE y = 0 AND pred = 0) AS tn, count(*) FILTER (WHERE y = 0 AND pred = 1) AS fp, "
+            f"count(*) FILTER (WHERE y = 1 AND pred = 0) AS fn, count(*) FILTER (WHERE y = 1 AND pred = 1) AS tp "
+            f"FROM scored GROUP BY {g}")
+
+
+def _div0(a: str, b: str) -> str:
+    return f"(CASE WHEN ({b}) = 0 THEN CAST(0 AS DOUBLE) ELSE ({a}) / ({b}) END)"
+
+
+def _metrics_sql(g: str) -> str:
+    return (f"SELECT {g}, {O.r6('(tp + tn) / (tp + tn + fp + fn)')} AS accuracy, {O.r6(_div0('tp', 'tp + fp'))} AS precision, "
+            f"{O.r6(_div0('tp', 'tp + fn'))} AS recall, {O.r6(_div0('2 * tp', '2 * tp + fp + fn'))} AS f1, "
+            f"{O.r6(_div0('tn', 'tn + fp'))} AS specificity FROM ({_cm_sql(g)})")
+
+
+def _cum_sql(g: str) -> str:
+    return f"""steps AS (SELECT {g}, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM scored GROUP BY {g}, p),
+cum AS (SELECT *, sum(pos) OVER w AS pos_cum, sum(neg) OVER w AS neg_cum,
+               sum(pos) OVER (PARTITION BY {g}) AS n_pos, sum(neg) OVER (PARTITION BY {g}) AS n_neg
+        FROM steps WINDOW w AS (PARTITION BY {g} ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))"""
+
+
+def _ranking_sql(g: str) -> str:
+    auc = "sum(neg * (pos_cum - pos + pos / 2)) / (CAST(any_value(n_pos) AS DOUBLE) * any_value(n_neg))"
+    return (f"SELECT {g}, {O.r6(f'CASE WHEN any_value(n_pos) > 0 AND any_value(n_neg) > 0 THEN {auc} END')} AS roc_auc, "
+            f"{O.r6('CASE WHEN any_value(n_pos) > 0 THEN sum(pos * (pos_cum / (pos_cum + neg_cum))) / any_value(n_pos) END')} "
+            f"AS avg_precision FROM cum GROUP BY {g}")
+
+
+LOGLOSS_SQL = ("SELECT model, " + O.r6("avg(-(y * ln(pc) + (1 - y) * ln(1 - pc)))") + " AS log_loss_val FROM "
+               "(SELECT *, least(greatest(p, 1e-15), 1 - 1e-15) AS pc FROM scored) GROUP BY model")
+TEST_METRICS_SQL = (f"tm AS (SELECT * FROM ({_metrics_sql('model')}) a JOIN ({_ranking_sql('model')}) b USING (model) "
+                    f"JOIN ({LOGLOSS_SQL}) c USING (model))")
+LABEL_SQL = ("(CASE model " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in C.MODEL_LABELS.items())
+             + " ELSE array_to_string(list_transform(string_split(replace(model, '_', ' '), ' '), "
+               "lambda w: upper(w[1]) || lower(w[2:])), ' ') END)")
+
+
+@register("confusion", O.base(SCORED_TEST) + " " + _cm_sql("model"))
+def q_confusion(spark, sf):
+    return E.confusion(_scored(spark, sf))
+
+
+@register("class_metrics", O.base(SCORED_TEST) + " " + _metrics_sql("model"))
+def q_class_metrics(spark, sf):
+    return E.class_metrics(_scored(spark, sf))
+
+
+@register("roc_auc", O.base(SCORED_TEST, _cum_sql("model")) + " SELECT model, roc_auc FROM (" + _ranking_sql("model") + ")")
+def q_roc_auc(spark, sf):
+    return E.ranking_metrics(_scored(spark, sf)).select("model", "roc_auc")
+
+
+@register("average_precision", O.base(SCORED_TEST, _cum_sql("model")) + " SELECT model, avg_precision FROM (" + _ranking_sql("model") + ")")
+def q_average_precision(spark, sf):
+    return E.ranking_metrics(_scored(spark, sf)).select("model", "avg_precision")
+
+
+@register("log_loss", O.base(SCORED_TEST) + " " + LOGLOSS_SQL)
+def q_log_loss(spark, sf):
+    return E.log_loss(_scored(spark, sf))
+
+
+@register("roc_points", O.base(SCORED_TEST, _cum_sql("model"), """idx AS (
+  SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY model) AS last_i,
+         lead(pos) OVER w AS npos, lead(neg) OVER w AS nneg FROM cum WINDOW w AS (PARTITION BY model ORDER BY p DESC))""") + f"""
+ SELECT model, {O.r6('neg_cum / n_neg')} AS fpr, {O.r6('pos_cum / n_pos')} AS tpr, {O.r6('p')} AS threshold FROM idx
+ WHERE i = 1 OR i = last_i OR npos <> pos OR nneg <> neg
+ UNION ALL SELECT DISTINCT model, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM steps""")
+def q_roc_points(spark, sf):
+    return E.roc_points(_scored(spark, sf))
+
+
+@register("pr_points", O.base(SCORED_TEST, _cum_sql("model")) + f"""
+ SELECT model, {O.r6('pos_cum / (pos_cum + neg_cum)')} AS precision, {O.r6('pos_cum / n_pos')} AS recall, {O.r6('p')} AS threshold
+ FROM cum WHERE pos_cum - pos < n_pos
+ UNION ALL SELECT DISTINCT model, CAST(1 AS DOUBLE), CAST(0 AS DOUBLE), CAST(NULL AS DOUBLE) FROM steps""")
+def q_pr_points(spark, sf):
+    return E.pr_points(_scored(spark, sf))
+
+
+FOLDS_SQL = ("folds AS (UNPIVOT (SELECT * EXCLUDE (specificity, avg_precision) FROM (" + _metrics_sql("model, fold")
+             + ") a JOIN (" + _ranking_sql("model, fold") + ") b USING (model, fold)) "
+             "ON accuracy, precision, recall, f1, roc_auc INTO NAME metric VALUE value)")
+
+
+@register("cv_scores", O.base(SCORED_TRAIN, _cum_sql("model, fold"), FOLDS_SQL) + " SELECT * FROM folds")
+def q_cv_scores(spark, sf):
+    return E.fold_scores(_scored(spark, sf, "train"))
+
+
+@register("cv_summary", O.base(SCORED_TRAIN, _cum_sql("model, fold"), FOLDS_SQL) +
+          f" SELECT model, metric, {O.r6('avg(value)')} AS mean, {O.r6('stddev_pop(value)')} AS std FROM folds GROUP BY model, metric")
+def q_cv_summary(spark, sf):
+    return E.cv_summary(E.fold_scores(_scored(spark, sf, "train")))
+
+
+@register("cv_box")
+def q_cv_box(spark, sf):
+    return E.cv_box(E.fold_scores(_scored(spark, sf, "train")))
+
+
+SQL["cv_box"] = (O.base(SCORED_TRAIN, _cum_sql("model, fold"), FOLDS_SQL,
+                        "src AS (SELECT model, value FROM folds WHERE metric = 'roc_auc')",
+                        """q AS (SELECT model, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median,
+              quantile_cont(value, 0.75) AS q3 FROM src GROUP BY model)""") + f"""
+ SELECT s.model, count(*) AS n, {O.r6('any_value(q.q1)')} AS q1, {O.r6('any_value(q.median)')} AS median, {O.r6('any_value(q.q3)')} AS q3,
+        min(CASE WHEN s.value >= q.q1 - (q.q3 - q.q1) * 1.5 THEN s.value END) AS whisker_lo,
+        max(CASE WHEN s.value <= q.q3 + (q.q3 - q.q1) * 1.5 THEN s.value END) AS whisker_hi,
+        min(s.value) AS min, max(s.value) AS max
+ FROM src s JOIN q ON s.model = q.model GROUP BY s.model""")
+
+
+@register("test_metrics", O.base(SCORED_TEST, _cum_sql("model"), TEST_METRICS_SQL) + " SELECT * EXCLUDE (specificity) FROM tm")
+def q_test_metrics(spark, sf):
+    return E.test_metrics(_scored(spark, sf))
+
+
+@register("leaderboard", O.base(SCORED_TEST, _cum_sql("model"), TEST_METRICS_SQL) + " SELECT " + LABEL_SQL + " AS Model, "
+          + ", ".join(f"{O.rnd(c, 4)} AS {c}" for c in
+                      ["roc_auc", "avg_precision", "f1", "precision", "recall", "accuracy", "log_loss_val"]) + " FROM tm")
+def q_leaderboard(spark, sf):
+    return E.leaderboard(E.test_metrics(_scored(spark, sf)))
+
+
+@register("best_model", O.base(SCORED_TEST, _cum_sql("model"), TEST_METRICS_SQL) +
+          " SELECT model AS best_model, roc_auc AS best_auc FROM tm ORDER BY roc_auc DESC, model ASC LIMIT 1")
+def q_best_model(spark, sf):
+    return E.best_model(E.test_metrics(_scored(spark, sf)))
+
+
+@register("metric_bars", O.base(SCORED_TEST, _cum_sql("model"), TEST_METRICS_SQL) +
+          " SELECT " + LABEL_SQL + " AS Model, 'roc_auc' AS metric, roc_auc AS value FROM tm UNION ALL SELECT "
+          + LABEL_SQL + " AS Model, 'f1' AS metric, f1 AS value FROM tm")
+def q_metric_bars(spark, sf):
+    return E.metric_bars(E.test_metrics(_scored(spark, sf)))
+
+
+@register("label_lookup", O.base(SCORED_TEST) + " SELECT DISTINCT model, " + LABEL_SQL + " AS Model FROM scored")
+def q_label_lookup(spark, sf):
+    from vigilo.functions.clean import model_label
+    return _scored(spark, sf).select("model").distinct().select("model", model_label("model").alias("Model"))

@@ -34,7 +34,7 @@ def get_spark(master: str | None = None, app: str = "vigilo",
         .config("spark.driver.memory", os.environ.get("VIGILO_DRIVER_MEMORY", "16g"))
     )
     spark = builder.getOrCreate()
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("FATAL")
     ensure_checkpoint_dir(spark)
     return spark
 
