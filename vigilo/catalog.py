@@ -579,3 +579,138 @@ def q_metric_bars(spark, sf):
 def q_label_lookup(spark, sf):
     from vigilo.functions.clean import model_label
     return _scored(spark, sf).select("model").distinct().select("model", model_label("model").alias("Model"))
+
+
+# ---------------------------------------------------------------- features (M1–M8)
+
+from vigilo.plans import features as FT  # noqa: E402
+from vigilo.plans import models as M  # noqa: E402
+from vigilo.plans import workflow as WF  # noqa: E402
+from vigilo.functions.clean import r6  # noqa: E402
+
+TRAIN = "split_base WHERE split = 'train'"
+NUM_LIST = ", ".join(C.NUM_FEATURES)
+MED_SQL = (f"tr_num AS (SELECT {NUM_LIST} FROM {TRAIN}), med AS (SELECT feature, quantile_cont(v, 0.5) AS med FROM (UNPIVOT (SELECT {NUM_LIST} FROM {TRAIN}) "
+           f"ON {NUM_LIST} INTO NAME feature VALUE v) GROUP BY feature)")
+STD_SQL = (f"std AS (SELECT l.feature, avg(coalesce(l.v, m.med)) AS mean, "
+           f"CASE WHEN coalesce(stddev_pop(coalesce(l.v, m.med)), 0) = 0 THEN 1 ELSE stddev_pop(coalesce(l.v, m.med)) END AS std "
+           f"FROM (SELECT * FROM tr_num UNPIVOT INCLUDE NULLS (v FOR feature IN ({NUM_LIST}))) l "
+           f"JOIN med m ON l.feature = m.feature GROUP BY l.feature)")
+CAT_FILLED = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in C.CAT_FEATURES)
+CAT_LIST = ", ".join(C.CAT_FEATURES)
+KEPT_SQL = (f"kept AS (SELECT feature, category FROM (SELECT feature, category, row_number() OVER "
+            f"(PARTITION BY feature ORDER BY category) AS r FROM (SELECT DISTINCT feature, category FROM "
+            f"(UNPIVOT (SELECT {CAT_FILLED} FROM {TRAIN}) ON {CAT_LIST} INTO NAME feature VALUE category))) WHERE r > 1)")
+
+
+def _prep_model(spark, sf):
+    return WF.fitted(spark, sf, "logistic").stages[0]
+
+
+@register("impute_median", O.base(MED_SQL) + f" SELECT feature, {O.r6('med')} AS median FROM med")
+def q_impute_median(spark, sf):
+    pm = _prep_model(spark, sf)
+    rows = list(zip(pm.getOrDefault("numCols"), pm.getOrDefault("medians")))
+    return spark.createDataFrame(rows, "feature string, median double").select("feature", r6("median").alias("median"))
+
+
+@register("standardise", O.base(MED_SQL, STD_SQL) + f" SELECT feature, {O.r6('mean')} AS mean, {O.r6('std')} AS std FROM std")
+def q_standardise(spark, sf):
+    pm = _prep_model(spark, sf)
+    rows = list(zip(pm.getOrDefault("numCols"), pm.getOrDefault("means"), pm.getOrDefault("stds")))
+    return spark.createDataFrame(rows, "feature string, mean double, std double").select(
+        "feature", r6("mean").alias("mean"), r6("std").alias("std"))
+
+
+@register("one_hot_drop_first", O.base(KEPT_SQL) + " SELECT feature, category, feature || '_' || category AS column_name FROM kept")
+def q_one_hot_drop_first(spark, sf):
+    pm = _prep_model(spark, sf)
+    cats = pm.category_map()
+    rows = [(c, v, f"{c}_{v}") for c in pm.getOrDefault("catCols") for v in cats.get(c, [])[1:]]
+    return spark.createDataFrame(rows, "feature string, category string, column_name string")
+
+
+_BIN_D = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.BIN_COLS)
+
+
+@register("feature_matrix", O.base(MED_SQL, STD_SQL, KEPT_SQL, flags=True) + f""",
+te_num AS (SELECT VAERS_ID, {NUM_LIST} FROM split_wide WHERE split = 'test'),
+te_bin AS (SELECT VAERS_ID, {_BIN_D}, CAST(COLUMNS('^SYM_') AS DOUBLE) FROM split_wide WHERE split = 'test')
+ SELECT l.VAERS_ID, l.feature, {O.r6('(coalesce(l.v, m.med) - s.mean) / s.std')} AS value
+ FROM (SELECT * FROM te_num UNPIVOT INCLUDE NULLS (v FOR feature IN ({NUM_LIST}))) l
+ JOIN med m ON l.feature = m.feature JOIN std s ON l.feature = s.feature
+ UNION ALL
+ SELECT VAERS_ID, feature, {O.r6('coalesce(v, 0)')} AS value
+ FROM (SELECT * FROM te_bin UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (VAERS_ID)))))
+ UNION ALL
+ SELECT t.VAERS_ID, k.feature || '_' || k.category AS feature, CAST(t.category = k.category AS DOUBLE) AS value
+ FROM (UNPIVOT (SELECT VAERS_ID, {CAT_FILLED} FROM split_base WHERE split = 'test') ON {CAT_LIST}
+       INTO NAME feature VALUE category) t JOIN kept k ON t.feature = k.feature""")
+def q_feature_matrix(spark, sf):
+    pm = _prep_model(spark, sf)
+    return pm.long(WF.test_rows(spark, sf)).select(C.KEY, "feature", r6("value").alias("value"))
+
+
+@register("balanced_weights", O.base() + f"""
+ SELECT DIED, n / (CAST(2 AS DOUBLE) * n_c) AS weight FROM (
+   SELECT DIED, count(*) AS n_c, sum(count(*)) OVER () AS n FROM {TRAIN} GROUP BY DIED)""")
+def q_balanced_weights(spark, sf):
+    return FT.balanced_weights(WF.train_rows(spark, sf)).select(C.LABEL, "weight").distinct()
+
+
+@register("unbalance_weights", O.base() + f"""
+ SELECT 1 AS DIED, count(*) FILTER (WHERE DIED = 0) / CAST(count(*) FILTER (WHERE DIED = 1) AS DOUBLE) AS weight FROM {TRAIN}
+ UNION ALL SELECT 0 AS DIED, CAST(1 AS DOUBLE) AS weight""")
+def q_unbalance_weights(spark, sf):
+    return FT.unbalance_weights(WF.train_rows(spark, sf)).select(C.LABEL, "weight").distinct()
+
+
+# ---------------------------------------------------------------- models (C1–C8, C12, C13; rows-only)
+
+def _fit_query(name):
+    def q(spark, sf):
+        sc = M.score(WF.fitted(spark, sf, name), WF.test_rows(spark, sf), name)
+        return E.test_metrics(sc)
+    q.__name__ = f"q_fit_{name}"
+    return q
+
+
+for _key, _name in [("fit_logistic", "logistic"), ("fit_ridge", "ridge"), ("fit_lasso", "lasso"),
+                    ("fit_cart", "cart"), ("fit_forest", "random_forest"),
+                    ("fit_boosted", "lightgbm"), ("fit_mlp", "mlp")]:
+    register(_key)(_fit_query(_name))
+
+
+@register("score")
+def q_score(spark, sf):
+    return WF.scored_test(spark, sf, ("logistic", "lightgbm"))
+
+
+@register("coefficients")
+def q_coefficients(spark, sf):
+    return M.coefficients(spark, {n: WF.fitted(spark, sf, n) for n in M.LINEAR})
+
+
+@register("top_coefficients")
+def q_top_coefficients(spark, sf):
+    return M.top_by_rank(q_coefficients(spark, sf))
+
+
+@register("zero_coef_share")
+def q_zero_coef_share(spark, sf):
+    return X.zero_coef_share(q_coefficients(spark, sf))
+
+
+@register("importances")
+def q_importances(spark, sf):
+    return M.importances(spark, {n: WF.fitted(spark, sf, n) for n in M.TREES})
+
+
+@register("top_importances")
+def q_top_importances(spark, sf):
+    return M.top_by_rank(q_importances(spark, sf))
+
+
+@register("model_leaderboard")
+def q_model_leaderboard(spark, sf):
+    return E.leaderboard(E.test_metrics(WF.scored_test(spark, sf)))

@@ -18,7 +18,8 @@ from vigilo.functions.names import present, sym_columns
 from vigilo.operators.distributed import MAX_BROADCAST_ROWS, exact_modes, exact_percentiles
 from vigilo.operators.reshape import outcome_unpivot
 
-COUNT = F.count(F.lit(1))
+def n_rows():
+    return F.count(F.lit(1))
 
 
 def rate_table(df: DataFrame, key: str, min_n: int | None = None, digits: int = 2,
@@ -29,7 +30,7 @@ def rate_table(df: DataFrame, key: str, min_n: int | None = None, digits: int =
     """
     agg = (df.where(F.col(key).isNotNull())
              .groupBy(key)
-             .agg(F.avg(label).alias("rate"), COUNT.alias("n")))
+             .agg(F.avg(label).alias("rate"), n_rows().alias("n")))
     if min_n is not None:
         agg = agg.where(F.col("n") >= min_n)                          # P15
     out = agg.withColumn("rate_pct", round_half_even(F.col("rate") * 100, digits))
@@ -81,7 +82,7 @@ def kpi_summary(df: DataFrame, label: str = C.LABEL) -> DataFrame:
     """One global aggregate for the headline numbers."""
     n_flags = len(sym_columns(df.columns))
     return df.agg(
-        COUNT.alias("total_recs"),
+        n_rows().alias("total_recs"),
         (F.avg(label) * 100).alias("death_rate"),
         F.min("AGE_YRS").cast("int").alias("age_min"),
         F.max("AGE_YRS").cast("int").alias("age_max"),
@@ -115,7 +116,7 @@ def monthly_volume(df: DataFrame, months: int = C.MONTHS_SHOWN, label: str = C.L
     """Reports per month and outcome, the newest ``months`` months only."""
     m = "RECV_YEAR_MONTH"
     counts = (df.where(F.col(m).isNotNull())
-                .groupBy(m, label).agg(COUNT.alias("Count")))
+                .groupBy(m, label).agg(n_rows().alias("Count")))
     newest = counts.select(m).distinct().orderBy(F.desc(m)).limit(months)
     return (counts.join(F.broadcast(newest), m, "left_semi")           # ≤ months rows
                   .withColumn("Outcome", outcome_text(label))
@@ -158,7 +159,7 @@ def histogram_by_label(df: DataFrame, col: str = "AGE_YRS", bins: int = C.AGE_BI
     b = F.least(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int")
     return (df.where(x.isNotNull())
               .groupBy(b.alias("bin"), F.col(label))
-              .agg(COUNT.alias("n"))
+              .agg(n_rows().alias("n"))
               .select("bin",
                       r6(F.lit(lo) + F.col("bin") * F.lit(width)).alias("bin_lo"),
                       r6(F.lit(lo) + (F.col("bin") + 1) * F.lit(width)).alias("bin_hi"),
@@ -179,7 +180,7 @@ def box_stats(df: DataFrame, value: str, group: str, max_groups: int = 64) -> Da
     v = F.col(value)
     j = df.where(v.isNotNull()).select(group, value).join(small, group)
     return j.groupBy(group).agg(
-        COUNT.alias("n"),
+        n_rows().alias("n"),
         r6(F.first("q1")).alias("q1"), r6(F.first("median")).alias("median"),
         r6(F.first("q3")).alias("q3"),
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
@@ -217,7 +218,7 @@ def decile_rate(df: DataFrame, col: str, label: str = C.LABEL) -> DataFrame:
     lo = F.array(*[F.lit(e) for e in edges])
     t = (df.where(x.isNotNull())
            .groupBy(bucket.alias("bucket"))
-           .agg(F.avg(label).alias("rate"), COUNT.alias("n")))
+           .agg(F.avg(label).alias("rate"), n_rows().alias("n")))
     return t.select(
         "bucket",
         r6(F.element_at(lo, F.col("bucket") + 1)).alias("lo"),
@@ -286,5 +287,5 @@ def zero_coef_share(coefs: DataFrame, eps: float = C.ZERO_COEF_EPS) -> DataFrame
     """Per model, how many coefficients are (numerically) zero."""
     return coefs.groupBy("model").agg(
         F.count_if(F.abs("value") < eps).alias("n_zero"),
-        COUNT.alias("n_features")).withColumn(
+        n_rows().alias("n_features")).withColumn(
         "zero_pct", round_half_even(F.col("n_zero") / F.col("n_features") * 100, 1))
