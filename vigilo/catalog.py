@@ -714,3 +714,115 @@ def q_top_importances(spark, sf):
 @register("model_leaderboard")
 def q_model_leaderboard(spark, sf):
     return E.leaderboard(E.test_metrics(WF.scored_test(spark, sf)))
+
+
+# ---------------------------------------------------------------- attributions
+
+from vigilo.operators import explain as XP  # noqa: E402
+from vigilo.plans.formula import (  # noqa: E402
+    INTERCEPTS, formula_inputs, formula_inputs_sql, formula_weights, formula_weights_sql)
+
+EX_SQL = (f"ex AS (SELECT *, CAST(rk - 1 AS INTEGER) AS row_id FROM (SELECT *, row_number() OVER (ORDER BY "
+          f"md5(CAST(VAERS_ID AS VARCHAR) || ':explain{C.SEED}'), VAERS_ID) AS rk FROM split_base WHERE split = 'test') "
+          f"WHERE rk <= {C.EXPLAIN_ROWS})")
+ATTR_SQL = [EX_SQL, f"vals AS ({formula_inputs_sql('ex')})", f"w AS ({formula_weights_sql()})",
+            "m AS (SELECT feature, avg(value) AS mean FROM vals GROUP BY feature)",
+            "attr AS (SELECT v.row_id, v.feature, v.value, w.weight * (v.value - m.mean) AS shap "
+            "FROM vals v JOIN m ON v.feature = m.feature JOIN w ON v.feature = w.feature)",
+            f"base AS (SELECT CAST({INTERCEPTS['formula_age']} AS DOUBLE) + sum(w.weight * m.mean) AS base "
+            "FROM m JOIN w ON m.feature = w.feature)"]
+
+
+def _linear_attr(spark, sf):
+    rows = WF.explain_rows(spark, sf)
+    vals = formula_inputs(rows)
+    w = formula_weights(spark)
+    return XP.linear_attributions(vals, w), XP.linear_base(vals, w, INTERCEPTS["formula_age"])
+
+
+@register("linear_attributions", O.base(*ATTR_SQL) +
+          f" SELECT row_id, feature, {O.r6('value')} AS value, {O.r6('shap')} AS shap FROM attr")
+def q_linear_attributions(spark, sf):
+    a, _ = _linear_attr(spark, sf)
+    return a.select("row_id", "feature", r6("value").alias("value"), r6("shap").alias("shap"))
+
+
+@register("mean_abs_attribution", O.base(*ATTR_SQL) +
+          f" SELECT feature, {O.r6('avg(abs(shap))')} AS mean_abs_shap FROM attr GROUP BY feature "
+          f"ORDER BY avg(abs(shap)) DESC, feature LIMIT {C.TOP_FEATURES}")
+def q_mean_abs_attribution(spark, sf):
+    a, _ = _linear_attr(spark, sf)
+    return XP.mean_abs_attribution(a).select("feature", r6("mean_abs_shap").alias("mean_abs_shap"))
+
+
+@register("attribution_pairs", O.base(*ATTR_SQL) + f"""
+ SELECT p.row_id, {O.r6('p.value')} AS x, {O.r6('p.shap')} AS shap, {O.r6('c.value')} AS color
+ FROM attr p JOIN attr c ON p.row_id = c.row_id WHERE p.feature = 'AGE_YRS' AND c.feature = 'HOSPITAL'""")
+def q_attribution_pairs(spark, sf):
+    a, _ = _linear_attr(spark, sf)
+    return XP.attribution_pairs(a, "AGE_YRS", "HOSPITAL").select(
+        "row_id", r6("x").alias("x"), r6("shap").alias("shap"), r6("color").alias("color"))
+
+
+K_WF = C.WATERFALL_ROWS
+
+
+@register("waterfall", O.base(*ATTR_SQL,
+    "r AS (SELECT *, row_number() OVER (ORDER BY abs(shap) DESC, feature) AS rank FROM attr WHERE row_id = 0)",
+    f"""bars AS (SELECT row_id, CAST(rank AS INTEGER) AS rank, feature, value, shap FROM r WHERE rank < {K_WF}
+             UNION ALL SELECT row_id, {K_WF}, count(*) || ' other features', CAST(NULL AS DOUBLE), sum(shap)
+             FROM r WHERE rank >= {K_WF} GROUP BY row_id)""",
+    "st AS (SELECT b.*, base.base + sum(shap) OVER (ORDER BY rank DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e FROM bars b, base)")
+    + f" SELECT row_id, rank, feature, {O.r6('value')} AS value, {O.r6('shap')} AS shap, {O.r6('e - shap')} AS start, {O.r6('e')} AS \"end\" FROM st")
+def q_waterfall(spark, sf):
+    a, base = _linear_attr(spark, sf)
+    return XP.waterfall(a, base, 0)
+
+
+@register("force_split", O.base(*ATTR_SQL) + f"""
+ SELECT row_id, feature, {O.r6('value')} AS value, {O.r6('shap')} AS shap,
+        CASE WHEN shap > 0 THEN 'higher' WHEN shap < 0 THEN 'lower' ELSE 'none' END AS direction
+ FROM attr WHERE row_id = 0""")
+def q_force_split(spark, sf):
+    a, _ = _linear_attr(spark, sf)
+    return XP.force_split(a, 0)
+
+
+@register("attribution_long", O.base(*ATTR_SQL,
+    f"top AS (SELECT feature FROM attr GROUP BY feature ORDER BY avg(abs(shap)) DESC, feature LIMIT {C.TOP_FEATURES})")
+    + f" SELECT a.feature, a.row_id, {O.r6('a.value')} AS value, {O.r6('a.shap')} AS shap FROM attr a SEMI JOIN top t ON a.feature = t.feature")
+def q_attribution_long(spark, sf):
+    a, _ = _linear_attr(spark, sf)
+    return XP.attribution_long(a).select("feature", "row_id", r6("value").alias("value"), r6("shap").alias("shap"))
+
+
+def tree_attr(spark, sf):
+    m = WF.fitted(spark, sf, "lightgbm")
+    rows = m.stages[0].transform(WF.explain_rows(spark, sf))
+    return XP.tree_attributions(spark, m.stages[-1], rows, M.feature_names(m))
+
+
+@register("tree_attributions")
+def q_tree_attributions(spark, sf):
+    a, base = tree_attr(spark, sf)
+    return a.withColumn("base", F.lit(base))
+
+
+@register("attribution_by_raw_feature")
+def q_attribution_by_raw_feature(spark, sf):
+    a, _ = tree_attr(spark, sf)
+    raw = WF.fitted(spark, sf, "lightgbm").stages[0].raw_feature_of()
+    raw_map = spark.createDataFrame(list(raw.items()), "feature string, raw_feature string")
+    return XP.attribution_by_raw_feature(a, raw_map)
+
+
+@register("tree_mean_abs_attribution")
+def q_tree_mean_abs_attribution(spark, sf):
+    a, _ = tree_attr(spark, sf)
+    return XP.mean_abs_attribution(a)
+
+
+@register("tree_waterfall")
+def q_tree_waterfall(spark, sf):
+    a, base = tree_attr(spark, sf)
+    return XP.waterfall(a, a.agg(F.lit(base).alias("base")), 0)

@@ -55,3 +55,28 @@ def formula_sql(src: str, keep: str = "split, fold") -> str:
                      f"1 / (1 + exp(-({z}))) AS p, {keep} FROM {src}")
     u = " UNION ALL ".join(parts)
     return f"SELECT *, CAST(p >= 0.5 AS INTEGER) AS pred FROM ({u})"
+
+
+def formula_inputs(rows: DataFrame, model: str = "formula_age") -> DataFrame:
+    """(row_id, feature, value): the formula's inputs after fill and shift."""
+    pairs = F.array(*[F.struct(F.lit(col).alias("feature"),
+                               (F.coalesce(F.col(col).cast("double"), F.lit(fill)) + F.lit(shift)).alias("value"))
+                      for col, _, fill, shift in FORMULAS[model]])
+    return rows.select("row_id", F.explode(pairs).alias("_p")).select("row_id", "_p.feature", "_p.value")
+
+
+def formula_weights(spark, model: str = "formula_age") -> DataFrame:
+    """(feature, weight) of a formula — a fixed table of ≤ 5 rows."""
+    return spark.createDataFrame([(c, float(w)) for c, w, _, _ in FORMULAS[model]],
+                                 "feature string, weight double")
+
+
+def formula_inputs_sql(src: str, model: str = "formula_age") -> str:
+    return " UNION ALL ".join(
+        f"SELECT row_id, '{col}' AS feature, coalesce(CAST({col} AS DOUBLE), CAST({fill} AS DOUBLE)) "
+        f"+ CAST({shift} AS DOUBLE) AS value FROM {src}" for col, _, fill, shift in FORMULAS[model])
+
+
+def formula_weights_sql(model: str = "formula_age") -> str:
+    vals = ", ".join(f"('{c}', CAST({w} AS DOUBLE))" for c, w, _, _ in FORMULAS[model])
+    return f"SELECT * FROM (VALUES {vals}) t(feature, weight)"
