@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigilo import config as C
@@ -826,3 +826,169 @@ def q_tree_mean_abs_attribution(spark, sf):
 def q_tree_waterfall(spark, sf):
     a, base = tree_attr(spark, sf)
     return XP.waterfall(a, a.agg(F.lit(base).alias("base")), 0)
+
+
+# ---------------------------------------------------------------- what-if, dependence
+
+from vigilo.plans import whatif as WI  # noqa: E402
+from vigilo.plans import tuning as TU  # noqa: E402
+from vigilo.sources import artifacts as AR  # noqa: E402
+from vigilo.sources import csv_scan as CS  # noqa: E402
+from vigilo.session import scratch_path  # noqa: E402
+
+
+def _scenarios(spark, sf):
+    """Scenario overrides drawn from the data: every observed (SEX, dose) pair."""
+    t = WF.test_rows(spark, sf)
+    return (t.select("SEX", "VAX_DOSE_SERIES").distinct()
+             .withColumn("scenario", F.concat_ws("|", F.coalesce("SEX", F.lit("?")),
+                                                 F.coalesce("VAX_DOSE_SERIES", F.lit("?")))))
+
+
+@register("what_if")
+def q_what_if(spark, sf):
+    t = WF.test_rows(spark, sf)
+    prof = WI.profile_values(t)
+    return WI.what_if(WF.fitted(spark, sf, "lightgbm"), "lightgbm", _scenarios(spark, sf), prof, t.schema)
+
+
+@register("what_if_attributions")
+def q_what_if_attributions(spark, sf):
+    t = WF.test_rows(spark, sf)
+    m = WF.fitted(spark, sf, "lightgbm")
+    rows = WI.apply_profile(_scenarios(spark, sf), WI.profile_values(t), t.schema)
+    # scenarios are the observed (SEX, dose) pairs: a handful of rows
+    rows = rows.withColumn("row_id", (F.dense_rank().over(Window.orderBy("scenario")) - 1).cast("int"))
+    attr, base = XP.tree_attributions(spark, m.stages[-1], m.stages[0].transform(rows), M.feature_names(m))
+    return XP.waterfall(attr, attr.agg(F.lit(base).alias("base")), 0, C.WHATIF_WATERFALL_ROWS)
+
+
+@register("dependence_curve")
+def q_dependence_curve(spark, sf):
+    t = WF.test_rows(spark, sf)
+    m = WF.fitted(spark, sf, "lightgbm")
+    parts = [WI.dependence_curve(m, "lightgbm", t, f) for f in ("AGE_YRS", "SEX", "HOSPITAL")]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# ---------------------------------------------------------------- CV, grid search, history
+
+@register("cv_model_scores")
+def q_cv_model_scores(spark, sf):
+    return E.fold_scores(TU.cross_validate(WF.train_rows(spark, sf), "logistic"))
+
+
+@register("cv_model_summary")
+def q_cv_model_summary(spark, sf):
+    return E.cv_summary(q_cv_model_scores(spark, sf))
+
+
+QUERY_GRID = {"max_depth": [3, 5], "min_samples_leaf": [10, 50]}   # a cut of the reference's CART grid
+_GRID: dict = {}
+
+
+def _grid(spark, sf):
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _GRID:
+        _GRID[key] = TU.grid_search(spark, WF.train_rows(spark, sf), "cart", QUERY_GRID)
+    return _GRID[key]
+
+
+@register("grid_search")
+def q_grid_search(spark, sf):
+    return _grid(spark, sf)[0]
+
+
+@register("grid_refit")
+def q_grid_refit(spark, sf):
+    _, best, _ = _grid(spark, sf)
+    return E.test_metrics(M.score(best, WF.test_rows(spark, sf), "cart"))
+
+
+@register("grid_top5")
+def q_grid_top5(spark, sf):
+    return TU.grid_top5(_grid(spark, sf)[0])
+
+
+@register("grid_pivot")
+def q_grid_pivot(spark, sf):
+    return TU.grid_pivot(_grid(spark, sf)[0])
+
+
+@register("grid_best")
+def q_grid_best(spark, sf):
+    return TU.grid_best(_grid(spark, sf)[0])
+
+
+def _history(spark, sf):
+    from vigilo.operators.sampling import validation_holdout
+    val = validation_holdout(WF.train_rows(spark, sf)).where("is_val")
+    return TU.boosting_history(spark, WF.fitted(spark, sf, "lightgbm"), val)
+
+
+@register("training_history")
+def q_training_history(spark, sf):
+    return _history(spark, sf)
+
+
+@register("best_epoch")
+def q_best_epoch(spark, sf):
+    return E.best_epoch(_history(spark, sf))
+
+
+@register("early_stop_epoch")
+def q_early_stop_epoch(spark, sf):
+    return E.early_stop_epoch(_history(spark, sf))
+
+
+# ---------------------------------------------------------------- sources and sinks
+
+@register("scan_reports", O.base() + " SELECT * FROM reports")
+def q_scan_reports(spark, sf):
+    """Reports written as CSV to the shared scratch folder and scanned back."""
+    path = scratch_path(spark, "reports-csv")
+    CS.write_extract(fixtures.raw_reports(spark, sf), path)
+    return P.clean_reports(CS.scan_reports(spark, path))
+
+
+@register("sample_roundtrip", O.base(O.flags_ctes()) + " SELECT * FROM sample_wide")
+def q_sample_roundtrip(spark, sf):
+    """S4 + S6: the sample written as Parquet and read back."""
+    path = scratch_path(spark, "sample")
+    AR.write_table(materialized_sample(spark, sf), path)
+    return AR.read_table(spark, path)
+
+
+@register("model_roundtrip")
+def q_model_roundtrip(spark, sf):
+    """A fitted pipeline saved, loaded, and used to score the test rows."""
+    path = scratch_path(spark, "model")
+    AR.save_model(WF.fitted(spark, sf, "logistic"), path)
+    return M.score(AR.load_model(path), WF.test_rows(spark, sf), "logistic")
+
+
+@register("results_upsert")
+def q_results_upsert(spark, sf):
+    """S8 + S9: all models' metrics written, then one model's rows rewritten."""
+    path = scratch_path(spark, "metrics")
+    first = E.test_metrics(WF.scored_test(spark, sf, ("logistic", "ridge", "cart")))
+    AR.upsert_results(first, path)
+    AR.upsert_results(E.test_metrics(WF.scored_test(spark, sf, ("ridge",))).withColumn("accuracy", F.lit(-1.0)), path)
+    return AR.read_table(spark, path)
+
+
+@register("artifact_check")
+def q_artifact_check(spark, sf):
+    """Required artifacts verified; an optional one falls back to empty."""
+    path = scratch_path(spark, "artifacts")
+    AR.write_table(materialized_sample(spark, sf), f"{path}/sample")
+    AR.require_artifacts(spark, [f"{path}/sample"])
+    hist = AR.optional_table(spark, f"{path}/history", "model string, epoch int, val_loss double")
+    return AR.read_table(spark, f"{path}/sample").groupBy(C.LABEL).count().withColumn(
+        "history_rows", F.lit(hist.count()))
+
+
+@register("tree_rules")
+def q_tree_rules(spark, sf):
+    m = WF.fitted(spark, sf, "cart")
+    return AR.tree_rules(spark, m.stages[-1], M.feature_names(m))

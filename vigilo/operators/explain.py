@@ -123,11 +123,18 @@ def ensemble_tables(model, spark: SparkSession) -> tuple[list[dict], list[float]
     path = scratch_path(spark, "ensemble")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
+    if "nodeData" in data.columns:                       # ensembles: (treeID, nodeData)
+        data = data.select("treeID", "nodeData.*")
+    else:                                                # a single tree: node columns
+        data = data.withColumn("treeID", F.lit(0))
+    # regression trees (boosting) keep [count, sum, sum²]; classification
+    # trees keep per-class counts — either way the node's weighted cover
+    regression = type(model).__name__.startswith("GBT")
+    stats = F.col("impurityStats")
+    cover = F.get(stats, 0) if regression else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
     nodes = data.select(
-        F.col("treeID") if "treeID" in data.columns else F.lit(0).alias("treeID"),
-        "nodeData.id", "nodeData.prediction", "nodeData.leftChild", "nodeData.rightChild",
-        F.get(F.col("nodeData.impurityStats"), 0).alias("cover"),
-        "nodeData.split.featureIndex", F.get(F.col("nodeData.split.leftCategoriesOrThreshold"), 0).alias("thr"),
+        "treeID", "id", "prediction", "leftChild", "rightChild", cover.alias("cover"),
+        "split.featureIndex", F.get(F.col("split.leftCategoriesOrThreshold"), 0).alias("thr"),
     ).toPandas()
     try:
         weights = [float(w) for w in model.treeWeights]
