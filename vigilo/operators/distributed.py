@@ -34,10 +34,17 @@ def default_blocks(df: DataFrame) -> int:
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int) -> DataFrame:
-    """Join a table whose row count is bounded by ``rows_bound`` (caller-proven)."""
+    """Join a table whose row count is bounded by ``rows_bound`` (caller-proven).
+
+    Keys match null-safely (a NULL stratum is a stratum, never a lost row);
+    as a side effect Catalyst infers no IsNotNull filters that would make the
+    two branches over one shared exchange differ.
+    """
+    renamed = small.select(*[F.col(c).alias(f"_k_{c}") if c in on else F.col(c) for c in small.columns])
     if rows_bound <= MAX_BROADCAST_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, on, "inner")
+        renamed = F.broadcast(renamed)
+    cond = [big[c].eqNullSafe(renamed[f"_k_{c}"]) for c in on]
+    return big.join(renamed, cond, "inner").drop(*[f"_k_{c}" for c in on])
 
 
 def block_index(df: DataFrame, order_col: str, n_blocks: int, out: str = "_blk") -> DataFrame:
@@ -142,7 +149,10 @@ def hash_rank(df: DataFrame, hash_col: str, strata: list[str] | tuple = (),
     ~1/65536 of a stratum. The offsets table has ≤ 65,536 × max_strata rows.
     """
     s = list(strata)
-    bucket = F.conv(F.substring(F.col(hash_col), 1, 4), 16, 10).cast("int")
+    bucket = F.coalesce(F.conv(F.substring(F.col(hash_col), 1, 4), 16, 10).cast("int"), F.lit(0))
+    # The histogram branch needs only (stratum, hash): Catalyst prunes its
+    # input to those columns and combines map-side, so it ships ≤ 65,536 rows
+    # per stratum and task; the ranking window is the one full shuffle.
     with_b = df.withColumn("_hb", bucket)
     hist = with_b.groupBy(*s, "_hb").agg(F.count(F.lit(1)).alias("_hc"))
     w_off = Window.partitionBy(*s).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
