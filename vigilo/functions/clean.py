@@ -84,8 +84,9 @@ def fill_zero_flag(c: str | Column) -> Column:
 def round_half_even(c: str | Column, digits: int) -> Column:
     """Numpy-style rounding of doubles: rint(x·10^d)/10^d.
 
-    ``F.round`` rounds half-up and ``F.bround`` works on the decimal text, so
-    neither reproduces the binary-double behaviour (2.675 → 2.67).
+    The scaled double is rounded half-to-even: 2.675·100 is exactly 267.5, so
+    2.675 → 2.68 and 0.125 → 0.12, as pandas' ``round`` does. ``F.round`` and
+    ``F.bround`` round the exact binary value (2.67499…) and give 2.67.
     """
     scale = float(10 ** digits)
     return F.rint(col_(c) * F.lit(scale)) / F.lit(scale)
