@@ -50,6 +50,29 @@ def stratified_split(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
     }).drop("_h", "_rank", "_n", "_n_all")
 
 
+def sample_and_split(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
+                     target: int = C.SAMPLE_TARGET, share: float = C.TEST_SHARE,
+                     k: int = C.CV_FOLDS, seed: int = C.SEED) -> DataFrame:
+    """R1 + R2 + R3 from ONE seeded permutation per class.
+
+    The sample keeps each class's first n_c' rows in hash order (all
+    positives, n0 negatives); a kept row's rank is therefore its rank inside
+    the sample, so the first round(share·n_c') of them are the test rows and
+    the rest are dealt into k folds — one ranking pass instead of two.
+    """
+    ranked = hash_rank(df.withColumn("_h", md5_hash(key, seed)), "_h", [label], key)
+    n_other = F.col("_n_all") - F.col("_n")
+    n0 = F.greatest(F.least(F.lit(target) - n_other, F.col("_n")), F.lit(0))
+    kept_n = F.when(F.col(label) == 1, F.col("_n")).otherwise(n0)
+    kept = ranked.withColumn("_kn", kept_n).where(F.col("_rank") <= F.col("_kn"))
+    n_test = F.floor(F.col("_kn") * F.lit(share) + F.lit(0.5)).cast("long")
+    is_test = F.col("_rank") <= n_test
+    return kept.withColumns({
+        "split": F.when(is_test, F.lit("test")).otherwise(F.lit("train")),
+        "fold": F.when(~is_test, ((F.col("_rank") - n_test - 1) % k).cast("int")),
+    }).drop("_h", "_rank", "_n", "_n_all", "_kn")
+
+
 def validation_holdout(train: DataFrame, key: str = C.KEY,
                        share: float = C.VALIDATION_SHARE, seed: int = C.SEED) -> DataFrame:
     """Flag ``is_val`` on the first floor(share·n) training rows, unstratified."""

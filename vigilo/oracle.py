@@ -168,9 +168,10 @@ sample_base AS (
   SELECT * EXCLUDE (h, rk, n_c, n_all) FROM ranked_s
   WHERE DIED = 1 OR rk <= greatest(least({target} - (n_all - n_c), n_c), 0)),
 ranked_t AS (
-  SELECT *, row_number() OVER (PARTITION BY DIED ORDER BY h, VAERS_ID) AS rk,
+  SELECT * EXCLUDE (n_c, n_all),
          CAST(floor(count(*) OVER (PARTITION BY DIED) * CAST({share} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS nt
-  FROM (SELECT *, md5(CAST(VAERS_ID AS VARCHAR) || ':split{seed}') AS h FROM sample_base)),
+  FROM ranked_s
+  WHERE DIED = 1 OR rk <= greatest(least({target} - (n_all - n_c), n_c), 0)),
 split_base AS (
   SELECT * EXCLUDE (h, rk, nt),
          CASE WHEN rk <= nt THEN 'test' ELSE 'train' END AS split,

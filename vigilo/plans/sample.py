@@ -8,8 +8,8 @@ Stages (each lazy; Catalyst sees one plan):
 4. assemble             reports ⟕ flags ⟕ vaccines; the two right sides are
                         already hash-partitioned by id, so only reports
                         shuffle for the joins
-5. sample               all positives + exact n0 negatives (hash order)
-6. split                stratified train/test + folds as columns
+5. sample + split       all positives + exact n0 negatives, then stratified
+                        train/test and folds — one seeded permutation
 
 Only two small results reach the driver: the ≤30 top terms (they become
 column names) and percentile/offset tables inside the helpers.
@@ -25,7 +25,7 @@ from vigilo.functions.clean import (
     clip, date_parts, fill_zero_flag, na_to_null, normalise_manufacturer, to_number, yes_flag)
 from vigilo.operators.reshape import (
     collect_top_terms, dedup_first, indicator_pivot, topk_terms, unpivot_terms)
-from vigilo.operators.sampling import stratified_sample, stratified_split
+from vigilo.operators.sampling import sample_and_split, stratified_sample
 from vigilo.sources import fixtures
 
 
@@ -89,5 +89,5 @@ def build_sample(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET
 
 
 def build_split(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
-    """The sample with ``split`` and ``fold`` columns (R2 + R3)."""
-    return stratified_split(build_sample(spark, sf_dir, target))
+    """The sample with ``split`` and ``fold`` columns (R1 + R2 + R3, one rank)."""
+    return sample_and_split(assemble(spark, sf_dir).merged, target=target)
