@@ -992,3 +992,41 @@ def q_artifact_check(spark, sf):
 def q_tree_rules(spark, sf):
     m = WF.fitted(spark, sf, "cart")
     return AR.tree_rules(spark, m.stages[-1], M.feature_names(m))
+
+
+
+# ---------------------------------------------------------------- more scans and the explorer menu
+
+def _catalogue_sql() -> str:
+    fixed = ([(c, C.EXPLORER_KINDS["num"]) for c in C.EXPLORER_NUM] + [(c, C.EXPLORER_KINDS["cat"]) for c in C.EXPLORER_CAT]
+             + [(c, C.EXPLORER_KINDS["bin"]) for c in C.EXPLORER_BIN])
+    vals = ", ".join(f"({i}, '{c}', '{k}')" for i, (c, k) in enumerate(fixed))
+    n = len(fixed)
+    return O.base() + f""" SELECT * FROM (VALUES {vals}) t(position, feature, kind)
+ UNION ALL SELECT CAST({n} - 1 + row_number() OVER (ORDER BY name) AS INTEGER), name, '{C.EXPLORER_KINDS["sym"]}'
+ FROM (SELECT DISTINCT {O.safe("SYMPTOM")} AS name FROM top_terms)"""
+
+
+@register("feature_catalogue", _catalogue_sql())
+def q_feature_catalogue(spark, sf):
+    return X.feature_catalogue(materialized_sample(spark, sf))
+
+
+@register("scan_symptoms", O.base() + " SELECT VAERS_ID, SYMPTOM FROM sym_long")
+def q_scan_symptoms(spark, sf):
+    """Symptoms written as CSV, scanned back by name, unpivoted."""
+    path = scratch_path(spark, "symptoms-csv")
+    CS.write_extract(fixtures.raw_symptoms(spark, sf), path)
+    return P.symptom_long(CS.scan_symptoms(spark, path))
+
+
+@register("scan_vaccines_first", O.base() + " SELECT * FROM vax")
+def q_scan_vaccines_first(spark, sf):
+    """S3 + D1: vaccines written as CSV in file-position order (range-sorted,
+    several files), scanned back with their true file order, first row per
+    report kept, manufacturer normalised."""
+    path = scratch_path(spark, "vaccines-csv")
+    raw = fixtures.raw_vaccines(spark, sf)
+    CS.write_extract(raw.orderBy("_file_pos").select(*C.VACCINE_COLUMNS), path)
+    scanned = CS.scan_vaccines(spark, path)
+    return P.vaccines_first(scanned)

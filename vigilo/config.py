@@ -45,8 +45,16 @@ OUTCOME_LABELS = [
     ("DIED", "Died"),
 ]
 
-# ---- fixed values: explorer feature groups -----------------------------------
+# ---- fixed values: explorer feature groups and their type captions -----------
+EXPLORER_NUM = ["AGE_YRS", "NUMDAYS", "HOSPDAYS"]
 EXPLORER_CAT = ["SEX", "VAX_MANU", "VAX_DOSE_SERIES", "VAX_ROUTE", "VAX_SITE", "STATE"]
+EXPLORER_BIN = BIN_COLS
+EXPLORER_KINDS = {
+    "num": "Numerical (continuous)",
+    "cat": "Categorical",
+    "bin": "Binary (Yes/No outcome)",
+    "sym": "Binary symptom flag",
+}
 
 # ---- fixed values: characters replaced by "_" in symptom column names ---------
 SAFE_NAME_CHARS = [" ", "/", ",", "(", ")", "-", "'"]

@@ -289,3 +289,17 @@ def zero_coef_share(coefs: DataFrame, eps: float = C.ZERO_COEF_EPS) -> DataFrame
         F.count_if(F.abs("value") < eps).alias("n_zero"),
         n_rows().alias("n_features")).withColumn(
         "zero_pct", round_half_even(F.col("n_zero") / F.col("n_features") * 100, 1))
+
+
+def feature_catalogue(df: DataFrame) -> DataFrame:
+    """Explorable columns present in the table, in menu order, with kind."""
+    sym = sym_columns(df.columns)
+    groups = [("num", C.EXPLORER_NUM), ("cat", C.EXPLORER_CAT), ("bin", C.EXPLORER_BIN), ("sym", sym)]
+    have = set(df.columns)
+    rows, pos = [], 0
+    for kind, cols in groups:
+        for c in cols:
+            if c in have:
+                rows.append((pos, c, C.EXPLORER_KINDS[kind]))
+                pos += 1
+    return df.sparkSession.createDataFrame(rows, "position int, feature string, kind string")
