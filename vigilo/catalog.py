@@ -659,8 +659,8 @@ def q_balanced_weights(spark, sf):
 
 
 @register("unbalance_weights", O.base() + f"""
- SELECT 1 AS DIED, count(*) FILTER (WHERE DIED = 0) / CAST(count(*) FILTER (WHERE DIED = 1) AS DOUBLE) AS weight FROM {TRAIN}
- UNION ALL SELECT 0 AS DIED, CAST(1 AS DOUBLE) AS weight""")
+ SELECT CAST(1 AS TINYINT) AS DIED, count(*) FILTER (WHERE DIED = 0) / CAST(count(*) FILTER (WHERE DIED = 1) AS DOUBLE) AS weight FROM {TRAIN}
+ UNION ALL SELECT CAST(0 AS TINYINT) AS DIED, CAST(1 AS DOUBLE) AS weight""")
 def q_unbalance_weights(spark, sf):
     return FT.unbalance_weights(WF.train_rows(spark, sf)).select(C.LABEL, "weight").distinct()
 

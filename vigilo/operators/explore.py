@@ -88,7 +88,7 @@ def kpi_summary(df: DataFrame, label: str = C.LABEL) -> DataFrame:
         F.max("AGE_YRS").cast("int").alias("age_max"),
         F.countDistinct("STATE").alias("n_states"),
         F.sum(label).cast("bigint").alias("deaths"),
-    ).withColumn("n_flags", F.lit(n_flags))
+    ).withColumn("n_flags", F.lit(n_flags).cast("bigint"))
 
 
 def flag_totals_top15(df: DataFrame, k: int = C.FLAG_TOTALS_TOP, label: str = C.LABEL) -> DataFrame:
