@@ -11,7 +11,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from vigilo.operators.explain import _tree_shap_row, ensemble_tables, tree_attributions
+from vigilo.operators.explain import (
+    _tree_shap_batch, _tree_shap_row, ensemble_tables, leaf_values, tree_attributions)
 
 
 def cond_expect(tree, x, S, j=0):
@@ -63,3 +64,23 @@ def test_additivity_on_log_odds(spark):
     logit = model.transform(rows).select("row_id", (2 * vector_to_array("rawPrediction")[1]).alias("z"))
     err = tot.join(logit, "row_id").select(F.max(F.abs(F.col("s") + base - F.col("z")))).first()[0]
     assert err < 1e-9
+
+
+def test_batch_matches_row_by_row(spark):
+    model, df = _model(spark)
+    trees, _ = ensemble_tables(model, spark)
+    X = np.array([r.features.toArray() for r in df.limit(50).collect()])
+    for t in trees:
+        want = np.zeros_like(X)
+        for b in range(len(X)):
+            _tree_shap_row(X[b], t, want[b], 1.0)
+        assert np.allclose(_tree_shap_batch(X, t, 1.0), want, atol=1e-12)
+
+
+def test_leaf_values_match_model(spark):
+    model, df = _model(spark)
+    trees, weights = ensemble_tables(model, spark)
+    X = np.array([r.features.toArray() for r in df.limit(50).collect()])
+    margin = sum(w * leaf_values(X, t) for t, w in zip(trees, weights))
+    raw = np.array([r.rawPrediction[1] for r in model.transform(df.limit(50)).collect()])
+    assert np.allclose(margin, raw, atol=1e-9)

@@ -224,6 +224,95 @@ def _tree_shap_row(x: np.ndarray, tree: dict, phi: np.ndarray, scale: float) ->
     recurse(0, [[], [], [], []], 1.0, 1.0, -1)
 
 
+def _tree_shap_batch(X: np.ndarray, tree: dict, scale: float) -> np.ndarray:
+    """Path-dependent TreeSHAP for a batch of rows at once (B × M result).
+
+    The recursion visits every node once; the path's features and
+    zero-fractions are the same for all rows, only the one-fractions (0/1)
+    and the path weights differ, so they are carried as length-B vectors.
+    """
+    B, M = X.shape
+    phi = np.zeros((B, M))
+    left, right, feat, thr = tree["left"], tree["right"], tree["feature"], tree["thr"]
+    value, cover = tree["value"], tree["cover"]
+
+    def extend(d, z, o, w, pz, po, pi):
+        n = len(d)
+        d = d + [pi]
+        z = z + [pz]
+        o = o + [po]
+        w = [x.copy() for x in w] + [np.full(B, 1.0 if n == 0 else 0.0)]
+        for i in range(n - 1, -1, -1):
+            w[i + 1] = w[i + 1] + po * w[i] * (i + 1) / (n + 1)
+            w[i] = pz * w[i] * (n - i) / (n + 1)
+        return d, z, o, w
+
+    def unwind(d, z, o, w, i):
+        n = len(d) - 1
+        w = [x.copy() for x in w]
+        nxt = w[n].copy()
+        oi, zi = o[i], z[i]
+        nz = oi != 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for j in range(n - 1, -1, -1):
+                t = w[j]
+                a = np.where(nz, nxt * (n + 1) / ((j + 1) * np.where(nz, oi, 1.0)), 0.0)
+                b = w[j] * (n + 1) / (zi * (n - j)) if zi != 0 else np.zeros(B)
+                w[j] = np.where(nz, a, b)
+                nxt = np.where(nz, t - w[j] * zi * (n - j) / (n + 1), nxt)
+        d = d[:i] + d[i + 1:]
+        z = z[:i] + z[i + 1:]
+        o = o[:i] + o[i + 1:]
+        return d, z, o, w[:n]
+
+    def unwound_sum(z, o, w, i):
+        n = len(w) - 1
+        oi, zi = o[i], z[i]
+        nz = oi != 0
+        total = np.zeros(B)
+        nxt = w[n].copy()
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for j in range(n - 1, -1, -1):
+                t = np.where(nz, nxt * (n + 1) / ((j + 1) * np.where(nz, oi, 1.0)), 0.0)
+                alt = (w[j] / zi) * (n + 1) / (n - j) if zi != 0 else np.zeros(B)
+                total = total + np.where(nz, t, alt)
+                nxt = np.where(nz, w[j] - t * zi * (n - j) / (n + 1), nxt)
+        return total
+
+    def recurse(j, d, z, o, w, pz, po, pi):
+        d, z, o, w = extend(d, z, o, w, pz, po, pi)
+        if left[j] < 0:
+            for i in range(1, len(d)):
+                phi[:, d[i]] += scale * unwound_sum(z, o, w, i) * (o[i] - z[i]) * value[j]
+            return
+        f = int(feat[j])
+        go_left = (X[:, f] <= thr[j]).astype(float)
+        iz, io = 1.0, np.ones(B)
+        if f in d[1:]:
+            k = d.index(f, 1)
+            iz, io = z[k], o[k]
+            d, z, o, w = unwind(d, z, o, w, k)
+        l, r = left[j], right[j]
+        recurse(l, d, z, o, w, iz * cover[l] / cover[j], io * go_left, f)
+        recurse(r, d, z, o, w, iz * cover[r] / cover[j], io * (1.0 - go_left), f)
+
+    recurse(0, [], [], [], [], 1.0, np.ones(B), -1)
+    return phi
+
+
+def leaf_values(X: np.ndarray, tree: dict) -> np.ndarray:
+    """Each row's leaf value in one tree, descending all rows level by level."""
+    idx = np.zeros(X.shape[0], dtype=np.int64)
+    rows = np.arange(X.shape[0])
+    while True:
+        inner = tree["left"][idx] >= 0
+        if not inner.any():
+            return tree["value"][idx]
+        f = np.where(inner, tree["feature"][idx], 0)
+        go = X[rows, f] <= tree["thr"][idx]
+        idx = np.where(inner, np.where(go, tree["left"][idx], tree["right"][idx]), idx)
+
+
 def tree_attributions(spark: SparkSession, ensemble, rows: DataFrame, names: list[str],
                       features_col: str = "features", output_scale: float = 2.0) -> tuple[DataFrame, float]:
     """(row_id, feature, value, shap) and the base value, in log-odds.
@@ -239,20 +328,16 @@ def tree_attributions(spark: SparkSession, ensemble, rows: DataFrame, names: lis
 
     def run(batches):
         for pdf in batches:
-            out_ids, out_f, out_v, out_s = [], [], [], []
-            for rid, xs in zip(pdf["row_id"].to_numpy(), pdf["x"]):
-                x = np.asarray(xs, dtype=float)
-                phi = np.zeros(n_feat)
-                for t, w in zip(trees, weights):
-                    _tree_shap_row(x, t, phi, output_scale * w)
-                out_ids.append(np.full(n_feat, rid))
-                out_f.append(name_arr)
-                out_v.append(x)
-                out_s.append(phi)
-            if out_ids:
-                yield pd.DataFrame({"row_id": np.concatenate(out_ids).astype("int32"),
-                                    "feature": np.concatenate(out_f), "value": np.concatenate(out_v),
-                                    "shap": np.concatenate(out_s)})
+            if len(pdf) == 0:
+                continue
+            X = np.vstack([np.asarray(v, dtype=float) for v in pdf["x"]])
+            phi = np.zeros_like(X)
+            for t, w in zip(trees, weights):
+                phi += _tree_shap_batch(X, t, output_scale * w)
+            ids = pdf["row_id"].to_numpy()
+            yield pd.DataFrame({"row_id": np.repeat(ids, n_feat).astype("int32"),
+                                "feature": np.tile(name_arr, len(ids)), "value": X.ravel(),
+                                "shap": phi.ravel()})
 
     src = rows.select("row_id", vector_to_array(features_col).alias("x"))
     out = src.mapInPandas(run, "row_id int, feature string, value double, shap double")

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from vigilo import config as C
 from vigilo.operators.distributed import hash_rank, md5_hash
 from vigilo.operators.evaluate import ranking_metrics
-from vigilo.operators.explain import ensemble_tables
+from vigilo.operators.explain import ensemble_tables, leaf_values
 from vigilo.plans import models as M
 from vigilo.plans.features import default_preparer
 
@@ -131,25 +131,16 @@ def boosting_history(spark: SparkSession, model, val: DataFrame, name: str = "li
     trees, weights = ensemble_tables(gbt, spark)
     n_rounds = len(trees)
 
-    def leaf_value(tree, x):
-        j = 0
-        while tree["left"][j] >= 0:
-            j = tree["left"][j] if x[tree["feature"][j]] <= tree["thr"][j] else tree["right"][j]
-        return tree["value"][j]
-
     def run(batches):
         for pdf in batches:
-            ys, es, ms = [], [], []
-            for y, xs in zip(pdf["y"].to_numpy(), pdf["x"]):
-                x = np.asarray(xs, dtype=float)
-                outs = np.array([w * leaf_value(t, x) for t, w in zip(trees, weights)])
-                ms.append(output_scale * np.cumsum(outs))
-                ys.append(np.full(n_rounds, y))
-                es.append(np.arange(1, n_rounds + 1))
-            if ms:
-                yield pd.DataFrame({"epoch": np.concatenate(es).astype("int32"),
-                                    "y": np.concatenate(ys).astype("int32"),
-                                    "logit": np.concatenate(ms)})
+            if len(pdf) == 0:
+                continue
+            X = np.vstack([np.asarray(v, dtype=float) for v in pdf["x"]])
+            outs = np.column_stack([w * leaf_values(X, t) for t, w in zip(trees, weights)])
+            logit = output_scale * np.cumsum(outs, axis=1)               # rows × rounds
+            yield pd.DataFrame({"epoch": np.tile(np.arange(1, n_rounds + 1), len(X)).astype("int32"),
+                                "y": np.repeat(pdf["y"].to_numpy(), n_rounds).astype("int32"),
+                                "logit": logit.ravel()})
 
     rows = prep.transform(M.with_label(val)).select(
         F.col(C.LABEL).cast("int").alias("y"), vector_to_array("features").alias("x"))
