@@ -825,7 +825,7 @@ def q_tree_mean_abs_attribution(spark, sf):
 @register("tree_waterfall")
 def q_tree_waterfall(spark, sf):
     a, base = tree_attr(spark, sf)
-    return XP.waterfall(a, a.agg(F.lit(base).alias("base")), 0)
+    return XP.waterfall(a, base, 0)
 
 
 # ---------------------------------------------------------------- what-if, dependence
@@ -860,7 +860,7 @@ def q_what_if_attributions(spark, sf):
     # scenarios are the observed (SEX, dose) pairs: a handful of rows
     rows = rows.withColumn("row_id", (F.dense_rank().over(Window.orderBy("scenario")) - 1).cast("int"))
     attr, base = XP.tree_attributions(spark, m.stages[-1], m.stages[0].transform(rows), M.feature_names(m))
-    return XP.waterfall(attr, attr.agg(F.lit(base).alias("base")), 0, C.WHATIF_WATERFALL_ROWS)
+    return XP.waterfall(attr, base, 0, C.WHATIF_WATERFALL_ROWS)
 
 
 @register("dependence_curve")

@@ -72,7 +72,9 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
 
     ``df`` must hold one row per (partition_cols, order_col) — callers
     aggregate first, which also makes duplicated keys (ties) one step.
-    Output adds ``<c><suffix>`` for each sum column.
+    Output adds ``<c><suffix>`` and the partition's total ``<c>_total`` for
+    each sum column (the totals ride on the broadcast offsets table, so no
+    further join is needed).
     """
     part = list(partition_cols)
     n_blocks = n_blocks or default_blocks(df)
@@ -81,8 +83,10 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
     blk_order = F.col("_blk").desc() if descending else F.col("_blk").asc()
     w_off = (Window.partitionBy(*part).orderBy(blk_order)
              .rowsBetween(Window.unboundedPreceding, -1))
+    w_all = Window.partitionBy(*part)                                  # over ≤ blocks rows each
     offsets = tot.select(*part, "_blk", *[
-        F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols])
+        F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
+        F.sum(f"_t_{c}").over(w_all).alias(f"{c}_total") for c in sum_cols])
     joined = _join_small(blk, offsets, part + ["_blk"], max_groups * (n_blocks + 1))
     val_order = F.col(order_col).desc() if descending else F.col(order_col).asc()
     w_loc = (Window.partitionBy(*part, "_blk").orderBy(val_order)
@@ -102,16 +106,11 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
     gathered in one task.
     """
     g = list(group_cols)
-    ungrouped = not g
-    if ungrouped:                       # one constant group keeps every join an equi-join
-        df, g = df.withColumn("_g0", F.lit(0)), ["_g0"]
     v = F.col(value_col)
     counts = (df.where(v.isNotNull())
                 .groupBy(*g, v.cast("double").alias("_v"))
                 .agg(F.count(F.lit(1)).alias("_c")))
-    ps = prefix_sums(counts, "_v", ["_c"], g, max_groups=max_groups)
-    sizes = counts.groupBy(*g).agg(F.sum("_c").alias("_n"))
-    ps = _join_small(ps, sizes, g, max_groups)
+    ps = prefix_sums(counts, "_v", ["_c"], g, max_groups=max_groups).withColumnRenamed("_c_total", "_n")
     parr = F.array(*[F.lit(float(p)) for p in probs])
     prev = F.col("_c_cum") - F.col("_c")
     cum = F.col("_c_cum")
@@ -129,8 +128,7 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
         F.max(F.when(F.col("s.is_lo"), F.col("_v"))).alias("_lo"),
         F.max(F.when(F.col("s.is_hi"), F.col("_v"))).alias("_hi"),
         F.max(F.col("s.frac")).alias("_f"))
-    out = agg.select(*g, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"))
-    return out.drop("_g0") if ungrouped else out
+    return agg.select(*g, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias("q"))
 
 
 def md5_hash(key: str | Column, seed: int, salt: str = "") -> Column:

@@ -64,8 +64,7 @@ def score_steps(scored: DataFrame, groups=("model",), max_groups: int = 64) -> D
         F.sum(F.col("y").cast("long")).alias("pos"),
         F.sum((1 - F.col("y")).cast("long")).alias("neg"))
     cum = prefix_sums(steps, "p", ["pos", "neg"], g, descending=True, max_groups=max_groups)
-    totals = steps.groupBy(*g).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return cum.join(F.broadcast(totals), g)                          # ≤ max_groups rows
+    return cum.withColumnRenamed("pos_total", "n_pos").withColumnRenamed("neg_total", "n_neg")
 
 
 def ranking_metrics(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
@@ -96,12 +95,22 @@ def log_loss(scored: DataFrame, groups=("model",), eps: float = C.PROB_CLIP) ->
     return scored.groupBy(*groups).agg(r6(F.avg(ll)).alias("log_loss_val"))
 
 
+def merge_by_group(parts: list[DataFrame], groups) -> DataFrame:
+    """Combine small per-group aggregates that have different columns: union
+    them (missing columns NULL) and take each column's one non-NULL value."""
+    g = list(groups)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    cols = [c for c in out.columns if c not in g]
+    return out.groupBy(*g).agg(*[F.max(c).alias(c) for c in cols])
+
+
 def test_metrics(scored: DataFrame, groups=("model",)) -> DataFrame:
     """The reference's per-model result row: seven metrics."""
     g = list(groups)
-    return (class_metrics(scored, g).drop("specificity")
-            .join(ranking_metrics(scored, g), g)
-            .join(log_loss(scored, g), g))
+    return merge_by_group([class_metrics(scored, g).drop("specificity"),
+                           ranking_metrics(scored, g), log_loss(scored, g)], g)
 
 
 def roc_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
@@ -109,13 +118,12 @@ def roc_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> Da
     dropped, with the (0, 0) start point (threshold NULL)."""
     g = list(groups)
     s = score_steps(scored, g, max_groups)
-    idx = prefix_sums(s.withColumn("_one", F.lit(1)), "p", ["_one"], g, descending=True,
-                      max_groups=max_groups).withColumnRenamed("_one_cum", "i")
+    idx = (prefix_sums(s.withColumn("_one", F.lit(1)), "p", ["_one"], g, descending=True,
+                       max_groups=max_groups)
+           .withColumnRenamed("_one_cum", "i").withColumnRenamed("_one_total", "_last"))
     nxt = idx.select(*g, (F.col("i") - 1).alias("i"),
                      F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-    last = idx.groupBy(*g).agg(F.max("i").alias("_last"))
-    j = (idx.join(nxt, g + ["i"], "left")
-            .join(F.broadcast(last), g))
+    j = idx.join(nxt, g + ["i"], "left")
     keep = ((F.col("i") == 1) | (F.col("i") == F.col("_last"))
             | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
     pts = j.where(keep).select(
@@ -143,7 +151,7 @@ def pr_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> Dat
 def fold_scores(scored: DataFrame) -> DataFrame:
     """C9 read-out: (model, fold, metric, value) for the five CV metrics."""
     g = ["model", "fold"]
-    wide = class_metrics(scored, g).join(ranking_metrics(scored, g), g)
+    wide = merge_by_group([class_metrics(scored, g), ranking_metrics(scored, g)], g)
     return wide.unpivot(g, METRICS, "metric", "value")
 
 

@@ -62,7 +62,7 @@ def attribution_pairs(attr: DataFrame, primary: str, color: str | None = None) -
     return p.join(c, "row_id")
 
 
-def waterfall(attr: DataFrame, base: DataFrame, row_id: int, k: int = C.WATERFALL_ROWS) -> DataFrame:
+def waterfall(attr: DataFrame, base: DataFrame | float, row_id: int, k: int = C.WATERFALL_ROWS) -> DataFrame:
     """One row's top k−1 features by |shap| plus an 'other' remainder,
     stacked from the base value (others first, then the largest last).
 
@@ -80,8 +80,9 @@ def waterfall(attr: DataFrame, base: DataFrame, row_id: int, k: int = C.WATERFAL
     bars = top.unionByName(rest)
     w_cum = (Window.partitionBy("row_id").orderBy(F.desc("rank"))
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    b = base.select(F.col("base").alias("_base"), F.lit(row_id).alias("row_id"))
-    stacked = bars.join(F.broadcast(b), "row_id").withColumn("end", F.col("_base") + F.sum("shap").over(w_cum))
+    if isinstance(base, DataFrame):                                    # a one-row table
+        base = base.first()["base"]
+    stacked = bars.withColumn("end", F.lit(float(base)) + F.sum("shap").over(w_cum))
     return stacked.select("row_id", "rank", "feature", r6("value").alias("value"), r6("shap").alias("shap"),
                           r6(F.col("end") - F.col("shap")).alias("start"), r6("end").alias("end"))
 
