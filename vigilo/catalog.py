@@ -1030,3 +1030,21 @@ def q_scan_vaccines_first(spark, sf):
     CS.write_extract(raw.orderBy("_file_pos").select(*C.VACCINE_COLUMNS), path)
     scanned = CS.scan_vaccines(spark, path)
     return P.vaccines_first(scanned)
+
+
+# ---------------------------------------------------------------- second labelled set (NULL labels)
+
+from vigilo.sources.tables import table as _table  # noqa: E402
+
+
+@register("rate_by_source_docs", O.with_("""t AS (
+  SELECT d.source, avg(l.toxic) AS rate, count(*) AS n FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
+  WHERE d.source IS NOT NULL GROUP BY d.source HAVING count(*) >= 20)""") +
+          f" SELECT source, rate, n, {O.rnd('rate * 100', 2)} AS rate_pct FROM t")
+def q_rate_by_source_docs(spark, sf):
+    """A4 on documents ⟕ labels: unlabelled rows count in n, not in the rate
+    (mean over non-NULL labels, size over all rows)."""
+    docs = _table(spark, sf, "documents", "doc_id", "source")
+    labels = _table(spark, sf, "labels", "doc_id", "toxic")
+    return X.rate_table(docs.join(labels, "doc_id", "left"), "source", C.MIN_SUPPORT["category"],
+                        label="toxic")
