@@ -1048,3 +1048,20 @@ def q_rate_by_source_docs(spark, sf):
     labels = _table(spark, sf, "labels", "doc_id", "toxic")
     return X.rate_table(docs.join(labels, "doc_id", "left"), "source", C.MIN_SUPPORT["category"],
                         label="toxic")
+
+
+# ---------------------------------------------------------------- the training job and the network history
+
+@register("export_artifacts")
+def q_export_artifacts(spark, sf):
+    """S4–S9 end to end: fit all models, evaluate, explain, persist; lists the
+    written tables with their row counts (CV for the logistic model only)."""
+    from vigilo.plans.training import run_training
+    return run_training(spark, sf, scratch_path(spark, "training"), settings=WF.QUERY_SETTINGS,
+                        cv_models=("logistic",))
+
+
+@register("mlp_history")
+def q_mlp_history(spark, sf):
+    """C14 for the network: the optimiser's loss after each iteration."""
+    return M.training_history(spark, WF.fitted(spark, sf, "mlp"), "mlp")

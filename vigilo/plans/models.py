@@ -172,5 +172,6 @@ def training_history(spark: SparkSession, model: PipelineModel, name: str,
         losses = clf.evaluateEachIteration(data)
         rows = [(name, i + 1, None, float(v)) for i, v in enumerate(losses)]
     elif hasattr(clf, "summary") and getattr(clf, "hasSummary", False):
-        rows = [(name, i + 1, float(v), None) for i, v in enumerate(clf.summary.objectiveHistory)]
+        summ = clf.summary() if callable(clf.summary) else clf.summary      # method on some models
+        rows = [(name, i + 1, float(v), None) for i, v in enumerate(summ.objectiveHistory)]
     return spark.createDataFrame(rows, "model string, epoch int, train_loss double, val_loss double")
