@@ -22,7 +22,7 @@ mlp             MultilayerPerceptron 128-128 (sigmoid, L-BFGS, unweighted:
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
     RandomForestClassifier)
@@ -90,24 +90,29 @@ def with_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.col(C.LABEL).cast("double"))
 
 
-def fit(train: DataFrame, name: str, **over) -> PipelineModel:
-    """Fit preparation + classifier on the training rows."""
+def fit(train: DataFrame, name: str, prep_model=None, **over) -> PipelineModel:
+    """Fit preparation + classifier on the training rows.
+
+    ``prep_model`` lets several models share one fitted preparation of the
+    same training rows (it is deterministic, so refitting it per model would
+    only repeat the work). The classifier trains on the transformed vectors,
+    persisted once for its iterations and released afterwards.
+    """
     data = with_label(weighted(train, name))
-    prep = default_preparer(train.columns)
-    if name == "mlp":
-        prep_model = prep.fit(data)
-        n_in = len(prep_model.feature_names())
-        hidden = over.pop("hidden", C.MLP_HIDDEN)
-        clf = classifier(name, layers=[n_in, *hidden, 2], **over)
-        return PipelineModel([prep_model, clf.fit(prep_model.transform(data))])
-    n_w = None
-    if name in ("ridge", "lasso"):
-        n_w = data.agg(F.sum("weight")).first()[0]
-    data = data.persist()
+    if prep_model is None:
+        prep_model = default_preparer(train.columns).fit(data)
+    feats = prep_model.transform(data).select("features", "label", "weight").persist()
     try:
-        return Pipeline(stages=[prep, classifier(name, n_w, **over)]).fit(data)
+        if name == "mlp":
+            n_in = len(prep_model.feature_names())
+            hidden = over.pop("hidden", C.MLP_HIDDEN)
+            est = classifier(name, layers=[n_in, *hidden, 2], **over)
+        else:
+            n_w = feats.agg(F.sum("weight")).first()[0] if name in ("ridge", "lasso") else None
+            est = classifier(name, n_w, **over)
+        return PipelineModel([prep_model, est.fit(feats)])
     finally:
-        data.unpersist()
+        feats.unpersist()
 
 
 def score(model: PipelineModel, df: DataFrame, name: str, keep=()) -> DataFrame:

@@ -17,6 +17,7 @@ from vigilo.operators import explain as XP
 from vigilo.operators.sampling import explain_sample
 from vigilo.plans import models as M
 from vigilo.plans import tuning as TU
+from vigilo.plans.features import default_preparer
 from vigilo.plans.materialize import materialized_split
 from vigilo.sources import artifacts as AR
 
@@ -45,9 +46,10 @@ def run_training(spark: SparkSession, sf_dir: str, out: str, models=M.ALL_MODELS
     sym = [c for c in split.columns if c.startswith(C.SYM_PREFIX)]
     put("X_test_original", test.select(C.KEY, *raw_cols, *sym))
 
+    prep = default_preparer(train.columns).fit(M.with_label(train))               # M1–M6, once
     fitted = {}
     for name in models:                                                          # C1–C7
-        fitted[name] = M.fit(train, name, **dict(settings.get(name, {})))
+        fitted[name] = M.fit(train, name, prep_model=prep, **dict(settings.get(name, {})))
         AR.save_model(fitted[name], f"{out}/models/{name}")                      # S7
     scored = None
     for name, m in fitted.items():                                               # C8

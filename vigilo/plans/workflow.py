@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from vigilo.operators.sampling import explain_sample
 from vigilo.plans import models as M
+from vigilo.plans.features import default_preparer
 from vigilo.plans.materialize import materialized_split
 
 # Settings for the registered queries (documented deviation: smaller ensembles).
@@ -44,12 +45,26 @@ def fitted(spark: SparkSession, sf: str, name: str) -> PipelineModel:
     with _LOCK:
         m = _FITS.get(key)
     if m is None:
-        m = M.fit(train_rows(spark, sf), name, **dict(QUERY_SETTINGS[name]))
+        m = M.fit(train_rows(spark, sf), name, prep_model=shared_preparation(spark, sf),
+                  **dict(QUERY_SETTINGS[name]))
         with _LOCK:
             _FITS[key] = m
     return m
 
 
+def shared_preparation(spark: SparkSession, sf: str):
+    """One fitted preparation of the training rows, shared by every model."""
+    key = (spark.sparkContext.applicationId, sf, "_prep")
+    with _LOCK:
+        p = _FITS.get(key)
+    if p is None:
+        train = M.with_label(train_rows(spark, sf))
+        p = default_preparer(train.columns).fit(train)
+        with _LOCK:
+            _FITS[key] = p
+    return p
+
+
 def scored_test(spark: SparkSession, sf: str, names=M.ALL_MODELS) -> DataFrame:
     parts = [M.score(fitted(spark, sf, n), test_rows(spark, sf), n) for n in names]
     out = parts[0]
