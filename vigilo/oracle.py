@@ -95,15 +95,10 @@ raw_reports AS (
   LEFT JOIN line_agg la ON o.o_orderkey = la.l_orderkey),
 lines_part AS (
   SELECT l.*, p.p_name, p.p_brand FROM lineitem l LEFT JOIN part p ON l.l_partkey = p.p_partkey),
-sym_slots AS (
-  SELECT l_orderkey,
-         CASE WHEN l_linenumber = 3 THEN p_name || ' ' ELSE p_name END AS term,
-         row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) - 1 AS pos
-  FROM lines_part),
 raw_symptoms AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS VAERS_ID,
-         {", ".join(f"max(CASE WHEN pos % 5 = {k - 1} THEN term END) AS SYMPTOM{k}" for k in range(1, 6))}
-  FROM sym_slots GROUP BY l_orderkey, pos // 5),
+         {", ".join(f"CASE WHEN (l_linenumber - 1) % 5 + 1 = {k} THEN CASE WHEN l_linenumber = 3 THEN p_name || ' ' ELSE p_name END END AS SYMPTOM{k}" for k in range(1, 6))}
+  FROM lines_part),
 raw_vaccines AS (
   SELECT CAST(l_orderkey AS VARCHAR) AS VAERS_ID,
          CASE p_brand WHEN 'Brand#1' THEN 'pfizer\\biontech' WHEN 'Brand#2' THEN 'PFIZER-BIONTECH '

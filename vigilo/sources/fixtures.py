@@ -6,7 +6,7 @@ from the TPC-H-like tables so that every cleaning rule has something to do:
 
 * reports   one row per order (orders ⟕ customer ⟕ nation ⟕ line aggregates)
 * symptoms  five term slots per row, several rows per report
-            (lineitem ⋈ part, term = part name, lines chunked by fives)
+            (lineitem ⋈ part, term = part name, one line per row)
 * vaccines  one row per line item; the first one per report in "file order"
             (a total order over the line columns) is the one kept
 
@@ -16,7 +16,7 @@ column by column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo.sources.tables import table
@@ -101,22 +101,17 @@ def _lines_with_part(spark: SparkSession, sf_dir: str, *line_cols: str) -> DataF
 def raw_symptoms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The symptoms extract: VAERS_ID + SYMPTOM1..5, several rows per report.
 
-    Lines of an order, in file order, fill the five slots of consecutive rows;
-    the third line's term carries a trailing blank that cleaning must strip.
-    The window is per order (at most seven lines each in this data).
+    Each line item is one row whose term sits in slot ((linenumber − 1) mod 5)
+    + 1, the other slots empty; the third line's term carries a trailing
+    blank that cleaning must strip. A narrow projection of the scan — no
+    per-report ordering, grouping or shuffle, however many lines one report
+    has.
     """
-    lp = _lines_with_part(spark, sf_dir, *LINE_FILE_ORDER)
+    lp = _lines_with_part(spark, sf_dir, "l_partkey", "l_linenumber")
     term = F.when(F.col("l_linenumber") == 3, F.concat("p_name", F.lit(" "))).otherwise(F.col("p_name"))
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_FILE_ORDER)
-    pos = F.row_number().over(w) - 1
-    slotted = lp.select(
-        "l_orderkey", term.alias("term"),
-        F.floor(pos / 5).alias("row_in_report"), (pos % 5 + 1).alias("slot"))
-    return slotted.groupBy("l_orderkey", "row_in_report").agg(
-        *[F.max(F.when(F.col("slot") == k, F.col("term"))).alias(f"SYMPTOM{k}")
-          for k in range(1, 6)]
-    ).select(_num_text(F.col("l_orderkey")).alias("VAERS_ID"),
-             *[f"SYMPTOM{k}" for k in range(1, 6)])
+    slot = (F.col("l_linenumber") - 1) % 5 + 1
+    return lp.select(_num_text(F.col("l_orderkey")).alias("VAERS_ID"),
+                     *[F.when(slot == k, term).alias(f"SYMPTOM{k}") for k in range(1, 6)])
 
 
 def raw_vaccines(spark: SparkSession, sf_dir: str) -> DataFrame:
