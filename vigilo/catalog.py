@@ -873,9 +873,16 @@ def q_dependence_curve(spark, sf):
 
 # ---------------------------------------------------------------- CV, grid search, history
 
+_CV: dict = {}
+
+
 @register("cv_model_scores")
 def q_cv_model_scores(spark, sf):
-    return E.fold_scores(TU.cross_validate(WF.train_rows(spark, sf), "logistic"))
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _CV:                                  # five fits, shared with the summary
+        folds = E.fold_scores(TU.cross_validate(WF.train_rows(spark, sf), "logistic"))
+        _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # ≤ folds × 5 metric rows
+    return _CV[key]
 
 
 @register("cv_model_summary")
