@@ -1072,3 +1072,10 @@ def q_export_artifacts(spark, sf):
 def q_mlp_history(spark, sf):
     """C14 for the network: the optimiser's loss after each iteration."""
     return M.training_history(spark, WF.fitted(spark, sf, "mlp"), "mlp")
+
+
+
+@register("split_importances")
+def q_split_importances(spark, sf):
+    """C12 as split counts for the boosted model."""
+    return M.split_importances(spark, "lightgbm", WF.fitted(spark, sf, "lightgbm"))

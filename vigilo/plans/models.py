@@ -158,6 +158,21 @@ def importances(spark: SparkSession, models: dict[str, PipelineModel]) -> DataFr
     return spark.createDataFrame(rows, "model string, feature string, value double, rank int")
 
 
+def split_importances(spark: SparkSession, name: str, model: PipelineModel) -> DataFrame:
+    """C12, split-count flavour (the reference booster's default): how many
+    internal nodes of the ensemble split on each feature, ranked."""
+    from vigilo.operators.explain import ensemble_tables
+    names = feature_names(model)
+    trees, _ = ensemble_tables(model.stages[-1], spark)
+    counts = [0] * len(names)
+    for t in trees:
+        for f in t["feature"][t["left"] >= 0]:
+            counts[int(f)] += 1
+    order = sorted(range(len(names)), key=lambda i: (-counts[i], names[i]))
+    rows = [(name, names[i], float(counts[i]), r + 1) for r, i in enumerate(order)]
+    return spark.createDataFrame(rows, "model string, feature string, value double, rank int")
+
+
 def top_by_rank(table: DataFrame, k: int = C.TOP_FEATURES) -> DataFrame:
     """The k best-ranked features per model."""
     return table.where(F.col("rank") <= k)
