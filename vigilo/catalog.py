@@ -372,7 +372,7 @@ def q_label_location_stats(spark, sf):
 
 def _profile_sql(median_cols_sql: str, mode_num_sql: str | None) -> str:
     cat = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in C.CAT_FEATURES)
-    parts = [f"""SELECT feature, quantile_cont(v, 0.5) AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM
+    parts = [f"""SELECT feature, {O.r6('quantile_cont(v, 0.5)')} AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM
       (UNPIVOT (SELECT VAERS_ID, {median_cols_sql} FROM split_wide WHERE split = 'test')
        ON COLUMNS(* EXCLUDE (VAERS_ID)) INTO NAME feature VALUE v) GROUP BY feature"""]
     if mode_num_sql:

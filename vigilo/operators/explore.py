@@ -249,7 +249,7 @@ def profile_row(df: DataFrame, numeric: list[str], categorical: list[str],
         long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             [], list(numeric), "feature", "v")
         med = exact_percentiles(long, "v", [0.5], ["feature"], len(numeric))
-        parts.append(med.select("feature", F.col("q").alias("value_num"),
+        parts.append(med.select("feature", r6("q").alias("value_num"),
                                 F.lit(None).cast("string").alias("value_cat")))
     if mode_numeric:
         m = exact_modes(df, list(mode_numeric))
