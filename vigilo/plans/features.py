@@ -146,17 +146,18 @@ def fit_numeric(df: DataFrame, num: list[str]) -> tuple[list[float], list[float]
 def fit_categories(df: DataFrame, cat: list[str]) -> dict[str, list[str]]:
     """Sorted distinct values per categorical column (NULL → 'Unknown').
 
-    One distinct-pairs job; its size is checked before it reaches the driver.
+    One distinct-pairs job, read with a limit one past the bound, so an
+    unexpectedly wide column fails fast instead of flooding the driver.
     """
     if not cat:
         return {}
     pairs = (df.select(*[fill_unknown(c).alias(c) for c in cat])
                .unpivot([], cat, "feature", "value").distinct())
-    n = pairs.count()
-    if n > MAX_CATEGORIES:
-        raise ValueError(f"{n} categories exceed the one-hot bound {MAX_CATEGORIES}")
+    got = pairs.limit(MAX_CATEGORIES + 1).collect()          # bounded read, one pass
+    if len(got) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} categories: over the one-hot bound")
     out: dict[str, list[str]] = {c: [] for c in cat}
-    for r in pairs.collect():
+    for r in got:
         out[r["feature"]].append(r["value"])
     return {c: sorted(v) for c, v in out.items()}
 
