@@ -40,7 +40,7 @@ def test_oracle_agrees(spark, sf, con, key):
     dcols, drows = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(cols) == sorted(dcols)
     assert len(rows) == len(drows)
-    assert rows_of(cols, rows) == rows_of(dcols, drows)
+    assert rows_of(cols, rows, exact=True) == rows_of(dcols, drows, exact=True)   # bit for bit
 
 
 def test_rows_only_queries_run_without_cross_joins(spark, sf):
