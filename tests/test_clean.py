@@ -2,7 +2,6 @@
 
 import math
 
-from pyspark.sql import functions as F
 
 from vigilo import config as C
 from vigilo.functions import clean

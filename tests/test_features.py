@@ -18,14 +18,12 @@ def test_median_popsd_onehot(spark, tmp_path):
     sd = math.sqrt(sum((v - mean) ** 2 for v in vals) / 5)        # population sd
     assert math.isclose(model.getOrDefault("stds")[0], sd)
     assert model.feature_names() == ["x", "f", "c_b", "c_c"]      # first category dropped
-    test = spark.createDataFrame([(None, "a", 0), (1.0, "z", 1), (2.0, "c", 1)], "x double, c string, f int")
-    rows = {r["feature"] + str(i): r["value"] for i, part in enumerate([test])
-            for r in model.long(test.withColumn("VAERS_ID", test["x"]))
-            .collect()}
-    got = model.long(test.withColumn("VAERS_ID", test["x"])).toPandas()
-    z = got[(got.VAERS_ID == 1.0) & got.feature.isin(["c_b", "c_c"])]
-    assert (z.value == 0.0).all()                                 # unknown category → all zeros
-    assert rows
+    test = spark.createDataFrame([(1, None, "a", 0), (2, 1.0, "z", 1), (3, 2.0, "c", 1)],
+                                 "VAERS_ID int, x double, c string, f int")
+    got = model.long(test).toPandas().set_index(["VAERS_ID", "feature"])["value"]
+    assert got[(2, "c_b")] == 0.0 and got[(2, "c_c")] == 0.0     # unknown category → all zeros
+    assert got[(3, "c_c")] == 1.0 and got[(1, "c_b")] == 0.0      # first category dropped
+    assert math.isclose(got[(1, "x")], (3.0 - mean) / sd)          # NULL → training median
 
 
 def test_population_sd_of_three(spark):
