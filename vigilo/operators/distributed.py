@@ -28,9 +28,13 @@ MAX_BROADCAST_ROWS = 2_000_000
 HASH_BUCKETS = 1 << 16           # 16-bit prefix of the md5 hex string
 
 
+MAX_BLOCKS = 4096                # one percentile job returns ≤ this many bounds
+
+
 def default_blocks(df: DataFrame) -> int:
+    """Blocks per prefix sum: a few per shuffle partition, capped."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(16, 4 * parts)
+    return min(MAX_BLOCKS, max(16, 4 * parts))
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int) -> DataFrame:

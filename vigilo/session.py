@@ -13,26 +13,31 @@ def get_spark(master: str | None = None, app: str = "vigilo",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session configured the way the library expects.
 
-    On a cluster the master, memory and checkpoint folder come from the
-    submit-time configuration; only query-semantics settings are fixed here.
+    Only query-semantics settings are fixed everywhere (UTC session time
+    zone, adaptive execution with skew-join splitting, Arrow transfer, no web
+    UI). Local sessions (tests, bench) also get a master, a shuffle width
+    matched to the cores and driver memory; on a cluster (``SPARK_MASTER``
+    set, no explicit master) those come from the submit-time configuration,
+    and AQE sizes shuffle partitions from the data.
     """
     cpus = os.environ.get("BENCH_CPUS", "8")
-    builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER"):
-        builder = builder.master(master or f"local[{cpus}]")
-    parts = shuffle_partitions or int(cpus)
+    local = master is not None or not os.environ.get("SPARK_MASTER")
     builder = (
-        builder
+        SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.driver.memory", os.environ.get("VIGILO_DRIVER_MEMORY", "16g"))
     )
+    if local:
+        builder = (builder.master(master or f"local[{cpus}]")
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
+                   .config("spark.driver.memory", os.environ.get("VIGILO_DRIVER_MEMORY", "16g")))
+    elif shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("FATAL")
     ensure_checkpoint_dir(spark)
