@@ -984,7 +984,8 @@ def q_results_upsert(spark, sf):
     return AR.read_table(spark, path)
 
 
-@register("artifact_check")
+@register("artifact_check", O.base() + " SELECT DIED, count(*) AS count, CAST(0 AS BIGINT) AS history_rows "
+          "FROM sample_base GROUP BY DIED")
 def q_artifact_check(spark, sf):
     """Required artifacts verified; an optional one falls back to empty."""
     path = scratch_path(spark, "artifacts")
@@ -992,7 +993,7 @@ def q_artifact_check(spark, sf):
     AR.require_artifacts(spark, [f"{path}/sample"])
     hist = AR.optional_table(spark, f"{path}/history", "model string, epoch int, val_loss double")
     return AR.read_table(spark, f"{path}/sample").groupBy(C.LABEL).count().withColumn(
-        "history_rows", F.lit(hist.count()))
+        "history_rows", F.lit(hist.count()).cast("bigint"))
 
 
 @register("tree_rules")
