@@ -4,10 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilo.llm import bpe
+from vigilo.llm import bpe, packing, quality_rules
 from vigilo.llm.common import table
 
 
+def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"),
@@ -15,6 +23,8 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_quality_divergence": op2_quality_divergence,
+    "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
 }
 
