@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vigilo.llm import bpe, packing, quality_rules
+from vigilo.llm import bpe, packing, pii, quality_rules
 from vigilo.llm.common import table
 
 
@@ -12,6 +12,11 @@ def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.personal_data(docs, pii.fit(docs))
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_quality_divergence": op2_quality_divergence,
+    "op3_skip_chain_pii": op3_skip_chain_pii,
     "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
 }
