@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from vigilo.llm import bpe, packing, pii, quality_rules
+from vigilo.llm import bpe, packing, pii, quality_classifier, quality_rules, toxicity
 from vigilo.llm.common import table
 
 
+def fold(folds: int) -> Column:
+    """Fold of a document: crc32 of its id as text."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(folds))
+
+
+def op1_random_indexing_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality").where(fold(3) != 1)
+    scored = quality_classifier.score(docs, quality_classifier.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(fold(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -17,6 +30,13 @@ def op3_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(docs, pii.fit(docs))
 
 
+def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", F.coalesce(fold(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
+
+
 def op8_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -28,8 +48,10 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_quality_divergence": op2_quality_divergence,
     "op3_skip_chain_pii": op3_skip_chain_pii,
+    "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
     "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
 }
