@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.llm import ann, bpe, html_extract, packing, pii, quality_classifier, quality_rules, toxicity
+from vigilo.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
 from vigilo.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op9_bpe_rank_array(spark: SparkSession, sf_dir: str) -> DataFrame:
                                   public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op10_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_quality_divergence": op2_quality_divergence,
@@ -64,6 +68,7 @@ QUERIES = {
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
     "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
+    "op10_bayesian_jaccard": op10_bayesian_jaccard,
 }
 
 SQL: dict[str, str] = {}
