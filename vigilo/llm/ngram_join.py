@@ -308,3 +308,14 @@ def jaccard_join(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     nameless = docs.where("doc_id IS NULL").select("doc_id", F.lit(None).cast("bigint").alias("class_id"),
                                                    F.lit(0).cast("bigint").alias("n_links"), F.lit(1).cast("bigint").alias("n_copies"))
     return full.unionByName(rest).unionByName(nameless)
+
+
+def representatives_only(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its class, with all
+    their columns; of rows that repeat an id, all stay or go. Rows without an
+    id stay."""
+    joined = jaccard_join(docs, s)
+    # A column name that no input column has.
+    other = "_other" + "_" * max([0, *(len(c) for c in docs.columns)])
+    others = joined.where("doc_id IS NOT NULL AND class_id <> doc_id").select(F.col("doc_id").alias(other)).distinct()
+    return docs.join(others, docs["doc_id"] == others[other], "left_anti")

@@ -24,6 +24,7 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -205,29 +206,42 @@ class Judge:
         return tuple(None if d is None else float(d[best]) for d in (by_class, by_word))
 
 
+    def verdict(self, text: str) -> dict:
+        """The base counts, distances and decision of one text."""
+        s = self.settings
+        counts, ids, number = base_counts(text)
+        failed = (counts["n_words"] < MIN_WORDS
+                  or 100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
+        by_class, by_word = (None, None) if failed else self.distances(text.encode(), ids, number)
+        near = ((by_class is None or by_class <= s.max_class_distance)
+                and (by_word is None or by_word <= s.max_word_distance))
+        return {**counts, "base_failed": failed, "class_distance": by_class, "word_distance": by_word,
+                "kept": not failed and near}
+
+
 def judge(docs: DataFrame, refs: dict, settings: Settings = Settings()) -> DataFrame:
     """The base counts, distances and verdict of every document."""
     def run(c):
         j = Judge(refs, settings)
-        out = {k: [] for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                               "base_failed", "class_distance", "word_distance", "kept")}
-        for text in c["text"]:
-            counts, ids, number = base_counts(text or "")
-            failed = (counts["n_words"] < MIN_WORDS
-                      or 100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-            by_class, by_word = (None, None) if failed else j.distances((text or "").encode(), ids, number)
-            for k, v in counts.items():
-                out[k].append(v)
-            out["base_failed"].append(failed)
-            out["class_distance"].append(by_class)
-            out["word_distance"].append(by_word)
-            out["kept"].append(not failed and (by_class is None or by_class <= settings.max_class_distance)
-                               and (by_word is None or by_word <= settings.max_word_distance))
-        return {"doc_id": c["doc_id"], **out}
+        verdicts = [j.verdict(text or "") for text in c["text"]]
+        return {"doc_id": c["doc_id"], **{k: [v[k] for v in verdicts] for k in verdicts[0]}}
 
     return map_columns(docs.select("doc_id", "text"), run, RULES)
 
 
+def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """The rows of ``docs`` that are kept, with all their columns."""
+    refs = references(docs, settings)
+
+    def run(batches):
+        j = Judge(refs, settings)
+        for batch in batches:
+            keep = [j.verdict(t or "")["kept"] for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(keep, type=pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality_rules(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """Fit the references on ``docs`` and judge every document by them."""
     return judge(docs, references(docs, settings), settings)

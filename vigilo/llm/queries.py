@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, toxicity
+from vigilo.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
 from vigilo.llm.common import table
 
 
@@ -38,6 +38,10 @@ def op5_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages"))
 
 
+def op6_suffix_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").where(fold(5) != 0)
@@ -65,6 +69,7 @@ QUERIES = {
     "op3_skip_chain_pii": op3_skip_chain_pii,
     "op4_learned_partitions": op4_learned_partitions,
     "op5_wrapper_induction": op5_wrapper_induction,
+    "op6_suffix_index": op6_suffix_index,
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
     "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
