@@ -184,14 +184,21 @@ def nearest_in_block(qid: np.ndarray, q: np.ndarray, rid: np.ndarray, r: np.ndar
     qn, rn = np.sqrt((q * q).sum(axis=1)), np.sqrt((r * r).sum(axis=1))
     near = (q / qn[:, None]) @ (r / rn[:, None]).T
     near[qid[:, None] == rid[None, :]] = -np.inf
-    at_least = np.partition(near, -k, axis=1)[:, -k] if near.shape[1] > k else np.full(len(near), -2.0)
+    ids, of = np.unique(rid, return_inverse=True)
+    by_id = near
+    if len(ids) < len(rid):  # rows that repeat an id count once, with their best
+        order = np.argsort(of, kind="stable")
+        by_id = np.maximum.reduceat(near[:, order], np.searchsorted(of[order], np.arange(len(ids))), axis=1)
+    at_least = np.partition(by_id, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(near), -2.0)
     i, j = np.nonzero(near >= np.maximum(at_least, -2.0)[:, None] - 1e-9)
     score = np.concatenate([(q[a] * r[b]).sum(axis=1) / (qn[a] * rn[b])
                             for a, b in ((i[c:c + 65_536], j[c:c + 65_536]) for c in range(0, len(i), 65_536))] or [np.zeros(0)])
+    order = np.lexsort((-score, rid[j], i))
+    i, j, score = i[order], j[order], score[order]
+    new = np.concatenate([[True], (i[1:] != i[:-1]) | (rid[j[1:]] != rid[j[:-1]])]) if len(i) else np.zeros(0, dtype=bool)
+    i, j, score = i[new], j[new], score[new]
     order = np.lexsort((rid[j], -score, i))
     i, j, score = i[order], j[order], score[order]
-    again = np.concatenate([[False], (i[1:] == i[:-1]) & (rid[j[1:]] == rid[j[:-1]])])  # repeated rows
-    i, j, score = i[~again], j[~again], score[~again]
     rank = np.arange(len(i)) - np.searchsorted(i, i)
     keep = rank < k
     return i[keep], j[keep], score[keep]
@@ -248,7 +255,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, settings: Settings
 
     keys = ("part", "row_block", "query_block")
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    best = found.repartition("query_id").dropDuplicates(["query_id", "vec_id"])
+    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

@@ -62,9 +62,12 @@ DROPPED_WORDS = frozenset(
     "subscription toolbar topbar widget widgets".split())
 CONTAINERS = ("article", "main")
 
+# A tag's quoted values may hold ">"; lengths are bounded, so that a page of
+# broken tags costs no more than a constant for each.
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"<>]*\"|'[^'<>]*')*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
+    r"|<(/?)([a-zA-Z][^\s/>]{0,60})((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'){0,40}+)>"
+    r"|<(/?)([a-zA-Z][^\s/>]{0,60})([^>]{0,4000})>", re.S)
 MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NOT_NAME = re.compile(r"[^a-z0-9:-]")
 SPLIT = re.compile(r"[^a-z0-9]+")

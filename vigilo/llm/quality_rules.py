@@ -173,7 +173,7 @@ class Judge:
     def __init__(self, refs: dict, settings: Settings):
         self.settings = settings
         self.classes = byte_classes()
-        self.class_refs = np.array([r["classes"] for r in refs.values()], dtype=float).reshape(len(refs), -1)
+        self.class_refs = np.array([r["classes"] for r in refs.values()], dtype=float).reshape(len(refs), len(CLASSES))
         self.vocab: dict[bytes, list[tuple[int, int]]] = {}
         width = 1 + max([0, *(len(r["words"]) for r in refs.values())])
         self.word_refs = np.zeros((len(refs), width))

@@ -45,8 +45,6 @@ from vigilo.llm.ngram_join import mixed, multipliers
 LENGTH = 50              # bytes of a match
 ANCHOR = 12              # bytes of an anchor
 PLACE_BITS = 22          # of a position in a chunk
-CHUNK_BYTES = 2_000_000  # texts worked on together; a longer text comes in pieces
-PIECE_BYTES = 1_000_000
 SLICE = 4_000_000        # bytes of contexts fingerprinted together
 
 
@@ -55,6 +53,8 @@ class Settings:
     bucket_bytes: int = 8_000_000    # of text for each bucket, about
     batch_windows: int = 1_000_000   # of a level-0 suffix array
     block_bytes: int = 8_000_000     # of text for each block of documents, about
+    chunk_bytes: int = 2_000_000     # of texts that a task works on together
+    piece_bytes: int = 1_000_000     # of a longer text, which comes in pieces
 
 
 # ---- contexts ---------------------------------------------------------------
@@ -120,14 +120,14 @@ class Fingerprints:
         return mixed((prefixes[end] - prefixes[start]) * self.inverses[start])
 
 
-def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+def pieces(texts: list[bytes], s: Settings) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
     """(text numbers, offsets, bytes) in chunks; a long text is cut into
     pieces that overlap so that each window is in exactly one."""
     which, offset, data, size = [], [], [], 0
     for i, text in enumerate(texts):
-        for at in range(0, max(1, len(text) - LENGTH + 1), PIECE_BYTES):
-            part = text[at:at + PIECE_BYTES + LENGTH - 1]
-            if data and size + len(part) > CHUNK_BYTES:
+        for at in range(0, max(1, len(text) - LENGTH + 1), s.piece_bytes):
+            part = text[at:at + s.piece_bytes + LENGTH - 1]
+            if data and size + len(part) > s.chunk_bytes:
                 yield which, offset, data
                 which, offset, data, size = [], [], [], 0
             which.append(i)
@@ -141,17 +141,17 @@ def pieces(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], list[byte
 SHIPPED = "bucket int, count int, local int, packed binary, contexts binary"
 
 
-def shipper(buckets: int) -> Callable:
+def shipper(buckets: int, s: Settings) -> Callable:
     """Task function: rows (doc_id, row_key, text) to one row for each chunk and
     bucket. ``packed`` holds, for ``count`` contexts and then ``local`` decided
     runs: document ids, row keys, starts, window counts, anchor offsets."""
     schema = arrow_schema(SHIPPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(CHUNK_BYTES + PIECE_BYTES + LENGTH)
+        prints = Fingerprints(s.chunk_bytes + s.piece_bytes + LENGTH)
         squeeze = zstandard.ZstdCompressor(level=3)
-        for ids, keys, texts in row_chunks(batches):
-            for which, offset, data in pieces(texts):
+        for ids, keys, texts in row_chunks(batches, s):
+            for which, offset, data in pieces(texts, s):
                 out = chunk(ids, keys, np.array(which), np.array(offset), data, prints, squeeze)
                 if out is not None:
                     yield out
@@ -197,13 +197,13 @@ def shipper(buckets: int) -> Callable:
     return run
 
 
-def row_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
+def row_chunks(batches: Iterator[pa.RecordBatch], s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
     """(doc ids, row keys, texts as bytes) of about a chunk's size."""
     ids, keys, texts, size = [], [], [], 0
     for batch in batches:
         for i, k, t in zip(*(batch.column(c).to_pylist() for c in range(3))):
             t = (t or "").encode()
-            if texts and size + len(t) > CHUNK_BYTES:
+            if texts and size + len(t) > s.chunk_bytes:
                 yield np.array(ids, dtype=np.int64), np.array(keys, dtype=np.int64), texts
                 ids, keys, texts, size = [], [], [], 0
             ids.append(i)
@@ -383,7 +383,7 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
     buckets, blocks = (max(1, -(-total // n)) for n in (s.bucket_bytes, s.block_bytes))
     row_key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key, "text")
-    found = (keyed.mapInArrow(shipper(buckets), SHIPPED).repartition(buckets, "bucket")
+    found = (keyed.mapInArrow(shipper(buckets, s), SHIPPED).repartition(buckets, "bucket")
              .groupBy("bucket").applyInArrow(bucket_scanner(blocks, s), FOUND))
     # A column name that no input column has.
     key_name = "_row_key" + "_" * max([0, *(len(c) for c in docs.columns)])
