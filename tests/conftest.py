@@ -10,9 +10,10 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from vigilo.session import get_spark
+    from vigilo.session import clear_scratch, get_spark
     s = get_spark(master="local[4]", shuffle_partitions=8)
     yield s
+    clear_scratch(s)
 
 
 @pytest.fixture(scope="session")

@@ -1,4 +1,4 @@
-"""Materialise the sample/split table once per input, in the shared folder.
+"""Materialise the merged, split table once per input, in the shared folder.
 
 Views and metrics all start from the split table. Computing it runs the
 whole ETL; several operators also run small parameter jobs (quantile
@@ -12,13 +12,11 @@ which an RDD checkpoint would not give.
 
 from __future__ import annotations
 
-import os
 import threading
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo import config as C
 from vigilo.plans.sample import build_split
 from vigilo.session import scratch_path
 
@@ -26,31 +24,37 @@ _LOCK = threading.Lock()
 _CACHE: dict[tuple, DataFrame] = {}
 
 
-def _signature(sf_dir: str) -> tuple:
-    """Input identity: path plus size/mtime of each table file (or folder)."""
+def input_signature(spark: SparkSession, sf_dir: str) -> tuple:
+    """Identity of an input: its path with the length and time of every file
+    and folder in it, listed by Hadoop, so any store that Spark reads will do."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(conf)
+    if not fs.exists(root):
+        return (sf_dir,)
     out = []
-    for name in sorted(os.listdir(sf_dir)) if os.path.isdir(sf_dir) else []:
-        st = os.stat(os.path.join(sf_dir, name))
-        out.append((name, st.st_size, int(st.st_mtime)))
-    return (os.path.abspath(sf_dir), tuple(out))
+    for table in fs.listStatus(root):
+        files = fs.listStatus(table.getPath()) if table.isDirectory() else [table]
+        out += [(f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in files]
+    return (sf_dir, tuple(sorted(out)))
 
 
-def materialized_split(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
-    """The split table (sample + split + fold), checkpointed once per input."""
-    key = (spark.sparkContext.applicationId, _signature(sf_dir), target)
+def materialized_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split table (merged table + split + fold), written once per input."""
+    key = (spark.sparkContext.applicationId, input_signature(spark, sf_dir))
     with _LOCK:
         hit = _CACHE.get(key)
         if hit is None:
             path = scratch_path(spark, "split")
-            build_split(spark, sf_dir, target).write.mode("overwrite").partitionBy("split").parquet(path)
+            build_split(spark, sf_dir).write.mode("overwrite").partitionBy("split").parquet(path)
             hit = spark.read.parquet(path)
             _CACHE[key] = hit
     return hit
 
 
-def materialized_sample(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
-    """The sample table: the split table without its split columns."""
-    return materialized_split(spark, sf_dir, target).drop("split", "fold")
+def materialized_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole merged table: the split table without its split columns."""
+    return materialized_split(spark, sf_dir).drop("split", "fold")
 
 
 def test_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

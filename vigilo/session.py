@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -13,15 +14,12 @@ def get_spark(master: str | None = None, app: str = "vigilo",
               shuffle_partitions: int | None = None) -> SparkSession:
     """Build (or reuse) a session configured the way the library expects.
 
-    Only query-semantics settings are fixed everywhere (UTC session time
-    zone, adaptive execution with skew-join splitting, Arrow transfer, no web
-    UI). Local sessions (tests, bench) also get a master, a shuffle width
-    matched to the cores and driver memory; on a cluster (``SPARK_MASTER``
-    set, no explicit master) those come from the submit-time configuration,
-    and AQE sizes shuffle partitions from the data.
+    Query-semantics settings are fixed everywhere (UTC session time zone,
+    adaptive execution with skew-join splitting, Arrow transfer, no web UI).
+    Master, shuffle width and driver memory are set only where the caller
+    passes a master (tests, bench); otherwise they are what the job was
+    submitted with, and AQE sizes shuffle partitions from the data.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
-    local = master is not None or not os.environ.get("SPARK_MASTER")
     builder = (
         SparkSession.builder.appName(app)
         .config("spark.ui.enabled", "false")
@@ -32,11 +30,9 @@ def get_spark(master: str | None = None, app: str = "vigilo",
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    if local:
-        builder = (builder.master(master or f"local[{cpus}]")
-                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions or int(cpus)))
-                   .config("spark.driver.memory", os.environ.get("VIGILO_DRIVER_MEMORY", "16g")))
-    elif shuffle_partitions:
+    if master:
+        builder = builder.master(master).config("spark.driver.memory", os.environ.get("VIGILO_DRIVER_MEMORY", "16g"))
+    if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("FATAL")
@@ -48,8 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting a local one only if unset.
 
     On a cluster ``spark.checkpoint.dir`` names a shared file system; it is
-    read, never overridden. Only a bare local session (tests) gets a fresh
-    folder of its own.
+    read, never overridden. Only a session whose executors are the driver's
+    own process (``local[…]``, as in tests) gets a fresh folder on this
+    machine; any other session without a shared folder is refused, because
+    each executor would write to its own disk.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -57,12 +55,30 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {sc.master} share")
         conf_dir = tempfile.mkdtemp(prefix="vigilo-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
+def scratch_root(spark: SparkSession) -> str:
+    """The application's own folder under the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/vigilo-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder name under the shared checkpoint folder."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/vigilo-{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh, unique folder name in the application's scratch folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove everything the application wrote by :func:`scratch_path`.
+
+    Call it when no DataFrame read from there is needed any more.
+    """
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(root):
+        fs.delete(root, True)
