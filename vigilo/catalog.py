@@ -21,7 +21,7 @@ from vigilo.operators import explore as X
 from vigilo.operators import reshape as R
 from vigilo.operators import sampling as S
 from vigilo.plans import sample as P
-from vigilo.plans.materialize import materialized_sample, materialized_split
+from vigilo.plans.materialize import materialized_merged, materialized_split
 from vigilo.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -93,7 +93,7 @@ def q_normalise_alias(spark, sf):
 @register("fill_unknown", O.base() + " SELECT VAERS_ID, " + ", ".join(
     f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in C.CAT_FEATURES) + " FROM sample_base")
 def q_fill_unknown(spark, sf):
-    s = materialized_sample(spark, sf)
+    s = materialized_merged(spark, sf)
     return s.select(C.KEY, *[fill_unknown(c).alias(c) for c in C.CAT_FEATURES])
 
 
@@ -127,10 +127,24 @@ def q_topk_semi_filter(spark, sf):
     return R.topk_semi_filter(long, R.topk_terms(long))
 
 
-@register("indicator_pivot", O.base(O.flags_ctes()) + " SELECT VAERS_ID, CAST(COALESCE(COLUMNS('^SYM_'), 0) AS TINYINT) FROM sym_flags")
+def _with_flag_list(df):
+    """The SYM_ columns of a wide table as one text: the sorted names that are 1."""
+    sym = sorted(c for c in df.columns if c.startswith(C.SYM_PREFIX))
+    names = F.array_compact(F.array(*[F.when(F.col(f"`{c}`") == 1, F.lit(c)) for c in sym]))
+    return df.select(*[c for c in df.columns if c not in sym], F.array_join(names, ",").alias("flags"))
+
+
+FLAG_LIST = "coalesce(f.flags, '') AS flags"
+
+
+@register("indicator_pivot", O.base() + " SELECT VAERS_ID, feature AS name, CAST(v AS TINYINT) AS flag FROM ("
+          + O.flags_long("flag_lists") + ")")
 def q_indicator_pivot(spark, sf):
+    """The pivoted table, read back in long form."""
     long = P.symptom_long(fixtures.raw_symptoms(spark, sf))
-    return R.indicator_pivot(long, R.collect_top_terms(R.topk_terms(long)))
+    wide = R.indicator_pivot(long, R.collect_top_terms(R.topk_terms(long)))
+    sym = [c for c in wide.columns if c != C.KEY]
+    return wide.unpivot([C.KEY], sym, "name", "flag")
 
 
 @register("top_values", O.base() + " SELECT VAX_MANU, count(*) AS n FROM vax WHERE VAX_MANU IS NOT NULL "
@@ -148,15 +162,15 @@ def q_dedup_first(spark, sf):
 
 # ---------------------------------------------------------------- joins
 
-@register("left_join_flags", O.base(O.flags_ctes()) + " SELECT r.*, CAST(COALESCE(COLUMNS('^SYM_'), 0) AS TINYINT) "
-          "FROM reports r LEFT JOIN sym_flags f ON r.VAERS_ID = f.VAERS_ID")
+@register("left_join_flags", O.base() + f" SELECT r.*, {FLAG_LIST} "
+          "FROM reports r LEFT JOIN flag_lists f ON r.VAERS_ID = f.VAERS_ID")
 def q_left_join_flags(spark, sf):
     reports = P.clean_reports(fixtures.raw_reports(spark, sf))
     long = P.symptom_long(fixtures.raw_symptoms(spark, sf))
     flags = R.indicator_pivot(long, R.collect_top_terms(R.topk_terms(long)))
     sym = [c for c in flags.columns if c != C.KEY]
-    return reports.join(flags, C.KEY, "left").withColumns(
-        {c: F.coalesce(F.col(c), F.lit(0)).cast("tinyint") for c in sym})
+    return _with_flag_list(reports.join(flags, C.KEY, "left").withColumns(
+        {c: F.coalesce(F.col(c), F.lit(0)).cast("tinyint") for c in sym}))
 
 
 @register("left_join_dim", O.base() + " SELECT * FROM merged_base")
@@ -167,9 +181,14 @@ def q_left_join_dim(spark, sf):
 
 # ---------------------------------------------------------------- sampling
 
-@register("stratified_sample", O.base(O.flags_ctes()) + " SELECT * FROM sample_wide")
+SMALL_TARGET = 5_000  # so that R1's cut acts on the small tables too
+WIDE_SAMPLE = f" SELECT s.*, {FLAG_LIST} FROM sample_base s LEFT JOIN flag_lists f ON s.VAERS_ID = f.VAERS_ID"
+
+
+@register("stratified_sample", O.base(target=SMALL_TARGET) + WIDE_SAMPLE)
 def q_stratified_sample(spark, sf):
-    return materialized_sample(spark, sf)
+    """Every positive and seeded negatives up to the target."""
+    return _with_flag_list(S.stratified_sample(materialized_merged(spark, sf), target=SMALL_TARGET))
 
 
 @register("stratified_split", O.base() + " SELECT VAERS_ID, DIED, split FROM split_base")
@@ -210,23 +229,23 @@ def _rate_sql(key: str, min_n: int | None, digits: int, src: str = "sample_base"
 
 @register("rate_by_sex", O.base() + _rate_sql("SEX", C.MIN_SUPPORT["SEX"], 2))
 def q_rate_by_sex(spark, sf):
-    return X.rate_table(materialized_sample(spark, sf), "SEX", C.MIN_SUPPORT["SEX"])
+    return X.rate_table(materialized_merged(spark, sf), "SEX", C.MIN_SUPPORT["SEX"])
 
 
 @register("rate_by_manufacturer", O.base() + _rate_sql("VAX_MANU", C.MIN_SUPPORT["VAX_MANU"], 2))
 def q_rate_by_manufacturer(spark, sf):
-    return X.rate_table(materialized_sample(spark, sf), "VAX_MANU", C.MIN_SUPPORT["VAX_MANU"])
+    return X.rate_table(materialized_merged(spark, sf), "VAX_MANU", C.MIN_SUPPORT["VAX_MANU"])
 
 
 @register("rate_by_dose", O.base() + _rate_sql("VAX_DOSE_SERIES", C.MIN_SUPPORT["VAX_DOSE_SERIES"], 2))
 def q_rate_by_dose(spark, sf):
-    return X.rate_table(materialized_sample(spark, sf), "VAX_DOSE_SERIES",
+    return X.rate_table(materialized_merged(spark, sf), "VAX_DOSE_SERIES",
                         C.MIN_SUPPORT["VAX_DOSE_SERIES"], order="key")
 
 
 @register("rate_by_state", O.base() + _rate_sql("STATE", C.MIN_SUPPORT["STATE"], 3))
 def q_rate_by_state(spark, sf):
-    return X.rate_table(materialized_sample(spark, sf), "STATE", C.MIN_SUPPORT["STATE"], digits=3)
+    return X.rate_table(materialized_merged(spark, sf), "STATE", C.MIN_SUPPORT["STATE"], digits=3)
 
 
 def _category_sql(key: str) -> str:
@@ -237,18 +256,18 @@ def _category_sql(key: str) -> str:
 
 @register("rate_by_category", _category_sql("STATE"))
 def q_rate_by_category(spark, sf):
-    return X.rate_by_category(materialized_sample(spark, sf), "STATE")
+    return X.rate_by_category(materialized_merged(spark, sf), "STATE")
 
 
 @register("category_counts", _category_sql("VAX_MANU"))
 def q_category_counts(spark, sf):
-    return X.category_counts(materialized_sample(spark, sf), "VAX_MANU")
+    return X.category_counts(materialized_merged(spark, sf), "VAX_MANU")
 
 
 @register("rate_by_flag", O.base(f"t AS ({_rate_sql('HOSPITAL', None, 2, drop_null=False)})") +
           " SELECT *, CASE WHEN HOSPITAL = 1 THEN 'Yes' WHEN HOSPITAL = 0 THEN 'No / Not Reported' END AS label FROM t")
 def q_rate_by_flag(spark, sf):
-    return X.rate_by_flag(materialized_sample(spark, sf), "HOSPITAL")
+    return X.rate_by_flag(materialized_merged(spark, sf), "HOSPITAL")
 
 
 @register("risk_ratio", O.base(f"t AS ({_rate_sql('L_THREAT', None, 2, drop_null=False)})") + """
@@ -257,7 +276,7 @@ def q_rate_by_flag(spark, sf):
         max(CASE WHEN L_THREAT = 1 THEN rate_pct END) / greatest(max(CASE WHEN L_THREAT = 0 THEN rate_pct END), CAST(0.001 AS DOUBLE)) AS ratio
  FROM t""")
 def q_risk_ratio(spark, sf):
-    return X.risk_ratio(materialized_sample(spark, sf), "L_THREAT")
+    return X.risk_ratio(materialized_merged(spark, sf), "L_THREAT")
 
 
 @register("kpi_summary", O.base() + """
@@ -267,7 +286,7 @@ def q_risk_ratio(spark, sf):
         (SELECT count(DISTINCT name) FROM (SELECT """ + O.safe("SYMPTOM") + """ AS name FROM top_terms)) AS n_flags
  FROM sample_base""")
 def q_kpi_summary(spark, sf):
-    return X.kpi_summary(materialized_sample(spark, sf))
+    return X.kpi_summary(materialized_merged(spark, sf))
 
 
 @register("flag_totals_top15", O.base(
@@ -280,7 +299,7 @@ def q_kpi_summary(spark, sf):
  UNION ALL
  SELECT replace(regexp_replace(name, '^SYM_', ''), '_', ' ') AS Symptom, 'Deaths' AS "Group", CAST(deaths AS BIGINT) AS Count FROM top""")
 def q_flag_totals_top15(spark, sf):
-    return X.flag_totals_top15(materialized_sample(spark, sf))
+    return X.flag_totals_top15(materialized_merged(spark, sf))
 
 
 @register("monthly_volume", O.base(
@@ -289,7 +308,7 @@ def q_flag_totals_top15(spark, sf):
  SELECT c.*, CASE WHEN DIED = 1 THEN 'Died' WHEN DIED = 0 THEN 'Survived' END AS Outcome
  FROM c SEMI JOIN m ON c.RECV_YEAR_MONTH = m.RECV_YEAR_MONTH""")
 def q_monthly_volume(spark, sf):
-    return X.monthly_volume(materialized_sample(spark, sf))
+    return X.monthly_volume(materialized_merged(spark, sf))
 
 
 def _corr_sql() -> str:
@@ -303,7 +322,7 @@ def _corr_sql() -> str:
 
 @register("corr_matrix", _corr_sql())
 def q_corr_matrix(spark, sf):
-    return X.corr_matrix(materialized_sample(spark, sf))
+    return X.corr_matrix(materialized_merged(spark, sf))
 
 
 @register("histogram_by_label", O.base(
@@ -312,7 +331,7 @@ def q_corr_matrix(spark, sf):
    SELECT CAST(least(floor((AGE_YRS - lo) / w), {C.AGE_BINS - 1}) AS INTEGER) AS bin, DIED, count(*) AS n, any_value(lo) AS lo, any_value(w) AS w
    FROM sample_base, b WHERE AGE_YRS IS NOT NULL GROUP BY 1, 2)""")
 def q_histogram_by_label(spark, sf):
-    return X.histogram_by_label(materialized_sample(spark, sf), "AGE_YRS", C.AGE_BINS)
+    return X.histogram_by_label(materialized_merged(spark, sf), "AGE_YRS", C.AGE_BINS)
 
 
 def _box_sql(src_cte: str, value: str, group: str) -> str:
@@ -330,7 +349,7 @@ def _box_sql(src_cte: str, value: str, group: str) -> str:
     "src AS (SELECT NUMDAYS, CASE WHEN DIED = 1 THEN 'Died' WHEN DIED = 0 THEN 'Survived' END AS Outcome FROM sample_base)",
     "NUMDAYS", "Outcome"))
 def q_box_stats(spark, sf):
-    return X.lag_box(materialized_sample(spark, sf))
+    return X.lag_box(materialized_merged(spark, sf))
 
 
 OUTCOME_UNION = " UNION ALL ".join(
@@ -340,12 +359,12 @@ OUTCOME_UNION = " UNION ALL ".join(
 
 @register("outcome_unpivot", O.base() + " " + OUTCOME_UNION)
 def q_outcome_unpivot(spark, sf):
-    return R.outcome_unpivot(materialized_sample(spark, sf), "AGE_YRS")
+    return R.outcome_unpivot(materialized_merged(spark, sf), "AGE_YRS")
 
 
 @register("box_stats_outcomes", _box_sql(f"src AS ({OUTCOME_UNION})", "AGE_YRS", "Outcome"))
 def q_box_stats_outcomes(spark, sf):
-    return X.age_box_by_outcomes(materialized_sample(spark, sf))
+    return X.age_box_by_outcomes(materialized_merged(spark, sf))
 
 
 DECILE_LIST = "[" + ", ".join(repr(p) for p in X.DECILES) + "]"
@@ -360,31 +379,37 @@ DECILE_LIST = "[" + ", ".join(repr(p) for p in X.DECILES) + "]"
         {O.rnd('avg(DIED) * 100', 2)} AS rate_pct
  FROM b GROUP BY bucket""")
 def q_decile_rate(spark, sf):
-    return X.decile_rate(materialized_sample(spark, sf), "AGE_YRS")
+    return X.decile_rate(materialized_merged(spark, sf), "AGE_YRS")
 
 
 @register("label_location_stats", O.base() + f"""
  SELECT DIED, {O.r6('avg(AGE_YRS)')} AS mean, {O.r6('quantile_cont(AGE_YRS, 0.5)')} AS median
  FROM sample_base WHERE AGE_YRS IS NOT NULL GROUP BY DIED""")
 def q_label_location_stats(spark, sf):
-    return X.label_location_stats(materialized_sample(spark, sf), "AGE_YRS")
+    return X.label_location_stats(materialized_merged(spark, sf), "AGE_YRS")
 
 
 def _profile_sql(median_cols_sql: str, mode_num_sql: str | None) -> str:
     cat = ", ".join(f"coalesce(CAST({c} AS VARCHAR), 'Unknown') AS {c}" for c in C.CAT_FEATURES)
-    parts = [f"""SELECT feature, {O.r6('quantile_cont(v, 0.5)')} AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM
-      (UNPIVOT (SELECT VAERS_ID, {median_cols_sql} FROM split_wide WHERE split = 'test')
+    flags = O.flags_long("test_rows")
+    medians = f"""SELECT feature, {O.r6('quantile_cont(v, 0.5)')} AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM"""
+    modes = """SELECT feature, CAST(first(v ORDER BY c DESC, v ASC) AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM
+      (SELECT feature, v, count(*) AS c FROM"""
+    parts = [f"""{medians}
+      (UNPIVOT (SELECT VAERS_ID, {median_cols_sql} FROM split_base WHERE split = 'test')
        ON COLUMNS(* EXCLUDE (VAERS_ID)) INTO NAME feature VALUE v) GROUP BY feature"""]
     if mode_num_sql:
-        parts.append(f"""SELECT feature, CAST(first(v ORDER BY c DESC, v ASC) AS DOUBLE) AS value_num, CAST(NULL AS VARCHAR) AS value_cat FROM
-      (SELECT feature, v, count(*) AS c FROM
-        (UNPIVOT (SELECT VAERS_ID, {mode_num_sql} FROM split_wide WHERE split = 'test')
+        parts.append(f"""{modes}
+        (UNPIVOT (SELECT VAERS_ID, {mode_num_sql} FROM split_base WHERE split = 'test')
          ON COLUMNS(* EXCLUDE (VAERS_ID)) INTO NAME feature VALUE v) GROUP BY feature, v) GROUP BY feature""")
+        parts.append(f"{modes} ({flags}) GROUP BY feature, v) GROUP BY feature")
+    else:
+        parts.append(f"{medians} ({flags}) GROUP BY feature")
     parts.append(f"""SELECT feature, CAST(NULL AS DOUBLE) AS value_num, first(v ORDER BY c DESC, v ASC) AS value_cat FROM
       (SELECT feature, v, count(*) AS c FROM
-        (UNPIVOT (SELECT VAERS_ID, {cat} FROM split_wide WHERE split = 'test')
+        (UNPIVOT (SELECT VAERS_ID, {cat} FROM split_base WHERE split = 'test')
          ON COLUMNS(* EXCLUDE (VAERS_ID)) INTO NAME feature VALUE v) GROUP BY feature, v) GROUP BY feature""")
-    return O.base(flags=True) + " " + " UNION ALL ".join(parts)
+    return O.base("test_rows AS (SELECT VAERS_ID FROM split_base WHERE split = 'test')") + " " + " UNION ALL ".join(parts)
 
 
 _NUMS = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.NUM_FEATURES)
@@ -392,14 +417,14 @@ _BINS_D = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.BIN_COLS)
 _BINS_S = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in C.BIN_COLS)
 
 
-@register("profile_row", _profile_sql(f"{_NUMS}, {_BINS_D}, CAST(COLUMNS('^SYM_') AS DOUBLE)", None))
+@register("profile_row", _profile_sql(f"{_NUMS}, {_BINS_D}", None))
 def q_profile_row(spark, sf):
     t = _test_rows(spark, sf)
     sym = [c for c in t.columns if c.startswith(C.SYM_PREFIX)]
     return X.profile_row(t, C.NUM_FEATURES + C.BIN_COLS + sym, C.CAT_FEATURES)
 
 
-@register("profile_row_mode_flags", _profile_sql(_NUMS, f"{_BINS_S}, CAST(COLUMNS('^SYM_') AS VARCHAR)"))
+@register("profile_row_mode_flags", _profile_sql(_NUMS, _BINS_S))
 def q_profile_row_mode_flags(spark, sf):
     t = _test_rows(spark, sf)
     sym = [c for c in t.columns if c.startswith(C.SYM_PREFIX)]
@@ -408,7 +433,7 @@ def q_profile_row_mode_flags(spark, sf):
 
 @register("distinct_sorted", O.base() + " SELECT DISTINCT VAX_MANU FROM sample_base WHERE VAX_MANU IS NOT NULL")
 def q_distinct_sorted(spark, sf):
-    return X.distinct_sorted(materialized_sample(spark, sf), "VAX_MANU")
+    return X.distinct_sorted(materialized_merged(spark, sf), "VAX_MANU")
 
 
 @register("linear_grid", O.base(
@@ -604,7 +629,7 @@ KEPT_SQL = (f"kept AS (SELECT feature, category FROM (SELECT feature, category,
 
 
 def _prep_model(spark, sf):
-    return WF.fitted(spark, sf, "logistic").stages[0]
+    return WF.shared_preparation(spark, sf)
 
 
 @register("impute_median", O.base(MED_SQL) + f" SELECT feature, {O.r6('med')} AS median FROM med")
@@ -633,9 +658,10 @@ def q_one_hot_drop_first(spark, sf):
 _BIN_D = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in C.BIN_COLS)
 
 
-@register("feature_matrix", O.base(MED_SQL, STD_SQL, KEPT_SQL, flags=True) + f""",
-te_num AS (SELECT VAERS_ID, {NUM_LIST} FROM split_wide WHERE split = 'test'),
-te_bin AS (SELECT VAERS_ID, {_BIN_D}, CAST(COLUMNS('^SYM_') AS DOUBLE) FROM split_wide WHERE split = 'test')
+@register("feature_matrix", O.base(MED_SQL, STD_SQL, KEPT_SQL) + f""",
+te_num AS (SELECT VAERS_ID, {NUM_LIST} FROM split_base WHERE split = 'test'),
+te_bin AS (SELECT VAERS_ID, {_BIN_D} FROM split_base WHERE split = 'test'),
+te_rows AS (SELECT VAERS_ID FROM te_num)
  SELECT l.VAERS_ID, l.feature, {O.r6('(coalesce(l.v, m.med) - s.mean) / s.std')} AS value
  FROM (SELECT * FROM te_num UNPIVOT INCLUDE NULLS (v FOR feature IN ({NUM_LIST}))) l
  JOIN med m ON l.feature = m.feature JOIN std s ON l.feature = s.feature
@@ -643,6 +669,8 @@ te_bin AS (SELECT VAERS_ID, {_BIN_D}, CAST(COLUMNS('^SYM_') AS DOUBLE) FROM spli
  SELECT VAERS_ID, feature, {O.r6('coalesce(v, 0)')} AS value
  FROM (SELECT * FROM te_bin UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (VAERS_ID)))))
  UNION ALL
+ SELECT VAERS_ID, feature, CAST(v AS DOUBLE) AS value FROM ({O.flags_long('te_rows')})
+ UNION ALL
  SELECT t.VAERS_ID, k.feature || '_' || k.category AS feature, CAST(t.category = k.category AS DOUBLE) AS value
  FROM (UNPIVOT (SELECT VAERS_ID, {CAT_FILLED} FROM split_base WHERE split = 'test') ON {CAT_LIST}
        INTO NAME feature VALUE category) t JOIN kept k ON t.feature = k.feature""")
@@ -878,7 +906,7 @@ _CV: dict = {}
 
 @register("cv_model_scores")
 def q_cv_model_scores(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
     if key not in _CV:                                  # five fits, shared with the summary
         folds = E.fold_scores(TU.cross_validate(WF.train_rows(spark, sf), "logistic"))
         _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # ≤ folds × 5 metric rows
@@ -895,7 +923,7 @@ _GRID: dict = {}
 
 
 def _grid(spark, sf):
-    key = (spark.sparkContext.applicationId, sf)
+    key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
     if key not in _GRID:
         _GRID[key] = TU.grid_search(spark, WF.train_rows(spark, sf), "cart", QUERY_GRID)
     return _GRID[key]
@@ -928,9 +956,8 @@ def q_grid_best(spark, sf):
 
 
 def _history(spark, sf):
-    from vigilo.operators.sampling import validation_holdout
-    val = validation_holdout(WF.train_rows(spark, sf)).where("is_val")
-    return TU.boosting_history(spark, WF.fitted(spark, sf, "lightgbm"), val)
+    model, val = WF.held_out(spark, sf, "lightgbm")
+    return TU.boosting_history(spark, model, val)
 
 
 @register("training_history")
@@ -958,12 +985,12 @@ def q_scan_reports(spark, sf):
     return P.clean_reports(CS.scan_reports(spark, path))
 
 
-@register("sample_roundtrip", O.base(O.flags_ctes()) + " SELECT * FROM sample_wide")
+@register("sample_roundtrip", O.base() + WIDE_SAMPLE)
 def q_sample_roundtrip(spark, sf):
     """S4 + S6: the sample written as Parquet and read back."""
     path = scratch_path(spark, "sample")
-    AR.write_table(materialized_sample(spark, sf), path)
-    return AR.read_table(spark, path)
+    AR.write_table(materialized_merged(spark, sf), path)
+    return _with_flag_list(AR.read_table(spark, path))
 
 
 @register("model_roundtrip")
@@ -989,7 +1016,7 @@ def q_results_upsert(spark, sf):
 def q_artifact_check(spark, sf):
     """Required artifacts verified; an optional one falls back to empty."""
     path = scratch_path(spark, "artifacts")
-    AR.write_table(materialized_sample(spark, sf), f"{path}/sample")
+    AR.write_table(materialized_merged(spark, sf), f"{path}/sample")
     AR.require_artifacts(spark, [f"{path}/sample"])
     hist = AR.optional_table(spark, f"{path}/history", "model string, epoch int, val_loss double")
     return AR.read_table(spark, f"{path}/sample").groupBy(C.LABEL).count().withColumn(
@@ -1017,7 +1044,7 @@ def _catalogue_sql() -> str:
 
 @register("feature_catalogue", _catalogue_sql())
 def q_feature_catalogue(spark, sf):
-    return X.feature_catalogue(materialized_sample(spark, sf))
+    return X.feature_catalogue(materialized_merged(spark, sf))
 
 
 @register("scan_symptoms", O.base() + " SELECT VAERS_ID, SYMPTOM FROM sym_long")
@@ -1080,3 +1107,6 @@ def q_mlp_history(spark, sf):
 def q_split_importances(spark, sf):
     """C12 as split counts for the boosted model."""
     return M.split_importances(spark, "lightgbm", WF.fitted(spark, sf, "lightgbm"))
+
+
+from vigilo import catalog_derived  # noqa: E402, F401  (registers its queries)

@@ -15,6 +15,30 @@ from vigilo import config as C
 from vigilo.operators.distributed import hash_rank, md5_hash
 
 
+def ranked_rows(df: DataFrame, h, strata, key: str, max_strata: int = 2) -> DataFrame:
+    """``df`` with ``_rank``, ``_n`` and ``_n_all``: the rank of each row in
+    hash order within its stratum."""
+    return hash_rank(df.withColumn("_h", h), "_h", strata, key, max_strata).drop("_h")
+
+
+def bounded_rows(train: DataFrame, rows: int, label: str = C.LABEL, key: str = C.KEY,
+                 seed: int = C.SEED) -> DataFrame:
+    """At most about ``rows`` training rows, the same share of either class.
+
+    The bound of a model's fit: each class keeps its first
+    ceil(n_class · rows / n) rows in seeded hash order. Fewer rows are
+    returned as they are. Raises if only one class has rows.
+    """
+    counts = {r[0]: r[1] for r in train.groupBy(label).count().collect()}      # ≤ 3 rows
+    n = sum(counts.values())
+    if not (counts.get(0) and counts.get(1)):
+        raise ValueError(f"a fit needs rows of both classes, got {counts}")
+    if n <= rows:
+        return train
+    ranked = ranked_rows(train, md5_hash(key, seed, "fit"), [label], key)
+    return ranked.where(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(rows / n))).drop("_rank", "_n", "_n_all")
+
+
 def stratified_sample(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
                       target: int = C.SAMPLE_TARGET, seed: int = C.SEED) -> DataFrame:
     """Every positive plus exactly n0 = min(target − positives, negatives)
@@ -51,18 +75,20 @@ def stratified_split(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
 
 
 def sample_and_split(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
-                     target: int = C.SAMPLE_TARGET, share: float = C.TEST_SHARE,
+                     target: int | None = None, share: float = C.TEST_SHARE,
                      k: int = C.CV_FOLDS, seed: int = C.SEED) -> DataFrame:
     """R1 + R2 + R3 from ONE seeded permutation per class.
 
-    The sample keeps each class's first n_c' rows in hash order (all
-    positives, n0 negatives); a kept row's rank is therefore its rank inside
-    the sample, so the first round(share·n_c') of them are the test rows and
-    the rest are dealt into k folds — one ranking pass instead of two.
+    With a ``target`` the sample keeps each class's first n_c' rows in hash
+    order (all positives, n0 negatives); without one it is the whole table.
+    A kept row's rank is its rank inside the sample, so the first
+    round(share·n_c') of them are the test rows and the rest are dealt into k
+    folds — one ranking pass instead of two.
     """
-    ranked = hash_rank(df.withColumn("_h", md5_hash(key, seed)), "_h", [label], key)
-    n_other = F.col("_n_all") - F.col("_n")
-    n0 = F.greatest(F.least(F.lit(target) - n_other, F.col("_n")), F.lit(0))
+    ranked = ranked_rows(df, md5_hash(key, seed), [label], key)
+    n0 = F.col("_n")
+    if target is not None:
+        n0 = F.greatest(F.least(F.lit(target) - (F.col("_n_all") - F.col("_n")), F.col("_n")), F.lit(0))
     kept_n = F.when(F.col(label) == 1, F.col("_n")).otherwise(n0)
     kept = ranked.withColumn("_kn", kept_n).where(F.col("_rank") <= F.col("_kn"))
     n_test = F.floor(F.col("_kn") * F.lit(share) + F.lit(0.5)).cast("long")

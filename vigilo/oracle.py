@@ -3,7 +3,7 @@
 ``WITH`` clauses here rebuild, step for step, the stand-in extracts
 (:mod:`vigilo.sources.fixtures`) and the ETL (:mod:`vigilo.plans.sample`)
 over the driver's tables, written the plain way (window functions over
-whole classes, ``quantile_cont``, a dynamic ``PIVOT``) so that they check
+whole classes, ``quantile_cont``) so that they check
 the distributed Spark forms independently.
 
 Rules: every output column is aliased to the Spark name; doubles computed
@@ -150,23 +150,22 @@ merged_base AS (
   FROM reports r LEFT JOIN vax v ON r.VAERS_ID = v.VAERS_ID)"""
 
 
-def sample_ctes(target: int = C.SAMPLE_TARGET, seed: int = C.SEED) -> str:
-    """sample_base (no flag columns) and split_base (+ split, fold)."""
+def sample_ctes(target: int | None = None, seed: int = C.SEED) -> str:
+    """sample_base (no flag columns) and split_base (+ split, fold): of the
+    whole merged table, or of R1's sample with a target."""
     share = C.TEST_SHARE
     k = C.CV_FOLDS
+    keep = "" if target is None else f"WHERE DIED = 1 OR rk <= greatest(least({target} - (n_all - n_c), n_c), 0)"
     return f"""
 ranked_s AS (
   SELECT *, row_number() OVER (PARTITION BY DIED ORDER BY h, VAERS_ID) AS rk,
          count(*) OVER (PARTITION BY DIED) AS n_c, count(*) OVER () AS n_all
   FROM (SELECT *, md5(CAST(VAERS_ID AS VARCHAR) || ':{seed}') AS h FROM merged_base)),
-sample_base AS (
-  SELECT * EXCLUDE (h, rk, n_c, n_all) FROM ranked_s
-  WHERE DIED = 1 OR rk <= greatest(least({target} - (n_all - n_c), n_c), 0)),
+sample_base AS (SELECT * EXCLUDE (h, rk, n_c, n_all) FROM ranked_s {keep}),
 ranked_t AS (
   SELECT * EXCLUDE (n_c, n_all),
          CAST(floor(count(*) OVER (PARTITION BY DIED) * CAST({share} AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT) AS nt
-  FROM ranked_s
-  WHERE DIED = 1 OR rk <= greatest(least({target} - (n_all - n_c), n_c), 0)),
+  FROM ranked_s {keep}),
 split_base AS (
   SELECT * EXCLUDE (h, rk, nt),
          CASE WHEN rk <= nt THEN 'test' ELSE 'train' END AS split,
@@ -174,31 +173,27 @@ split_base AS (
   FROM ranked_t)"""
 
 
-def flags_ctes() -> str:
-    """sym_flags (dynamic pivot), sample_wide and split_wide with SYM_ columns.
+def flag_ctes() -> str:
+    """Flags in long form: flag_names (name), and flag_lists (VAERS_ID, flags),
+    the sorted names of a report's flags as one text.
 
-    DuckDB resolves a dynamic PIVOT's value list before sibling CTEs exist,
-    so the pivot source carries its own WITH clause.
+    Pivot columns would come from the data, which a view cannot have.
     """
-    return f"""
-sym_flags AS (PIVOT ({with_(fixture_ctes(), etl_ctes())}
-                     SELECT VAERS_ID, name, CAST(1 AS TINYINT) AS f FROM sym_named)
-              ON name USING max(f) GROUP BY VAERS_ID),
-sample_wide AS (
-  SELECT s.*, CAST(COALESCE(COLUMNS('^SYM_'), 0) AS TINYINT)
-  FROM sample_base s LEFT JOIN sym_flags f ON s.VAERS_ID = f.VAERS_ID),
-split_wide AS (
-  SELECT s.*, CAST(COALESCE(COLUMNS('^SYM_'), 0) AS TINYINT)
-  FROM split_base s LEFT JOIN sym_flags f ON s.VAERS_ID = f.VAERS_ID)"""
+    return """
+flag_names AS (SELECT DISTINCT name FROM sym_named),
+flag_lists AS (SELECT VAERS_ID, string_agg(name, ',' ORDER BY name) AS flags FROM sym_named GROUP BY VAERS_ID)"""
+
+
+def flags_long(rows: str) -> str:
+    """(VAERS_ID, feature, v) of every flag of the reports in ``rows``."""
+    return (f"SELECT r.VAERS_ID, n.name AS feature, CASE WHEN s.VAERS_ID IS NULL THEN 0 ELSE 1 END AS v "
+            f"FROM {rows} r CROSS JOIN flag_names n LEFT JOIN sym_named s ON s.VAERS_ID = r.VAERS_ID AND s.name = n.name")
 
 
 def with_(*parts: str) -> str:
     return "WITH " + ",".join(p.strip().rstrip(",") for p in parts if p.strip())
 
 
-def base(*extra: str, flags: bool = False) -> str:
-    """WITH clause through split_base (and split_wide when asked) + extras."""
-    parts = [fixture_ctes(), etl_ctes(), sample_ctes()]
-    if flags:
-        parts.append(flags_ctes())
-    return with_(*parts, *extra)
+def base(*extra: str, target: int | None = None) -> str:
+    """WITH clause through split_base and the flag tables + extras."""
+    return with_(fixture_ctes(), etl_ctes(), sample_ctes(target), flag_ctes(), *extra)

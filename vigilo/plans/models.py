@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from vigilo import config as C
 from vigilo.functions.clean import decide
+from vigilo.operators.sampling import bounded_rows
 from vigilo.plans.features import balanced_weights, default_preparer, unbalance_weights
 
 LINEAR = ("logistic", "ridge", "lasso")
@@ -90,15 +91,18 @@ def with_label(df: DataFrame) -> DataFrame:
     return df.withColumn("label", F.col(C.LABEL).cast("double"))
 
 
-def fit(train: DataFrame, name: str, prep_model=None, **over) -> PipelineModel:
-    """Fit preparation + classifier on the training rows.
+def fit(train: DataFrame, name: str, prep_model=None, rows: int = C.SAMPLE_TARGET, **over) -> PipelineModel:
+    """Fit preparation + classifier on at most about ``rows`` training rows.
+
+    The bound keeps the same share of either class and raises if a class has
+    no rows; it holds for the fit alone, never for what is scored or viewed.
 
     ``prep_model`` lets several models share one fitted preparation of the
     same training rows (it is deterministic, so refitting it per model would
     only repeat the work). The classifier trains on the transformed vectors,
     persisted once for its iterations and released afterwards.
     """
-    data = with_label(weighted(train, name))
+    data = with_label(weighted(bounded_rows(train, rows), name))
     if prep_model is None:
         prep_model = default_preparer(train.columns).fit(data)
     feats = prep_model.transform(data).select("features", "label", "weight").persist()
@@ -136,7 +140,7 @@ def coefficients(spark: SparkSession, models: dict[str, PipelineModel]) -> DataF
         names = feature_names(m)
         vals = clf.coefficients.toArray().tolist()
         if len(vals) != len(names):
-            continue
+            raise ValueError(f"{name}: {len(vals)} values for {len(names)} features")
         order = sorted(range(len(vals)), key=lambda i: (-abs(vals[i]), names[i]))
         rows += [(name, names[i], float(vals[i]), r + 1) for r, i in enumerate(order)]
     return spark.createDataFrame(rows, "model string, feature string, value double, rank int")
@@ -152,7 +156,7 @@ def importances(spark: SparkSession, models: dict[str, PipelineModel]) -> DataFr
         names = feature_names(m)
         vals = clf.featureImportances.toArray().tolist()
         if len(vals) != len(names):
-            continue
+            raise ValueError(f"{name}: {len(vals)} values for {len(names)} features")
         order = sorted(range(len(vals)), key=lambda i: (-vals[i], names[i]))
         rows += [(name, names[i], float(vals[i]), r + 1) for r, i in enumerate(order)]
     return spark.createDataFrame(rows, "model string, feature string, value double, rank int")

@@ -8,8 +8,9 @@ Stages (each lazy; Catalyst sees one plan):
 4. assemble             reports ⟕ flags ⟕ vaccines; the two right sides are
                         already hash-partitioned by id, so only reports
                         shuffle for the joins
-5. sample + split       all positives + exact n0 negatives, then stratified
-                        train/test and folds — one seeded permutation
+5. split                stratified train/test and folds of the whole table —
+                        one seeded permutation (R1's sample is a query of its
+                        own; only a model's fit bounds its rows)
 
 Only two small results reach the driver: the ≤30 top terms (they become
 column names) and percentile/offset tables inside the helpers.
@@ -84,10 +85,11 @@ def assemble(spark: SparkSession, sf_dir: str, top_k: int = C.TOP_TERMS) -> Asse
 
 
 def build_sample(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
-    """The sample table the dashboard and the models read (R1 over J1/J2)."""
+    """R1 over J1/J2: the reference's sample. Views and evaluation do not read
+    it; they read the whole merged table."""
     return stratified_sample(assemble(spark, sf_dir).merged, target=target)
 
 
-def build_split(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
-    """The sample with ``split`` and ``fold`` columns (R1 + R2 + R3, one rank)."""
-    return sample_and_split(assemble(spark, sf_dir).merged, target=target)
+def build_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The merged table with ``split`` and ``fold`` columns (R2 + R3, one rank)."""
+    return sample_and_split(assemble(spark, sf_dir).merged)

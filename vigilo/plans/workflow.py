@@ -15,10 +15,10 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.operators.sampling import explain_sample
+from vigilo.operators.sampling import explain_sample, validation_holdout
 from vigilo.plans import models as M
 from vigilo.plans.features import default_preparer
-from vigilo.plans.materialize import materialized_split
+from vigilo.plans.materialize import input_signature, materialized_split
 
 # Settings for the registered queries (documented deviation: smaller ensembles).
 QUERY_SETTINGS = {
@@ -41,7 +41,7 @@ def test_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fitted(spark: SparkSession, sf: str, name: str) -> PipelineModel:
-    key = (spark.sparkContext.applicationId, sf, name)
+    key = (spark.sparkContext.applicationId, input_signature(spark, sf), name)
     with _LOCK:
         m = _FITS.get(key)
     if m is None:
@@ -54,7 +54,7 @@ def fitted(spark: SparkSession, sf: str, name: str) -> PipelineModel:
 
 def shared_preparation(spark: SparkSession, sf: str):
     """One fitted preparation of the training rows, shared by every model."""
-    key = (spark.sparkContext.applicationId, sf, "_prep")
+    key = (spark.sparkContext.applicationId, input_signature(spark, sf), "_prep")
     with _LOCK:
         p = _FITS.get(key)
     if p is None:
@@ -65,6 +65,20 @@ def shared_preparation(spark: SparkSession, sf: str):
     return p
 
 
+def held_out(spark: SparkSession, sf: str, name: str) -> tuple[PipelineModel, DataFrame]:
+    """R4 + C14: a model fitted on the training rows outside the validation
+    hold-out, and the hold-out, which it has not seen."""
+    rows = validation_holdout(train_rows(spark, sf))
+    key = (spark.sparkContext.applicationId, input_signature(spark, sf), name, "held out")
+    with _LOCK:
+        m = _FITS.get(key)
+    if m is None:
+        m = M.fit(rows.where(~F.col("is_val")).drop("is_val"), name, **dict(QUERY_SETTINGS[name]))
+        with _LOCK:
+            _FITS[key] = m
+    return m, rows.where("is_val").drop("is_val")
+
+
 def scored_test(spark: SparkSession, sf: str, names=M.ALL_MODELS) -> DataFrame:
     parts = [M.score(fitted(spark, sf, n), test_rows(spark, sf), n) for n in names]
     out = parts[0]
