@@ -36,7 +36,8 @@ def test_oracle_agrees(spark, sf, con, key):
     cols, rows = df.columns, [tuple(r) for r in df.collect()]
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    cur = con.execute(oracle_sql()[key])
+    con.execute(f"CREATE OR REPLACE VIEW oracle_view AS {oracle_sql()[key]}")  # as the driver does
+    cur = con.execute("SELECT * FROM oracle_view")
     dcols, drows = [d[0] for d in cur.description], cur.fetchall()
     assert sorted(cols) == sorted(dcols)
     assert len(rows) == len(drows)

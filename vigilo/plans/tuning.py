@@ -13,8 +13,6 @@
 
 from __future__ import annotations
 
-import itertools
-
 import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline
@@ -25,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo import config as C
+from vigilo.functions.clean import round_half_even
 from vigilo.operators.distributed import hash_rank, md5_hash
 from vigilo.operators.evaluate import ranking_metrics
 from vigilo.operators.explain import ensemble_tables, leaf_values
@@ -98,8 +97,8 @@ def grid_search(spark: SparkSession, train: DataFrame, name: str, grid: dict | N
 def grid_top5(results: DataFrame) -> DataFrame:
     """T4: five best combinations by mean F1, rounded to 4 places."""
     return (results.orderBy(F.desc("mean_f1"), F.asc(F.col("params").cast("string"))).limit(5)
-                   .select("model", "params", F.round("mean_f1", 4).alias("mean_f1"),
-                           F.round("std_f1", 4).alias("std_f1")))
+                   .select("model", "params", round_half_even("mean_f1", 4).alias("mean_f1"),
+                           round_half_even("std_f1", 4).alias("std_f1")))
 
 
 def grid_pivot(results: DataFrame, row: str = "max_depth", col: str = "min_samples_leaf") -> DataFrame:
@@ -111,11 +110,13 @@ def grid_pivot(results: DataFrame, row: str = "max_depth", col: str = "min_sampl
 
 
 def grid_best(results: DataFrame) -> DataFrame:
-    """Per model the folds, best CV F1 and each best parameter as text."""
+    """Per model the folds, best CV F1 and each best parameter as text
+    (ties: parameters as text, ascending)."""
     best = results.groupBy("model").agg(
-        F.max_by(F.struct("params", "mean_f1", "n_splits"), "mean_f1").alias("b"))
+        F.min_by(F.struct("params", "mean_f1", "n_splits"),
+                 F.struct(-F.col("mean_f1"), F.col("params").cast("string"))).alias("b"))
     return best.select("model", F.col("b.n_splits").alias("cv_folds"),
-                       F.format_number(F.col("b.mean_f1"), 4).alias("best_cv_f1"),
+                       F.format_number(round_half_even(F.col("b.mean_f1"), 4), 4).alias("best_cv_f1"),
                        F.explode(F.col("b.params")).alias("param", "value"))
 
 
@@ -152,7 +153,3 @@ def boosting_history(spark: SparkSession, model, val: DataFrame, name: str = "li
     auc = ranking_metrics(per, ["epoch"], max_groups=n_rounds).select("epoch", F.col("roc_auc").alias("val_auc"))
     return loss.join(auc, "epoch").select(F.lit(name).alias("model"), "epoch", "val_loss", "val_auc")
 
-
-def grid_combinations(grid: dict) -> list[dict]:
-    keys = list(grid)
-    return [dict(zip(keys, vals)) for vals in itertools.product(*[grid[k] for k in keys])]
