@@ -824,9 +824,10 @@ def q_attribution_long(spark, sf):
     return XP.attribution_long(a).select("feature", "row_id", r6("value").alias("value"), r6("shap").alias("shap"))
 
 
-def tree_attr(spark, sf):
+def tree_attr(spark, sf, only=None):
     m = WF.fitted(spark, sf, "lightgbm")
-    rows = m.stages[0].transform(WF.explain_rows(spark, sf))
+    rows = WF.explain_rows(spark, sf)
+    rows = m.stages[0].transform(rows if only is None else rows.where(F.col("row_id") == only))
     return XP.tree_attributions(spark, m.stages[-1], rows, M.feature_names(m))
 
 
@@ -852,7 +853,7 @@ def q_tree_mean_abs_attribution(spark, sf):
 
 @register("tree_waterfall")
 def q_tree_waterfall(spark, sf):
-    a, base = tree_attr(spark, sf)
+    a, base = tree_attr(spark, sf, only=0)
     return XP.waterfall(a, base, 0)
 
 

@@ -340,6 +340,8 @@ def tree_attributions(spark: SparkSession, ensemble, rows: DataFrame, names: lis
                                 "feature": np.tile(name_arr, len(ids)), "value": X.ravel(),
                                 "shap": phi.ravel()})
 
-    src = rows.select("row_id", vector_to_array(features_col).alias("x"))
+    # Few rows, much work for each: deal them over the cores.
+    src = rows.select("row_id", vector_to_array(features_col).alias("x")).repartition(
+        spark.sparkContext.defaultParallelism)
     out = src.mapInPandas(run, "row_id int, feature string, value double, shap double")
     return out, base

@@ -8,6 +8,8 @@ and reach the driver as a handful of numbers.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,11 +65,12 @@ def rate_by_category(df: DataFrame, col: str, min_n: int = C.MIN_SUPPORT["catego
                      label: str = C.LABEL) -> DataFrame:
     """A4 + A14: rate table plus each group's share of the kept groups.
 
-    The share's denominator is a window over the small aggregate (one row per
-    category), never over the fact table.
+    The share's denominator is a scalar subquery over the rate table, so no
+    task holds all groups of a column with many values.
     """
     t = rate_table(df, col, min_n, 2, None, label)
-    share = F.col("n") / F.sum("n").over(Window.partitionBy()) * 100
+    total = t.agg(F.sum("n")).scalar()
+    share = F.col("n") / total * 100
     return (t.withColumn("pct_of_total", round_half_even(share, 1))
              .orderBy(F.desc("rate_pct"), F.asc(col)))
 
@@ -124,18 +127,42 @@ def monthly_volume(df: DataFrame, months: int = C.MONTHS_SHOWN, label: str = C.L
 
 
 def corr_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
-    """Pearson correlations, pairwise NULL deletion, all in ONE aggregate."""
+    """Pearson correlations with pairwise NULL deletion, in one pass.
+
+    With m = present, x and x² (0 where NULL) of every column, all pair sums
+    are entries of one Gram matrix: Σ mₐm_b, Σ xₐm_b, Σ xₐ²m_b, Σ xₐx_b. Each
+    task adds up the matrix of its rows; Spark sums the entries. Values are
+    shifted by the column means first, so that large means cost no digits.
+    """
     cols = present(cols or C.HEAT_COLS, df.columns)
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    one = df.agg(*[F.corr(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"{a}__{b}")
-                   for a, b in pairs])
-    cells = []
-    for a, b in pairs:
-        cells.append(F.struct(F.lit(a).alias("row"), F.lit(b).alias("col"), F.col(f"{a}__{b}").alias("v")))
-        if a != b:
-            cells.append(F.struct(F.lit(b).alias("row"), F.lit(a).alias("col"), F.col(f"{a}__{b}").alias("v")))
-    return (one.select(F.explode(F.array(*cells)).alias("c"))
-               .select("c.row", "c.col", r6("c.v").alias("corr")))
+    x = df.select(*[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(cols)])
+    shift = [v or 0.0 for v in x.agg(*[F.avg(c) for c in x.columns]).first()]
+    k = len(cols)
+
+    def gram(batches):
+        total = np.zeros((3 * k, 3 * k))
+        for batch in batches:
+            v = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+            m = ~np.isnan(v)
+            v = np.where(m, v - shift, 0.0)
+            z = np.hstack([m.astype(float), v, v * v])
+            total += z.T @ z
+        i, j = np.indices(total.shape)
+        yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()),
+                                          pa.array(total.ravel())], names=["i", "j", "v"])
+
+    sums = x.mapInArrow(gram, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+    def entry(name, row, col):                      # block (row, col) of the matrix, as pairs of columns
+        return F.max(F.when((F.floor(F.col("i") / k) == row) & (F.floor(F.col("j") / k) == col), F.col("v"))).alias(name)
+
+    pair = sums.groupBy((F.col("i") % k).alias("a"), (F.col("j") % k).alias("b")).agg(
+        entry("n", 0, 0), entry("sa", 1, 0), entry("sb", 0, 1), entry("qa", 2, 0), entry("qb", 0, 2), entry("ab", 1, 1))
+    n, sa, sb = F.col("n"), F.col("sa"), F.col("sb")
+    cov, va, vb = n * F.col("ab") - sa * sb, n * F.col("qa") - sa * sa, n * F.col("qb") - sb * sb
+    names = F.array(*[F.lit(c) for c in cols])
+    return pair.select(F.element_at(names, F.col("a") + 1).alias("row"), F.element_at(names, F.col("b") + 1).alias("col"),
+                       r6(F.when((va > 0) & (vb > 0), cov / F.sqrt(va * vb))).alias("corr"))
 
 
 def value_range(df: DataFrame, col: str) -> tuple[float | None, float | None]:
@@ -235,16 +262,38 @@ def label_location_stats(df: DataFrame, col: str, label: str = C.LABEL) -> DataF
                                                       r6("median").alias("median"))
 
 
+def flag_profile(df: DataFrame, flags: list[str], by_mode: set[str]) -> DataFrame:
+    """(feature, value_num, value_cat) of 0/1 columns: their mode where asked
+    for (0 on ties), else their median."""
+    one = df.agg(*[F.count(F.col(c)).alias(f"n{i}") for i, c in enumerate(flags)],
+                 *[F.sum(F.col(c).cast("bigint")).alias(f"s{i}") for i, c in enumerate(flags)])
+    rows = one.select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.lit(c in by_mode).alias("mode"), F.col(f"n{i}").alias("n"),
+                 F.col(f"s{i}").alias("s")) for i, c in enumerate(flags)])).alias("f")).select("f.*").where("n > 0")
+    zeros = F.col("n") - F.col("s")
+    middle = (F.col("n") - 1) / 2
+    median = ((F.floor(middle) >= zeros).cast("double") + (F.ceil(middle) >= zeros).cast("double")) / 2
+    return rows.select("feature", F.when(F.col("mode"), (F.col("s") > zeros).cast("double")).otherwise(median).alias("value_num"),
+                       F.lit(None).cast("string").alias("value_cat"))
+
+
 def profile_row(df: DataFrame, numeric: list[str], categorical: list[str],
                 mode_numeric: list[str] = ()) -> DataFrame:
     """Per-feature default — exact median for ``numeric`` columns, the
     most frequent value (smallest on ties) for ``categorical`` and
     ``mode_numeric`` ones. Long form (feature, value_num, value_cat).
 
-    All medians share one distributed percentile job (grouped by feature),
-    all modes one counting job.
+    0/1 flags (tinyint) need only a count and a sum each, in one aggregate.
+    The other medians share one distributed percentile job (grouped by
+    feature), the other modes one counting job.
     """
     parts = []
+    byte = {f.name for f in df.schema if f.dataType.simpleString() == "tinyint"}
+    flags = [c for c in [*numeric, *mode_numeric] if c in byte]
+    if flags:
+        parts.append(flag_profile(df, flags, set(mode_numeric)))
+    numeric = [c for c in numeric if c not in byte]
+    mode_numeric = [c for c in mode_numeric if c not in byte]
     if numeric:
         long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             [], list(numeric), "feature", "v")
