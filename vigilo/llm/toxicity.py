@@ -41,17 +41,15 @@ CHUNK = 4_000_000
 CACHE_WORDS = 250_000    # words whose ratios a worker remembers
 FLUSH_WORDS = 200_000
 STRONGEST = 3            # words whose mean ratio is a feature
-MOST = 8.0               # a word's ratio counts up to this in the mean likelihood ratio
-#: Length-normalised ratios of the strongest word, the strongest few and all; whole
-#: ratios of the strongest; the mean likelihood ratio of a word; the number of words.
-FEATURES = ("top_letter", "few_letter", "mean_letter", "top_word", "few_word", "mixture", "log_words")
+#: Length-normalised ratios of the strongest word, of the strongest few, and of all words.
+FEATURES = ("strongest", "strong", "mean")
 
 
 @dataclass(frozen=True)
 class Settings:
     calibration_rows: int = 20_000   # labelled rows that fit the regression, at most
     calibration_share: int = 5       # one in so many labelled rows is kept from the counts
-    ridge: float = 1e-3
+    ridge: float = 1e-2
 
 
 _FOLDED: dict[str, int] = {}
@@ -205,23 +203,19 @@ class Scorer:
         look = young.__getitem__
         for i, ws in enumerate(words):
             if ws:
-                per_letter = np.fromiter(map(look, ws), dtype=float, count=len(ws))
-                whole = per_letter * (np.fromiter(map(len, ws), dtype=float, count=len(ws)) + 1)
-                out[i] = (per_letter.max(), strongest(per_letter), per_letter.mean(), whole.max(), strongest(whole),
-                          np.log(np.exp(np.minimum(whole, MOST)).mean()), np.log(len(ws)))
+                r = np.fromiter(map(look, ws), dtype=float, count=len(ws))
+                top = np.partition(r, -STRONGEST)[-STRONGEST:] if len(r) > STRONGEST else r
+                out[i] = r.max(), top.mean(), r.mean()
         return out
 
 
-def strongest(x: np.ndarray) -> float:
-    return float((np.partition(x, -STRONGEST)[-STRONGEST:] if len(x) > STRONGEST else x).mean())
-
-
 def labelled(docs: DataFrame, labels: DataFrame, column: str) -> DataFrame:
     """(doc_id, text, flag): one row per document row with a label."""
     one = (labels.where(F.col(column).isNotNull() & F.col("doc_id").isNotNull())
            .groupBy(F.col("doc_id").alias("labelled_id")).agg(F.max((F.col(column) > 0).cast("int")).alias("flag")))
     rows = docs.select("doc_id", "text")
-    return rows.join(one, rows["doc_id"] == one["labelled_id"]).select("doc_id", "text", "flag")
+    # Labels grow with the documents, so neither side is broadcast at any size.
+    return rows.join(one.hint("shuffle_hash"), rows["doc_id"] == one["labelled_id"]).select("doc_id", "text", "flag")
 
 
 def held_aside(share: int):
