@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from vigilo import config as C
 from vigilo.operators.sampling import stratified_sample, stratified_split
-from vigilo.plans.sample import assemble
+from vigilo.plans.sample import assemble_stand_in
 
 
 def test_exact_sample_size(spark, sf):
-    merged = assemble(spark, sf).merged
+    merged = assemble_stand_in(spark, sf).merged
     pos = merged.where(F.col(C.LABEL) == 1).count()
     neg = merged.count() - pos
     target = pos + 100
@@ -19,14 +19,14 @@ def test_exact_sample_size(spark, sf):
 
 
 def test_sample_is_invariant_to_partitioning(spark, sf):
-    merged = assemble(spark, sf).merged
+    merged = assemble_stand_in(spark, sf).merged
     a = {r[0] for r in stratified_sample(merged, target=300).select(C.KEY).collect()}
     b = {r[0] for r in stratified_sample(merged.repartition(7), target=300).select(C.KEY).collect()}
     assert a == b
 
 
 def test_split_and_fold_sizes(spark, sf):
-    merged = assemble(spark, sf).merged
+    merged = assemble_stand_in(spark, sf).merged
     s = stratified_split(merged).groupBy(C.LABEL, "split", "fold").count().collect()
     for label in (0, 1):
         rows = [r for r in s if r[C.LABEL] == label]

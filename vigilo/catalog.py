@@ -1090,11 +1090,12 @@ def q_rate_by_source_docs(spark, sf):
 
 @register("export_artifacts")
 def q_export_artifacts(spark, sf):
-    """S4–S9 end to end: fit all models, evaluate, explain, persist; lists the
-    written tables with their row counts (CV for the logistic model only)."""
+    """S4–S9 end to end: fit all models, tune the tree, evaluate, explain,
+    persist; lists the written tables with their row counts (CV for the
+    logistic model only)."""
     from vigilo.plans.training import run_training
     return run_training(spark, sf, scratch_path(spark, "training"), settings=WF.QUERY_SETTINGS,
-                        cv_models=("logistic",))
+                        cv_models=("logistic",), grids={"cart": QUERY_GRID})
 
 
 @register("mlp_history")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo import config as C
-from vigilo.functions.clean import decide, model_label, r6, round_half_even
+from vigilo.functions.clean import model_label, r6, round_half_even
 from vigilo.operators.distributed import prefix_sums
 from vigilo.operators.explore import box_stats
 
@@ -209,7 +209,3 @@ def early_stop_epoch(history: DataFrame, patience: int = C.MLP_PATIENCE) -> Data
     return stale.groupBy("model").agg(
         F.coalesce(F.min(F.when(F.col("_since") >= patience, F.col("epoch"))), F.max("epoch"))
         .alias("stop_epoch"))
-
-
-def with_decision(df: DataFrame, p: str = "p") -> DataFrame:
-    return df.withColumn("pred", decide(p))

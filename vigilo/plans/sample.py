@@ -71,25 +71,33 @@ class Assembled:
         self.top_terms = top_terms
 
 
-def assemble(spark: SparkSession, sf_dir: str, top_k: int = C.TOP_TERMS) -> Assembled:
-    reports = clean_reports(fixtures.raw_reports(spark, sf_dir))
-    long = symptom_long(fixtures.raw_symptoms(spark, sf_dir))
+def assemble(raw_reports: DataFrame, raw_symptoms: DataFrame, raw_vaccines: DataFrame,
+             top_k: int = C.TOP_TERMS) -> Assembled:
+    """J1 + J2 over three text extracts, scanned from CSV or stand-ins."""
+    reports = clean_reports(raw_reports)
+    long = symptom_long(raw_symptoms)
     terms = collect_top_terms(topk_terms(long, top_k))
     flags = indicator_pivot(long, terms)
     sym_cols = [c for c in flags.columns if c != C.KEY]
-    vax = vaccines_first(fixtures.raw_vaccines(spark, sf_dir))
+    vax = vaccines_first(raw_vaccines)
     merged = (reports.join(flags, C.KEY, "left")                       # J1
                      .join(vax, C.KEY, "left")                         # J2
                      .withColumns({c: fill_zero_flag(c) for c in sym_cols}))  # P9
     return Assembled(merged, sym_cols, terms)
 
 
+def assemble_stand_in(spark: SparkSession, sf_dir: str, top_k: int = C.TOP_TERMS) -> Assembled:
+    """The same over the stand-in extracts of the driver's tables."""
+    return assemble(fixtures.raw_reports(spark, sf_dir), fixtures.raw_symptoms(spark, sf_dir),
+                    fixtures.raw_vaccines(spark, sf_dir), top_k)
+
+
 def build_sample(spark: SparkSession, sf_dir: str, target: int = C.SAMPLE_TARGET) -> DataFrame:
     """R1 over J1/J2: the reference's sample. Views and evaluation do not read
     it; they read the whole merged table."""
-    return stratified_sample(assemble(spark, sf_dir).merged, target=target)
+    return stratified_sample(assemble_stand_in(spark, sf_dir).merged, target=target)
 
 
 def build_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The merged table with ``split`` and ``fold`` columns (R2 + R3, one rank)."""
-    return sample_and_split(assemble(spark, sf_dir).merged)
+    return sample_and_split(assemble_stand_in(spark, sf_dir).merged)

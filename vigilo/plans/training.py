@@ -1,9 +1,10 @@
-"""The training job end to end: split table → models → result tables.
+"""The training job end to end: extracts → split table → models → result tables.
 
-Mirrors the reference's training script as one Spark application. Every
+Mirrors the reference's training scripts as one Spark application. Every
 artifact is a Parquet table (results partitioned by ``model``) or a saved
 pipeline under ``out`` — a folder on the shared file system — so the
-dashboard views can read them back instead of recomputing.
+dashboard views can read them back instead of recomputing. ``run_training``
+reads the stand-in extracts, ``run_training_csv`` three CSV extracts.
 """
 
 from __future__ import annotations
@@ -14,20 +15,42 @@ from pyspark.sql import functions as F
 from vigilo import config as C
 from vigilo.operators import evaluate as E
 from vigilo.operators import explain as XP
-from vigilo.operators.sampling import explain_sample
+from vigilo.operators.sampling import explain_sample, sample_and_split, validation_holdout
 from vigilo.plans import models as M
 from vigilo.plans import tuning as TU
 from vigilo.plans.features import default_preparer
 from vigilo.plans.materialize import materialized_split
+from vigilo.plans.sample import assemble
 from vigilo.sources import artifacts as AR
+from vigilo.sources import csv_scan as CS
 
 
-def run_training(spark: SparkSession, sf_dir: str, out: str, models=M.ALL_MODELS,
-                 settings: dict | None = None, cv_models=M.ALL_MODELS,
-                 explain_model: str = "lightgbm") -> DataFrame:
-    """Fit, evaluate, explain and persist; returns (artifact, path, rows)."""
+CV_MODELS = tuple(m for m in M.ALL_MODELS if m != "mlp")     # as the reference cross-validates
+
+
+def run_training(spark: SparkSession, sf_dir: str, out: str, **options) -> DataFrame:
+    """:func:`train_split` over the stand-in extracts."""
+    return train_split(spark, materialized_split(spark, sf_dir), out, **options)
+
+
+def run_training_csv(spark: SparkSession, reports: str, symptoms: str, vaccines: str, out: str,
+                     multiline: bool = True, **options) -> DataFrame:
+    """:func:`train_split` over three CSV extracts."""
+    merged = assemble(CS.scan_reports(spark, reports, multiline), CS.scan_symptoms(spark, symptoms, multiline),
+                      CS.scan_vaccines(spark, vaccines, multiline)).merged
+    AR.write_table(sample_and_split(merged), f"{out}/split", "split")
+    return train_split(spark, AR.read_table(spark, f"{out}/split"), out, **options)
+
+
+def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MODELS,
+                settings: dict | None = None, cv_models=CV_MODELS, explain_model: str = "lightgbm",
+                grids: dict | None = None, history_model: str | None = "lightgbm") -> DataFrame:
+    """Fit, tune, evaluate, explain and persist; returns (artifact, rows).
+
+    ``grids`` maps a model to its parameter grid (None: the reference's); the
+    refitted best replaces the model, and its rows in the result tables.
+    """
     settings = settings or {}
-    split = materialized_split(spark, sf_dir)
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     written: list[tuple[str, str]] = []
@@ -60,7 +83,29 @@ def run_training(spark: SparkSession, sf_dir: str, out: str, models=M.ALL_MODELS
     put("pr_points", E.pr_points(scored, max_groups=len(fitted)), "model")
     put("confusion", E.confusion(scored), "model")
     put("coefficients", M.coefficients(spark, fitted), "model")                 # C13
-    put("importances", M.importances(spark, fitted), "model")                   # C12
+    trees = {n: m for n, m in fitted.items() if n in M.TREES}
+    if trees:
+        put("importances", importance_table(spark, trees), "model")             # C12
+    if "cart" in fitted:
+        put("tree_text", AR.tree_rules(spark, fitted["cart"].stages[-1], M.feature_names(fitted["cart"])))  # S11
+    for name in [n for n in (grids or {}) if n in fitted]:                       # C10, C11, S9
+        results, best, _ = TU.grid_search(spark, train, name, grids[name])
+        put("grid", results, "model")
+        fitted[name] = best
+        best.write().overwrite().save(f"{out}/models/{name}")
+        tuned = M.score(best, test, name)
+        put("metrics", E.test_metrics(tuned), "model")
+        put("roc_points", E.roc_points(tuned), "model")
+        put("pr_points", E.pr_points(tuned), "model")
+        put("confusion", E.confusion(tuned), "model")
+        put("importances", importance_table(spark, {name: best}), "model")
+        if name == "cart":
+            put("tree_text", AR.tree_rules(spark, best.stages[-1], M.feature_names(best)))
+    if history_model in fitted:                                                  # R4, C14
+        rows = validation_holdout(train)
+        seen = rows.where(~F.col("is_val")).drop("is_val")
+        m = M.fit(seen, history_model, **dict(settings.get(history_model, {})))
+        put("history", TU.boosting_history(spark, m, rows.where("is_val")), "model")
     folds = None
     for name in [n for n in cv_models if n in fitted]:                           # C9
         f = E.fold_scores(TU.cross_validate(train, name, **dict(settings.get(name, {}))))
@@ -78,5 +123,17 @@ def run_training(spark: SparkSession, sf_dir: str, out: str, models=M.ALL_MODELS
         names = M.feature_names(m)
         put("feature_names", spark.createDataFrame(list(enumerate(names)), "position int, feature string"))
 
-    counts = [(name, path, AR.read_table(spark, path).count()) for name, path in written]
-    return spark.createDataFrame(counts, "artifact string, path string, rows long")
+    counts = [(name, AR.read_table(spark, path).count()) for name, path in dict(written).items()]
+    return spark.createDataFrame(counts, "artifact string, rows long")
+
+
+def importance_table(spark: SparkSession, trees: dict) -> DataFrame:
+    """C12 by model: split counts for the boosted model, impurity gain for the others."""
+    gain = {n: m for n, m in trees.items() if n != "lightgbm"}
+    parts = [M.importances(spark, gain)] if gain else []
+    if "lightgbm" in trees:
+        parts.append(M.split_importances(spark, "lightgbm", trees["lightgbm"]))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out

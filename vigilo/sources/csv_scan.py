@@ -3,9 +3,10 @@
 Every field is read as text (no inference, so one odd value cannot change a
 column's type), columns are selected **by name** (a positional schema would
 misalign on a wider file), and the reader's missing-value tokens become
-NULL in one projection. Quoted fields with embedded line breaks need
-``multiLine`` — such files are not splittable, so convert them to Parquet
-once and scan that.
+NULL in one projection. Quoted fields may hold line breaks, as the free-text
+columns of real extracts do, so ``multiline`` is on by default; such a file is
+read by one task. Files known to have none can be split with
+``multiline=False``.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from vigilo.functions.clean import na_to_null
 from vigilo.operators.reshape import with_file_order
 
 
-def read_extract(spark: SparkSession, path: str, columns: list[str], multiline: bool = False,
+def read_extract(spark: SparkSession, path: str, columns: list[str], multiline: bool = True,
                  file_order: bool = False) -> DataFrame:
     df = (spark.read.option("header", True).option("inferSchema", False)
                .option("quote", '"').option("escape", '"').option("multiLine", multiline)
@@ -31,16 +32,16 @@ def read_extract(spark: SparkSession, path: str, columns: list[str], multiline:
     return df.select(*keep, *(["_file_pos"] if file_order else []))
 
 
-def scan_reports(spark: SparkSession, path: str) -> DataFrame:
-    return read_extract(spark, path, C.REPORT_COLUMNS)
+def scan_reports(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_extract(spark, path, C.REPORT_COLUMNS, multiline)
 
 
-def scan_symptoms(spark: SparkSession, path: str) -> DataFrame:
-    return read_extract(spark, path, C.SYMPTOM_COLUMNS)
+def scan_symptoms(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_extract(spark, path, C.SYMPTOM_COLUMNS, multiline)
 
 
-def scan_vaccines(spark: SparkSession, path: str) -> DataFrame:
-    return read_extract(spark, path, C.VACCINE_COLUMNS, file_order=True)
+def scan_vaccines(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    return read_extract(spark, path, C.VACCINE_COLUMNS, multiline, file_order=True)
 
 
 def write_extract(df: DataFrame, path: str) -> None:
