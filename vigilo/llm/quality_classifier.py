@@ -35,6 +35,7 @@ INPUTS = DIM + 2
 NONZERO = 2              # entries of an index vector, each +1 or -1
 WINDOW = 2
 CHUNK = 2_000_000
+AT_ONCE = 100_000       # vectors of a text that are gathered at once
 CACHE_TOKENS = 250_000   # tokens whose bucket a worker remembers, in each of two generations
 
 
@@ -128,17 +129,13 @@ def pooled(texts: list[str], vectors: np.ndarray) -> np.ndarray:
     """Mean vector, log length and share of tokens like the one before, of each text."""
     tokens, lengths = tokens_of(texts)
     out = np.zeros((len(texts), INPUTS), dtype=np.float64)
-    full = np.flatnonzero(lengths)
-    if len(full):
-        starts = (np.cumsum(lengths) - lengths)[full]
-        ends = starts + lengths[full]
-        at = 0
-        while at < len(full):  # a bounded number of vectors at a time
-            to = max(at + 1, int(np.searchsorted(ends, starts[at] + 200_000)))
-            rows = vectors[tokens[starts[at]:ends[to - 1]]]
-            out[full[at:to], :DIM] = np.add.reduceat(rows, starts[at:to] - starts[at], axis=0)
-            at = to
-        out[full, :DIM] /= lengths[full, None]
+    ones = np.ones(AT_ONCE, dtype=vectors.dtype)
+    for i, end in enumerate(np.cumsum(lengths).tolist()):
+        n = int(lengths[i])
+        for at in range(end - n, end, AT_ONCE):
+            part = tokens[at:min(at + AT_ONCE, end)]
+            out[i, :DIM] += ones[:len(part)] @ vectors.take(part, axis=0) / n
+    if len(tokens):
         text = np.repeat(np.arange(len(texts)), lengths)
         again = (tokens[1:] == tokens[:-1]) & (text[1:] == text[:-1])
         out[:, DIM + 1] = np.bincount(text[1:][again], minlength=len(texts)) / np.maximum(lengths, 1)
