@@ -45,13 +45,13 @@ from vigilo.llm.ngram_join import mixed, multipliers
 LENGTH = 50              # bytes of a match
 ANCHOR = 12              # bytes of an anchor
 PLACE_BITS = 22          # of a position in a chunk
-SLICE = 4_000_000        # bytes of contexts fingerprinted together
+SLICE = 1_000_000        # bytes of contexts fingerprinted together
 
 
 @dataclass(frozen=True)
 class Settings:
-    bucket_bytes: int = 8_000_000    # of text for each bucket, about
-    batch_windows: int = 1_000_000   # of a level-0 suffix array
+    bucket_bytes: int = 6_000_000    # of text for each bucket, about
+    batch_windows: int = 500_000   # of a level-0 suffix array
     block_bytes: int = 8_000_000     # of text for each block of documents, about
     chunk_bytes: int = 2_000_000     # of texts that a task works on together
     piece_bytes: int = 1_000_000     # of a longer text, which comes in pieces
@@ -305,6 +305,7 @@ def bucket_scanner(blocks: int, s: Settings) -> Callable:
         if len(start):
             use = np.flatnonzero(shared_anchors(data, start, own["offset"].astype(np.int64), own["doc"]))
             use = use[np.argsort(own["doc"][use], kind="stable")]
+            rank = np.unique(own["doc"], return_inverse=True)[1].astype(np.int32)  # in the order of ids
             prints, index = Fingerprints(SLICE + 512), IndexFamily()
             sizes = np.cumsum(own["count"][use].astype(np.int64))
             lo = 0
@@ -313,7 +314,8 @@ def bucket_scanner(blocks: int, s: Settings) -> Callable:
                 batch = use[lo:hi]
                 windows = np.concatenate([fingerprints(prints, data, start[b], length[b]) for b in slices(batch, length)])
                 n = own["count"][batch].astype(np.int64)
-                found = index.scan_and_add(windows, np.repeat(own["doc"][batch], n))
+                found = index.scan_and_add(windows, np.repeat(rank[batch], n))
+                del windows
                 # Runs of found windows within each context.
                 context = np.repeat(np.arange(len(batch)), n)
                 within = np.arange(len(found)) - np.repeat(np.cumsum(n) - n, n)
