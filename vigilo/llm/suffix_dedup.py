@@ -30,6 +30,7 @@ columns pass through unchanged.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from vigilo.llm.common import arrow_schema, ranges
 from vigilo.llm.ngram_join import mixed, multipliers
@@ -141,10 +144,11 @@ def pieces(texts: list[bytes], s: Settings) -> Iterator[tuple[list[int], list[in
 SHIPPED = "bucket int, count int, local int, packed binary, contexts binary"
 
 
-def shipper(buckets: int, s: Settings) -> Callable:
+def shipper(buckets: int, keyed: bool, s: Settings) -> Callable:
     """Task function: rows (doc_id, row_key, text) to one row for each chunk and
     bucket. ``packed`` holds, for ``count`` contexts and then ``local`` decided
-    runs: document ids, row keys, starts, window counts, anchor offsets."""
+    runs: document ids (as differences), row keys if ``keyed``, starts, window
+    counts and anchor offsets."""
     schema = arrow_schema(SHIPPED)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +188,8 @@ def shipper(buckets: int, s: Settings) -> Callable:
         for b in ends:
             shipped = int((~decided[a:b]).sum())
             context = joined[ranges(lo[a:a + shipped], count[a:a + shipped] + LENGTH - 1)].tobytes()
-            packed = b"".join((doc[a:b].tobytes(), key[a:b].tobytes(), at[a:b].tobytes(), count[a:b].astype(np.uint8).tobytes(),
+            packed = b"".join((np.diff(doc[a:b], prepend=0).tobytes(), key[a:b].tobytes() if keyed else b"",
+                               at[a:b].astype(np.int64).tobytes(), count[a:b].astype(np.uint8).tobytes(),
                                (anchor - lo)[a:b].astype(np.uint8).tobytes()))
             rows["bucket"].append(int(bucket[a]))
             rows["count"].append(shipped)
@@ -256,7 +261,7 @@ class IndexFamily:
 FOUND = "block int, spans binary"
 
 
-def unpack(table: pa.Table) -> tuple[dict, np.ndarray]:
+def unpack(table: pa.Table, keyed: bool) -> tuple[dict, np.ndarray]:
     """Arrays of a bucket's contexts, their bytes joined, and the decided runs."""
     open_ = zstandard.ZstdDecompressor()
     kinds = (("doc", np.int64), ("key", np.int64), ("at", np.int64), ("count", np.uint8), ("offset", np.uint8))
@@ -265,8 +270,13 @@ def unpack(table: pa.Table) -> tuple[dict, np.ndarray]:
     for n, local, packed, context in zip(*(table.column(c).to_pylist() for c in ("count", "local", "packed", "contexts"))):
         data, place, total = open_.decompress(packed), 0, n + local
         for name, kind in kinds:
-            column = np.frombuffer(data, dtype=kind, count=total, offset=place)
-            place += column.nbytes
+            if name == "key" and not keyed:
+                column = documents
+            else:
+                column = np.frombuffer(data, dtype=kind, count=total, offset=place)
+                place += column.nbytes
+            if name == "doc":
+                column = documents = np.cumsum(column)
             parts[False][name].append(column[:n])
             parts[True][name].append(column[n:])
         contexts.append(open_.decompress(context) if n else b"")
@@ -290,13 +300,13 @@ def shared_anchors(data: np.ndarray, start: np.ndarray, offset: np.ndarray, doc:
     return low[group] < high[group]
 
 
-def bucket_scanner(blocks: int, s: Settings) -> Callable:
+def bucket_scanner(blocks: int, keyed: bool, s: Settings) -> Callable:
     """Task function of one bucket: the runs of windows that start in a smaller
     document, by block of documents."""
     schema = arrow_schema(FOUND)
 
     def run(table: pa.Table) -> pa.Table:
-        parts, data = unpack(table)
+        parts, data = unpack(table, keyed)
         del table
         own, local = parts[False], parts[True]
         length = own["count"].astype(np.int64) + LENGTH - 1
@@ -329,7 +339,7 @@ def bucket_scanner(blocks: int, s: Settings) -> Callable:
                 counts.append(size)
                 lo = hi
         key, at, count = (np.concatenate(x) for x in (keys, ats, counts))
-        block = np.mod(key, blocks)
+        block = block_of(key, blocks)
         order = np.lexsort((at, key, block))
         block = block[order]
         rows = np.column_stack([key[order], at[order], count[order]])
@@ -363,6 +373,10 @@ def fingerprints(prints: Fingerprints, data: np.ndarray, start: np.ndarray, leng
     return prints.of(prefixes, first, first + LENGTH)
 
 
+def block_of(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (mixed(keys.astype(np.uint64)) % np.uint64(blocks)).astype(np.int64)
+
+
 # ---- documents --------------------------------------------------------------
 
 
@@ -383,16 +397,35 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, blocks = (max(1, -(-total // n)) for n in (s.bucket_bytes, s.block_bytes))
-    row_key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-    keyed = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key, "text")
-    found = (keyed.mapInArrow(shipper(buckets, s), SHIPPED).repartition(buckets, "bucket")
-             .groupBy("bucket").applyInArrow(bucket_scanner(blocks, s), FOUND))
-    # A column name that no input column has.
-    key_name = "_row_key" + "_" * max([0, *(len(c) for c in docs.columns)])
-    block_name = "_block" + "_" * max([0, *(len(c) for c in docs.columns)])
-    key = F.when(F.col("doc_id").isNotNull(), row_key)
-    rows = docs.withColumn(key_name, key).withColumn(
-        block_name, F.coalesce(F.pmod(F.col(key_name), F.lit(blocks)), F.pmod(F.xxhash64("text"), F.lit(blocks))).cast("int"))
+    # A row is known by its id; only where ids repeat, by id and text.
+    keyed = bool(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).collect())
+    row_key = F.xxhash64("doc_id", F.coalesce("text", F.lit(""))) if keyed else F.col("doc_id").cast("bigint")
+    known = docs.where("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("bigint").alias("doc_id"), row_key.alias("row_key"), "text")
+    found = (known.mapInArrow(shipper(buckets, keyed, s), SHIPPED).repartition(buckets, "bucket")
+             .groupBy("bucket").applyInArrow(bucket_scanner(blocks, keyed, s), FOUND))
+    # Column names that no input column has.
+    longer = "_" * max([0, *(len(c) for c in docs.columns)])
+    key_name, block_name = "_row_key" + longer, "_block" + longer
+    rows = docs.withColumn(key_name, F.when(F.col("doc_id").isNotNull(), row_key))
+    moved = T.StructType([T.StructField(f.name, T.BinaryType() if f.name == "text" else f.dataType) for f in rows.schema]
+                         + [T.StructField(block_name, T.IntegerType())])
+    moved_schema = to_arrow_schema(moved)
+
+    def squeeze_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are moved compressed, with the block they belong to."""
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
+            keys = batch.column(key_name)
+            block = block_of(keys.fill_null(0).to_numpy(zero_copy_only=False), blocks)
+            for i in np.flatnonzero(keys.is_null().to_numpy(zero_copy_only=False)):
+                block[i] = zlib.crc32(texts[i] or b"") % blocks
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            columns |= {"text": [None if t is None else squeeze.compress(t) for t in texts], block_name: block}
+            yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in ("text", block_name)
+                                              else columns[f.name].cast(f.type) for f in moved_schema], schema=moved_schema)
+
     schema = arrow_schema(ddl)
 
     def run(spans: pa.Table, table: pa.Table) -> pa.Table:
@@ -402,14 +435,19 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
         order = np.argsort(key, kind="stable")
         key, at, count = key[order], at[order], count[order]
         row_keys = table.column(key_name).to_pylist()
+        packed = table.column("text").to_pylist()
+        whole = [None if t is None else open_.decompress(t) if t else b"" for t in packed]
+        text = pa.array([None if t is None else t.decode() for t in whole], type=pa.string())
+        table = table.drop_columns([key_name, block_name]).set_column(table.column_names.index("text"), "text", text)
         masks = []
-        for k, t in zip(row_keys, table.column("text").to_pylist()):
-            data = (t or "").encode()
+        for k, data in zip(row_keys, whole):
+            data = data or b""
             lo, hi = (np.searchsorted(key, k, side=x) for x in ("left", "right")) if k is not None else (0, 0)
             masks.append((data, removed(len(data), at[lo:hi], count[lo:hi])))
-        return pa.table(finish(table.drop_columns([key_name, block_name]), masks), schema=schema)
+        return pa.table(finish(table, masks), schema=schema)
 
-    return found.groupBy("block").cogroup(rows.groupBy(block_name)).applyInArrow(run, ddl)
+    return (found.groupBy("block").cogroup(rows.mapInArrow(squeeze_texts, moved).groupBy(block_name))
+            .applyInArrow(run, ddl))
 
 
 DIGESTS = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
