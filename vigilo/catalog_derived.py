@@ -12,7 +12,10 @@ from pyspark.sql.window import Window
 
 from vigilo import config as C
 from vigilo import oracle as O
-from vigilo.catalog import ATTR_SQL, register
+from pyspark.ml.functions import vector_to_array
+
+from vigilo.catalog import (
+    _BIN_D, ATTR_SQL, CAT_FILLED, CAT_LIST, KEPT_SQL, MED_SQL, NUM_LIST, STD_SQL, TRAIN, register)
 from vigilo.functions.clean import r6, round_half_even
 from vigilo.operators import evaluate as E
 from vigilo.operators import explain as XP
@@ -147,3 +150,49 @@ def q_attribution_by_raw_feature_derived(spark, sf):
             .withColumn("shap", F.col("weight") * F.col("value")))
     raw_map = spark.createDataFrame(list(RAW_OF.items()), "feature string, raw_feature string")
     return XP.attribution_by_raw_feature(attr, raw_map)
+
+
+# ---------------------------------------------------------------- fitted linear models
+
+SCORE_SQL = O.base(MED_SQL, STD_SQL, KEPT_SQL) + f""",
+tr AS (SELECT * FROM {TRAIN}),
+wt AS (SELECT DIED, n / (CAST(2 AS DOUBLE) * n_c) AS w FROM (
+  SELECT DIED, count(*) AS n_c, sum(count(*)) OVER () AS n FROM tr GROUP BY DIED)),
+x AS (
+  SELECT l.VAERS_ID, l.feature, (coalesce(l.v, m.med) - s.mean) / s.std AS v
+  FROM (SELECT * FROM (SELECT VAERS_ID, {NUM_LIST} FROM tr) UNPIVOT INCLUDE NULLS (v FOR feature IN ({NUM_LIST}))) l
+  JOIN med m ON l.feature = m.feature JOIN std s ON l.feature = s.feature
+  UNION ALL
+  SELECT VAERS_ID, feature, coalesce(v, 0) FROM (SELECT * FROM (SELECT VAERS_ID, {_BIN_D} FROM tr)
+    UNPIVOT INCLUDE NULLS (v FOR feature IN (COLUMNS(* EXCLUDE (VAERS_ID)))))
+  UNION ALL SELECT VAERS_ID, feature, CAST(v AS DOUBLE) FROM ({O.flags_long('tr')})
+  UNION ALL
+  SELECT t.VAERS_ID, k.feature || '_' || k.category, CAST(t.category = k.category AS DOUBLE)
+  FROM (UNPIVOT (SELECT VAERS_ID, {CAT_FILLED} FROM tr) ON {CAT_LIST} INTO NAME feature VALUE category) t
+  JOIN kept k ON t.feature = k.feature)
+ SELECT md.model, x.feature, {O.rnd('sum(wt.w * tr.DIED * x.v) / sum(wt.w)', 4)} AS score
+ FROM x JOIN tr ON x.VAERS_ID = tr.VAERS_ID JOIN wt ON tr.DIED = wt.DIED
+ CROSS JOIN (VALUES ('logistic'), ('ridge')) md(model) GROUP BY md.model, x.feature"""
+
+
+@register("score_equations", SCORE_SQL)
+def q_score_equations(spark, sf):
+    """A fitted linear model's score equations: the weighted sum of each
+    feature over the probabilities (plus β / C under the ridge penalty) is
+    that over the labels, which SQL can sum. Fitted to a tight tolerance."""
+    train = M.weighted(WF.train_rows(spark, sf), "logistic")
+    out = None
+    for name in ("logistic", "ridge"):
+        model = M.fit(WF.train_rows(spark, sf), name, prep_model=WF.shared_preparation(spark, sf), tol=1e-12)
+        prep, names = model.stages[0], M.feature_names(model)
+        scored = model.transform(train)
+        p = vector_to_array("probability")[1]
+        sums = scored.agg(F.sum("weight").alias("w"), *[
+            F.sum(F.col("weight") * p * e).alias(f"s{i}") for i, e in enumerate(prep.feature_exprs())])
+        beta = model.stages[-1].coefficients.toArray() / C.PENALTY_C if name == "ridge" else [0.0] * len(names)
+        rows = sums.select(F.explode(F.array(*[
+            F.struct(F.lit(n).alias("feature"), ((F.col(f"s{i}") + F.lit(float(b))) / F.col("w")).alias("v"))
+            for i, (n, b) in enumerate(zip(names, beta))])).alias("f")).select(
+                F.lit(name).alias("model"), "f.feature", round_half_even("f.v", 4).alias("score"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
