@@ -110,3 +110,17 @@ def test_odd_rows_and_labels(operator, column, spark, odd_docs, no_docs):
         twins = {r.score for r in rows if r.doc_id in (7, 8)}
         assert len(twins) == 1
     assert operator.score(no_docs, operator.fit(no_docs, none)).count() == 0
+
+
+def test_tokens_are_words_and_symbols():
+    import re
+    plain = re.compile(rb"[0-9A-Za-z_\x80-\xff]+|[!-/:-@\[-^`{-~]")
+    texts = ["Hello, wörld!! a_b 12.5", "", " \n\t", "###", "x", "日本 x\x00y\x7fz", "a" * 50, "a a a"]
+    tokens, lengths = Q.tokens_of(texts)
+    want = [plain.findall(t.encode()) for t in texts]
+    assert lengths.tolist() == [len(w) for w in want]
+    bucket = {}
+    for t, b in zip((t for w in want for t in w), tokens.tolist()):
+        assert bucket.setdefault(t, b) == b
+    assert len(set(bucket.values())) > 0.8 * len(bucket)
+    assert (Q.tokens_of(["pad pad", "###"])[0][-3:] == Q.tokens_of(["###"])[0]).all()

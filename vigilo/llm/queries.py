@@ -76,4 +76,51 @@ QUERIES = {
     "op10_bayesian_jaccard": op10_bayesian_jaccard,
 }
 
-SQL: dict[str, str] = {}
+# Words and links by the definition: pairs that share a shingle, counted.
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS g
+  FROM w, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) r(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id),
+l AS (
+  SELECT x, y, c = nx.n AND c = ny.n AS same FROM p JOIN n nx ON p.x = nx.doc_id JOIN n ny ON p.y = ny.doc_id
+  WHERE 5 * c >= 4 * (nx.n + ny.n - c)),
+reach AS (
+  SELECT doc_id, doc_id AS r FROM documents
+  UNION SELECT reach.doc_id, l.y FROM reach JOIN l ON reach.r = l.x),
+class AS (SELECT doc_id, min(r) AS class_id FROM reach GROUP BY doc_id),
+links AS (SELECT x AS doc_id, count(*) AS n_links, count(*) FILTER (WHERE same) AS others FROM l GROUP BY x)
+SELECT c.doc_id, c.class_id, coalesce(k.n_links, 0) AS n_links, 1 + coalesce(k.others, 0) AS n_copies
+FROM class c LEFT JOIN links k ON c.doc_id = k.doc_id"""
+
+# Every 50-byte string of every text, as hexadecimal digits, with its smallest document.
+REPEATS_SQL = """
+WITH t AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS g FROM t, unnest(range(0, greatest(n - 49, 0))) r(i)),
+least_doc AS (SELECT g, min(doc_id) AS d FROM win GROUP BY g),
+hit AS (SELECT win.doc_id, win.i FROM win JOIN least_doc m ON win.g = m.g WHERE m.d < win.doc_id),
+step AS (
+  SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM step),
+run AS (SELECT doc_id, k, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, k),
+part AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS kept_from FROM run),
+cut AS (
+  SELECT p.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last,
+         string_agg(substr(t.h, 2 * kept_from + 1, 2 * (a - kept_from)), '' ORDER BY a) AS head
+  FROM part p JOIN t ON p.doc_id = t.doc_id GROUP BY p.doc_id)
+SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) AS BIGINT) AS n_removed,
+       coalesce(c.n_spans, 0) AS n_spans,
+       sha256(unhex(coalesce(c.head, '') || substr(t.h, 2 * coalesce(c.last, 0) + 1))) AS kept_sha256
+FROM t LEFT JOIN cut c ON t.doc_id = c.doc_id"""
+
+SQL: dict[str, str] = {
+    "op6_suffix_index": REPEATS_SQL,
+    "op10_bayesian_jaccard": JACCARD_SQL,
+}
