@@ -16,8 +16,6 @@ is the base rate. Repeated rows score alike; other columns are ignored.
 
 from __future__ import annotations
 
-import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigilo.llm.common import arrow_schema, text_chunks, to_batch
+from vigilo.llm.suffix_dedup import Fingerprints
 
-TOKEN = re.compile(r"\w+|[^\w\s]")
 BUCKETS = 1 << 14
 DIM = 64
 INPUTS = DIM + 2
@@ -36,7 +34,7 @@ NONZERO = 2              # entries of an index vector, each +1 or -1
 WINDOW = 2
 CHUNK = 2_000_000
 AT_ONCE = 100_000       # vectors of a text that are gathered at once
-CACHE_TOKENS = 250_000   # tokens whose bucket a worker remembers, in each of two generations
+SLICE = 1_000_000        # bytes whose tokens are hashed together
 
 
 @dataclass(frozen=True)
@@ -50,30 +48,45 @@ class Settings:
     seed: int = 7
 
 
-class Buckets:
-    """Bucket of each token, remembered by a worker."""
+def byte_kinds() -> np.ndarray:
+    """0: between tokens, 1: part of a word (letters, digits, all beyond ASCII), 2: a symbol, a token of its own."""
+    kinds = np.zeros(256, dtype=np.uint8)
+    kinds[33:127] = 2
+    kinds[[b for b in range(128) if chr(b).isalnum() or chr(b) == "_"]] = 1
+    kinds[128:] = 1
+    return kinds
 
-    def __init__(self):
-        self.young: dict[str, int] = {}
-        self.old: dict[str, int] = {}
 
-    def numbers(self, tokens: list[str]) -> np.ndarray:
-        if len(self.young) > CACHE_TOKENS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        for t in set(tokens).difference(young):
-            young[t] = old[t] if t in old else zlib.crc32(t.encode()) % BUCKETS
-        return np.fromiter(map(young.__getitem__, tokens), dtype=np.int64, count=len(tokens))
-
-
-_BUCKETS = Buckets()
+KINDS = byte_kinds()
+_PRINTS: list[Fingerprints] = []
 
 
 def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all tokens, and the number of tokens of each text."""
-    lists = [TOKEN.findall(t) for t in texts]
-    lengths = np.array([len(x) for x in lists], dtype=np.int64)
-    return _BUCKETS.numbers([t for x in lists for t in x]), lengths
+    """Buckets of all tokens, and the number of tokens of each text.
+
+    Tokens are found and hashed as stretches of the joined bytes, a bounded
+    number of bytes at a time; a token that spans two such slices is cut.
+    """
+    if not _PRINTS:
+        _PRINTS.append(Fingerprints(SLICE))
+    data = [t.encode() + b"\n" for t in texts]
+    bounds = np.cumsum([0, *map(len, data)])
+    joined = np.frombuffer(b"".join(data), dtype=np.uint8)
+    buckets, begins = [], []
+    for at in range(0, len(joined), SLICE):
+        part = joined[at:at + SLICE]
+        kind = KINDS[part]
+        word = np.concatenate([[False], kind == 1, [False]])
+        begin = np.flatnonzero((kind == 2) | (word[1:-1] & ~word[:-2]))
+        end = begin + 1
+        end[kind[begin] == 1] = np.flatnonzero(word[1:-1] & ~word[2:]) + 1
+        prefixes = _PRINTS[0].prefixes(part)
+        buckets.append((_PRINTS[0].of(prefixes, begin, end) % np.uint64(BUCKETS)).astype(np.int64))
+        begins.append(begin + at)
+    if not begins:
+        return np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+    place = np.searchsorted(np.concatenate(begins), bounds)
+    return np.concatenate(buckets), np.diff(place)
 
 
 def index_vectors(seed: int) -> tuple[np.ndarray, np.ndarray]:
