@@ -172,14 +172,14 @@ def shipper(buckets: int, keyed: bool, s: Settings) -> Callable:
         doc, key = ids[which[piece]], keys[which[piece]]
         # Of equal contexts, those of the smallest document are shipped; the
         # others are decided here.
-        order = np.lexsort((doc, whole))
-        new = np.concatenate([[True], whole[order][1:] != whole[order][:-1]])
+        order = np.argsort(whole)
+        first = np.flatnonzero(np.concatenate([[True], whole[order][1:] != whole[order][:-1]]))
         smallest = np.empty(len(doc), dtype=np.int64)
-        smallest[order] = doc[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        smallest[order] = np.repeat(np.minimum.reduceat(doc[order], first), np.diff(np.append(first, len(doc))))
         decided = doc > smallest
         anchors = prints.of(prefixes, anchor, anchor + ANCHOR)
         bucket = ((anchors >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((lo, decided, bucket))
+        order = np.argsort(2 * bucket + decided, kind="stable")  # places ascend already
         bucket, decided, lo, count, doc, key, anchor = (x[order] for x in (bucket, decided, lo, count, doc, key, anchor))
         at = lo - start[piece[order]] + offset[piece[order]]
         ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
@@ -232,10 +232,10 @@ class IndexFamily:
     def scan_and_add(self, windows: np.ndarray, documents: np.ndarray) -> np.ndarray:
         """Whether each window of a new batch starts in a smaller document, in
         the batch or in a level; then the batch is added."""
-        order = np.lexsort((documents, windows))
+        order = np.argsort(windows)
         keys, docs = windows[order], documents[order]
         first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, dtype=bool))
-        unique, least = keys[first], docs[first]
+        unique, least = keys[first], np.minimum.reduceat(docs, first) if len(first) else docs
         smallest = least.copy()
         for known, owner in self.levels:
             at = np.minimum(np.searchsorted(known, unique), len(known) - 1)
