@@ -48,6 +48,7 @@ from vigilo.llm.ngram_join import mixed, multipliers
 LENGTH = 50              # bytes of a match
 ANCHOR = 12              # bytes of an anchor
 PLACE_BITS = 22          # of a position in a chunk
+SQUEEZE = 5              # level of compression of what is moved
 SLICE = 1_000_000        # bytes of contexts fingerprinted together
 
 
@@ -153,7 +154,7 @@ def shipper(buckets: int, keyed: bool, s: Settings) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(s.chunk_bytes + s.piece_bytes + LENGTH)
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=SQUEEZE)
         for ids, keys, texts in row_chunks(batches, s):
             for which, offset, data in pieces(texts, s):
                 out = chunk(ids, keys, np.array(which), np.array(offset), data, prints, squeeze)
@@ -414,7 +415,7 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
 
     def squeeze_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts are moved compressed, with the block they belong to."""
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=SQUEEZE)
         for batch in batches:
             texts = [None if t is None else t.encode() for t in batch.column("text").to_pylist()]
             keys = batch.column(key_name)
