@@ -73,7 +73,7 @@ def multipliers(n: int, seed: int) -> np.ndarray:
 def shingle_sets(texts: list[str], words: int, known: dict[bytes, int]) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingles of each text."""
     factors = multipliers(words, 1)
-    if len(known) > 500_000:
+    if len(known) > 200_000:
         known.clear()
     out = []
     for text in texts:

@@ -54,7 +54,7 @@ SLICE = 1_000_000        # bytes of contexts fingerprinted together
 
 @dataclass(frozen=True)
 class Settings:
-    bucket_bytes: int = 6_000_000    # of text for each bucket, about
+    bucket_bytes: int = 5_000_000    # of text for each bucket, about
     batch_windows: int = 500_000   # of a level-0 suffix array
     block_bytes: int = 8_000_000     # of text for each block of documents, about
     chunk_bytes: int = 2_000_000     # of texts that a task works on together
@@ -89,19 +89,23 @@ def anchored_spans(data: np.ndarray, piece_start: np.ndarray, piece_length: np.n
         return tuple(np.zeros(0, dtype=np.int64) for _ in range(4))
     word = eight_bytes(data)
     gram = mixed(word)
-    gram[:-4] ^= mixed(word[4:] + np.uint64(0x9E3779B97F4A7C15))  # bytes 4 to 12
+    word = word[4:]
+    word += np.uint64(0x9E3779B97F4A7C15)
+    gram[:-4] ^= mixed(word)  # bytes 4 to 12
+    del word
     place = np.uint64((1 << PLACE_BITS) - 1)
     gram &= ~place
     gram |= np.arange(len(gram), dtype=np.uint64)
-    low = window_minima(gram[:len(data) - ANCHOR + 1], LENGTH - ANCHOR + 1) & place
+    low = (window_minima(gram[:len(data) - ANCHOR + 1], LENGTH - ANCHOR + 1) & place).astype(np.int32)
+    del gram
     windows = np.maximum(piece_length - LENGTH + 1, 0)
-    start = ranges(piece_start, windows)
-    piece = np.repeat(np.arange(len(windows)), windows)
-    anchor = low[start].astype(np.int64)
+    start = ranges(piece_start, windows).astype(np.int32)
+    piece = np.repeat(np.arange(len(windows), dtype=np.int32), windows)
+    anchor = low[start]
     first = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])])
                            if len(start) else np.zeros(0, dtype=bool))
     count = np.diff(np.append(first, len(start)))
-    return piece[first], start[first], count, anchor[first]
+    return piece[first], start[first].astype(np.int64), count, anchor[first].astype(np.int64)
 
 
 class Fingerprints:
@@ -251,11 +255,13 @@ class IndexFamily:
             return
         while self.levels and len(self.levels[-1][0]) < 2 * len(keys):
             other, others = self.levels.pop()
-            joined = np.concatenate([other, keys])
-            order = np.argsort(joined, kind="stable")  # two runs in order: a merge
-            joined, owners = joined[order], np.concatenate([others, owners])[order]
-            first = np.flatnonzero(np.concatenate([[True], joined[1:] != joined[:-1]]))
-            keys, owners = joined[first], np.minimum.reduceat(owners, first)
+            # Windows of the level that the smaller one knows too take the smaller owner;
+            # the others of the smaller one are inserted at their places.
+            at = np.searchsorted(other, keys)
+            inside = np.minimum(at, len(other) - 1)
+            both = other[inside] == keys
+            others[inside[both]] = np.minimum(others[inside[both]], owners[both])
+            keys, owners = np.insert(other, at[~both], keys[~both]), np.insert(others, at[~both], owners[~both])
         self.levels.append((keys, owners))
 
 
