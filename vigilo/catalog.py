@@ -903,14 +903,19 @@ def q_dependence_curve(spark, sf):
 # ---------------------------------------------------------------- CV, grid search, history
 
 _CV: dict = {}
+CV_MODELS = tuple(m for m in M.ALL_MODELS if m != "mlp")     # as the reference cross-validates
 
 
 @register("cv_model_scores")
 def q_cv_model_scores(spark, sf):
     key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
-    if key not in _CV:                                  # five fits, shared with the summary
-        folds = E.fold_scores(TU.cross_validate(WF.train_rows(spark, sf), "logistic"))
-        _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # ≤ folds × 5 metric rows
+    if key not in _CV:                                  # five fits a model, shared with the summary
+        scored = None
+        for name in CV_MODELS:
+            s = TU.cross_validate(WF.train_rows(spark, sf), name, **dict(WF.QUERY_SETTINGS[name]))
+            scored = s if scored is None else scored.unionByName(s)
+        folds = E.fold_scores(scored)
+        _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # models × folds × 5 metric rows
     return _CV[key]
 
 
@@ -919,14 +924,13 @@ def q_cv_model_summary(spark, sf):
     return E.cv_summary(q_cv_model_scores(spark, sf))
 
 
-QUERY_GRID = {"max_depth": [3, 5], "min_samples_leaf": [10, 50]}   # a cut of the reference's CART grid
 _GRID: dict = {}
 
 
 def _grid(spark, sf):
     key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
     if key not in _GRID:
-        _GRID[key] = TU.grid_search(spark, WF.train_rows(spark, sf), "cart", QUERY_GRID)
+        _GRID[key] = TU.grid_search(spark, WF.train_rows(spark, sf), "cart")
     return _GRID[key]
 
 
@@ -1095,7 +1099,7 @@ def q_export_artifacts(spark, sf):
     logistic model only)."""
     from vigilo.plans.training import run_training
     return run_training(spark, sf, scratch_path(spark, "training"), settings=WF.QUERY_SETTINGS,
-                        cv_models=("logistic",), grids={"cart": QUERY_GRID})
+                        cv_models=("logistic",), grids={"cart": {"max_depth": [3, 5], "min_samples_leaf": [10, 50]}})
 
 
 @register("mlp_history")

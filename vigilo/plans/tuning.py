@@ -3,8 +3,7 @@
 * ``cross_validate`` — k fits, each on the other folds, each scored on its
   own fold; the scored table feeds ``evaluate.fold_scores`` so all five
   metrics come from one pass (Spark's CrossValidator reports one metric).
-* ``grid_search`` — Spark's ``CrossValidator`` over a ``Pipeline``
-  (preparation is refitted inside every fold) with a fold column and the
+* ``grid_search`` — every point of a grid on the same prepared folds with the
   positive-class F1, returning mean and sd per parameter combination and
   the best pipeline refitted on all training rows.
 * ``boosting_history`` — validation loss and AUC after every boosting round,
@@ -13,12 +12,12 @@
 
 from __future__ import annotations
 
+import itertools
+from multiprocessing.pool import ThreadPool
+
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +25,7 @@ from vigilo import config as C
 from vigilo.functions.clean import round_half_even
 from vigilo.operators.distributed import hash_rank, md5_hash
 from vigilo.operators.evaluate import ranking_metrics
+from vigilo.operators.sampling import bounded_rows
 from vigilo.operators.explain import ensemble_tables, leaf_values
 from vigilo.plans import models as M
 from vigilo.plans.features import default_preparer
@@ -50,48 +50,65 @@ def cross_validate(train: DataFrame, name: str, k: int = C.CV_FOLDS, **over) ->
     """Out-of-fold scored rows (model, fold, VAERS_ID, y, p, pred)."""
     if "fold" not in train.columns or k != C.CV_FOLDS:
         train = stratified_folds(train.drop("fold"), k)
-    parts = []
-    for f in range(k):
-        fit_rows = train.where(F.col("fold") != f)
-        model = M.fit(fit_rows, name, **dict(over))
-        parts.append(M.score(model, train.where(F.col("fold") == f), name, keep=["fold"]))
+
+    def fold_scored(f):
+        model = M.fit(train.where(F.col("fold") != f), name, **dict(over))
+        return M.score(model, train.where(F.col("fold") == f), name, keep=["fold"])
+
+    with ThreadPool(k) as pool:
+        parts = pool.map(fold_scored, range(k))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def positive_f1(scored: DataFrame) -> float:
+    """F1 of class 1 over (label, prediction), 0 where undefined."""
+    y, d = F.col("label"), F.col("prediction")
+    r = scored.agg(F.count_if((y == 1) & (d == 1)).alias("tp"), F.count_if(y != d).alias("wrong")).first()
+    return 2 * r["tp"] / (2 * r["tp"] + r["wrong"]) if r["tp"] else 0.0
+
+
 def grid_search(spark: SparkSession, train: DataFrame, name: str, grid: dict | None = None,
-                k: int | None = None, parallelism: int = 4, **fixed):
-    """C10 + C11: (results DataFrame, best refitted PipelineModel, best params)."""
+                k: int | None = None, rows: int = C.SAMPLE_TARGET, parallelism: int = 8, **fixed):
+    """C10 + C11: (results DataFrame, best refitted PipelineModel, best params).
+
+    Preparation is fitted once per fold, on the other folds; every point of
+    the grid then trains on the same persisted vectors. ``rows`` bounds the
+    rows of the fits as in :func:`models.fit`.
+    """
     grid = grid or GRIDS[name]
     k = k or GRID_FOLDS[name]
-    data = M.with_label(M.weighted(stratified_folds(train.drop("fold"), k), name))
-    clf = M.classifier(name, **fixed)
-    names = list(grid)
-    builder = ParamGridBuilder()
-    for g in names:
-        builder = builder.addGrid(clf.getParam(PARAM_NAMES[name][g]), grid[g])
-    maps = builder.build()
-    pipe = Pipeline(stages=[default_preparer(train.columns), clf])
-    ev = MulticlassClassificationEvaluator(metricName="fMeasureByLabel", metricLabel=1.0,
-                                           labelCol="label", predictionCol="prediction")
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=maps, evaluator=ev, foldCol="fold", numFolds=k,
-                        parallelism=parallelism, seed=C.SEED)
-    data = data.persist()
-    try:
-        cvm = cv.fit(data)
-    finally:
-        data.unpersist()
-    rows = []
-    for pm, mean, sd in zip(maps, cvm.avgMetrics, cvm.stdMetrics):
-        params = {g: pm[clf.getParam(PARAM_NAMES[name][g])] for g in names}
-        rows.append((name, {g: str(v) for g, v in params.items()}, float(mean), float(sd), k))
-    res = spark.createDataFrame(rows, "model string, params map<string,string>, mean_f1 double, "
-                                      "std_f1 double, n_splits int")
-    best = max(range(len(maps)), key=lambda i: cvm.avgMetrics[i])
-    best_params = {g: maps[best][clf.getParam(PARAM_NAMES[name][g])] for g in names}
-    return res, cvm.bestModel, best_params
+    points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
+    data = M.with_label(M.weighted(stratified_folds(bounded_rows(train, rows).drop("fold"), k), name))
+    scores = np.zeros((len(points), k))
+    for fold in range(k):
+        others = data.where(F.col("fold") != fold)
+        prep = default_preparer(train.columns).fit(others)
+        seen = prep.transform(others).select("features", "label", "weight").persist()
+        unseen = prep.transform(data.where(F.col("fold") == fold)).select("features", "label").persist()
+        try:
+            # Every fit is many short jobs over at most ``rows`` rows: no more tasks than they need.
+            tasks = max(1, seen.count() // 20_000)
+            narrow, other = seen.coalesce(tasks), unseen.coalesce(tasks)
+
+            def fold_f1(point):
+                clf = M.classifier(name, **fixed, **{PARAM_NAMES[name][g]: v for g, v in point.items()})
+                return positive_f1(clf.fit(narrow).transform(other))
+
+            with ThreadPool(parallelism) as pool:            # Spark shares its slots among the fits' jobs
+                scores[:, fold] = pool.map(fold_f1, points)
+        finally:
+            seen.unpersist()
+            unseen.unpersist()
+    mean, sd = scores.mean(axis=1), scores.std(axis=1)
+    res = spark.createDataFrame(
+        [(name, {g: str(v) for g, v in p.items()}, float(m), float(d), k) for p, m, d in zip(points, mean, sd)],
+        "model string, params map<string,string>, mean_f1 double, std_f1 double, n_splits int")
+    best = points[int(np.argmax(mean))]
+    model = M.fit(train, name, rows=rows, **fixed, **{PARAM_NAMES[name][g]: v for g, v in best.items()})
+    return res, model, best
 
 
 def grid_top5(results: DataFrame) -> DataFrame:
