@@ -697,8 +697,7 @@ def q_unbalance_weights(spark, sf):
 
 def _fit_query(name):
     def q(spark, sf):
-        sc = M.score(WF.fitted(spark, sf, name), WF.test_rows(spark, sf), name)
-        return E.test_metrics(sc)
+        return E.test_metrics(WF.scored_by(spark, sf, name))
     q.__name__ = f"q_fit_{name}"
     return q
 

@@ -78,6 +78,9 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     for name, m in fitted.items():                                               # C8
         s = M.score(m, test, name)
         scored = s if scored is None else scored.unionByName(s)
+    # Metrics and curves read the scores, they do not score again.
+    put("scores", scored, "model")
+    scored = AR.read_table(spark, f"{out}/scores")
     put("metrics", E.test_metrics(scored), "model")                              # S8
     put("roc_points", E.roc_points(scored, max_groups=len(fitted)), "model")
     put("pr_points", E.pr_points(scored, max_groups=len(fitted)), "model")
