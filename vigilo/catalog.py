@@ -600,10 +600,10 @@ def q_metric_bars(spark, sf):
     return E.metric_bars(E.test_metrics(_scored(spark, sf)))
 
 
-@register("label_lookup", O.base(SCORED_TEST) + " SELECT DISTINCT model, " + LABEL_SQL + " AS Model FROM scored")
+@register("label_lookup", O.base(SCORED_TEST) + " SELECT DISTINCT model, " + LABEL_SQL + " AS label FROM scored")
 def q_label_lookup(spark, sf):
     from vigilo.functions.clean import model_label
-    return _scored(spark, sf).select("model").distinct().select("model", model_label("model").alias("Model"))
+    return _scored(spark, sf).select("model").distinct().select("model", model_label("model").alias("label"))
 
 
 # ---------------------------------------------------------------- features (M1–M8)
