@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ def map_columns(df: DataFrame, fn: Callable[[dict[str, list]], dict], ddl: str)
         for batch in batches:
             if batch.num_rows:
                 yield to_batch(fn(batch.to_pydict()), schema)
+        give_back()
 
     return df.mapInArrow(run, ddl)
 
@@ -74,6 +76,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Return freed memory to the system, so that a worker that has ended its
+    task, and may stand idle beside others, is small."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim is not None:
+        trim(0)
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenated index ranges [s, s + n) of all (s, n)."""
     ends = np.cumsum(lengths)

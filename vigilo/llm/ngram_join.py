@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import arrow_schema, ranges, text_chunks, to_batch, written
+from vigilo.llm.common import arrow_schema, give_back, ranges, text_chunks, to_batch, written
 from vigilo.llm.graph import components
 
 CHUNK = 4_000_000
@@ -124,6 +124,8 @@ def sketches(docs: DataFrame, s: Settings) -> DataFrame:
                 out["n"].append(len(shingles))
                 out["keys"].append(done[digest])
             yield to_batch(out, schema)
+        known.clear()
+        give_back()
 
     return docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInArrow(run, ddl)
 
@@ -273,6 +275,8 @@ def compare(docs: DataFrame, reps: DataFrame, groups: DataFrame, s: Settings) ->
             full = [k for k, x in enumerate(sets) if len(x)]
             yield to_batch({**{n: [c[n][k] for k in full] for n in ("doc_id", "component", "blocks", "copies")},
                             "shingles": [sets[k].tobytes() for k in full]}, schema)
+        known.clear()
+        give_back()
 
     rows = texts.mapInArrow(run, ddl).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # A block meets every block of its group, itself included; one block: itself only.

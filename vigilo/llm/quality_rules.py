@@ -28,7 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigilo.llm.common import WORD_SEPARATORS, arrow_schema, map_columns, text_chunks, to_batch, written
+from vigilo.llm.common import (
+    WORD_SEPARATORS, arrow_schema, give_back, map_columns, text_chunks, to_batch, written)
 
 # The characters counted as symbols, and the base limits.
 SYMBOLS = "#*$%&|<>"
@@ -143,6 +144,8 @@ def language_counts(docs: DataFrame) -> DataFrame:
                     words, chars = Counter(), {}
         if chars:
             yield flush(words, chars)
+        words.clear()
+        give_back()
 
     known = docs.where("lang IS NOT NULL").select("lang", "text")
     return known.mapInArrow(run, ddl).groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
@@ -238,6 +241,7 @@ def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
         for batch in batches:
             keep = [j.verdict(t or "")["kept"] for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

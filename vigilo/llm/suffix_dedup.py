@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from vigilo.llm.common import arrow_schema, ranges
+from vigilo.llm.common import arrow_schema, give_back, ranges
 from vigilo.llm.ngram_join import mixed, multipliers
 
 LENGTH = 50              # bytes of a match
@@ -164,6 +164,8 @@ def shipper(buckets: int, keyed: bool, s: Settings) -> Callable:
                 out = chunk(ids, keys, np.array(which), np.array(offset), data, prints, squeeze)
                 if out is not None:
                     yield out
+        del prints
+        give_back()
 
     def chunk(ids, keys, which, offset, data, prints, squeeze):
         length = np.array([len(d) for d in data], dtype=np.int64)
@@ -358,6 +360,8 @@ def bucket_scanner(blocks: int, keyed: bool, s: Settings) -> Callable:
             out["block"].append(int(block[a]))
             out["spans"].append(squeeze.compress(np.ascontiguousarray(rows[a:b].T).tobytes()))
             a = b
+        del parts, data, own, local, rows, keys, ats, counts, key, at, count, order
+        give_back()
         return pa.Table.from_pydict(out, schema=schema)
 
     return run
@@ -432,6 +436,8 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
             columns |= {"text": [None if t is None else squeeze.compress(t) for t in texts], block_name: block}
             yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) if f.name in ("text", block_name)
                                               else columns[f.name].cast(f.type) for f in moved_schema], schema=moved_schema)
+        del squeeze
+        give_back()
 
     schema = arrow_schema(ddl)
 
@@ -451,7 +457,10 @@ def cut(docs: DataFrame, finish: Callable, ddl: str, s: Settings = Settings()) -
             data = data or b""
             lo, hi = (np.searchsorted(key, k, side=x) for x in ("left", "right")) if k is not None else (0, 0)
             masks.append((data, removed(len(data), at[lo:hi], count[lo:hi])))
-        return pa.table(finish(table, masks), schema=schema)
+        out = pa.table(finish(table, masks), schema=schema)
+        del masks, whole, text, table, spans
+        give_back()
+        return out
 
     return (found.groupBy("block").cogroup(rows.mapInArrow(squeeze_texts, moved).groupBy(block_name))
             .applyInArrow(run, ddl))
