@@ -69,6 +69,16 @@ def test_template_is_learned_where_nothing_names_it(spark):
     assert got == {i: f"text {i} {body[i % 20]}" for i in range(60)}
 
 
+def test_reference_is_the_commonest_tree(spark):
+    # The page with the smallest id is empty, the next is built unlike the others.
+    page = "<body><div class=top>The site</div><table><tr><td>Menu of the site</table><div class=c><p>text {}</p></div>"
+    pages = host(20, lambda i: "" if i == 0 else "<p>moved" if i == 1 else page.format(f"{i} " * 9))
+    trees = {r.host: r.skeleton for r in H.induce(spark.createDataFrame(pages, DDL)).collect()}
+    assert trees == {"h.example": H.skeleton(H.parse(page)[0])}
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(pages, DDL)).collect()}
+    assert got == {i: "" if i == 0 else "moved" if i == 1 else " ".join(["text"] + [str(i)] * 9) for i in range(20)}
+
+
 def test_copies_of_an_article_stay(spark):
     pages = host(30, lambda i: "<body><nav>x</nav><article><p>one and the same</p></article>" if i < 20
                  else f"<body><nav>x</nav><article><p>other {i}</p></article>")

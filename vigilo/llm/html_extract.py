@@ -1,7 +1,7 @@
 """HTML extraction by wrapper induction.
 
 Pages of a host share a template. Each page's DOM is generalised (siblings
-with the same label become one node), one page's tree stands for the host,
+with the same label become one node), the commonest tree stands for the host,
 and every page of the host is aligned to it by simple tree matching. A node
 whose text is the same on nearly all pages is template; a node whose text
 varies is a slot. The slots inside the content container, in page order, are
@@ -77,6 +77,7 @@ INNER_SHARE = 0.99        # the same, inside the container
 TEMPLATE_PAGES = 5        # aligned pages, at least, to call a node template
 INNER_PAGES = 50
 CONTAINER_SHARE = 0.7     # of the varying text, for a child to be the container
+FLUSH_CHARS = 4_000_000   # of distinct skeletons a task counts before it passes them on
 
 
 @dataclass(eq=False)
@@ -312,35 +313,35 @@ def induce(pages: DataFrame) -> DataFrame:
     reference node with text (node, pages, agree, chars): how many pages have
     it, how many of them share its commonest text, and its mean length.
 
-    The reference of a host is its page with the smallest id. Counts cover
-    every page; they are added up in the tasks before they are moved.
+    The reference of a host is the commonest tree of its pages with text, of
+    equally common ones the last by its text. Counts cover every page; they are
+    added up in the tasks before they are moved.
     """
-    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id"), F.col("html")).where("host IS NOT NULL")
+    rows = pages.select(host_of(F.col("url")).alias("host"), F.col("html")).where("host IS NOT NULL")
 
-    def outline(c):
-        return {"host": c["host"], "page_id": c["page_id"], "skeleton": [skeleton(parse(h or "")[0]) for h in c["html"]]}
-
-    # Only the first page of a host in each task's rows is parsed.
-    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict = {}
+    # Skeletons are counted in each task first; pages without text have no say.
+    def outlines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n, size = Counter(), 0
         for batch in batches:
-            for host, page, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                rank = (page is None, page or 0)
-                if host not in best or rank < best[host][0]:
-                    best[host] = rank, page, text
-            if len(best) > 500:
-                yield to_batch(outline(rows_of(best)), schema)
-                best = {}
-        if best:
-            yield to_batch(outline(rows_of(best)), schema)
-
-    def rows_of(best):
-        return {"host": list(best), "page_id": [v[1] for v in best.values()], "html": [v[2] for v in best.values()]}
-
-    ddl = "host string, page_id bigint, skeleton string"
+            for host, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+                root, blocks = parse(text or "")
+                if blocks:
+                    key = host, skeleton(root)
+                    size += 0 if key in n else len(key[1])
+                    n[key] += 1
+            if size > FLUSH_CHARS:
+                yield to_batch(outline(n), schema)
+                n, size = Counter(), 0
+        if n:
+            yield to_batch(outline(n), schema)
+
+    def outline(n):
+        return {"host": [k[0] for k in n], "skeleton": [k[1] for k in n], "n": list(n.values())}
+
+    ddl = "host string, skeleton string, n bigint"
     schema = arrow_schema(ddl)
-    trees = written(rows.mapInArrow(firsts, ddl).groupBy("host").agg(
-        F.min_by("skeleton", F.struct(F.col("page_id").isNull(), "page_id")).alias("skeleton")), "outlines")
+    trees = written(rows.mapInArrow(outlines, ddl).groupBy("host", "skeleton").agg(F.sum("n").alias("n"))
+                    .groupBy("host").agg(F.max_by("skeleton", F.struct("n", "skeleton")).alias("skeleton")), "outlines")
 
     count_ddl = "host string, node int, digest bigint, n bigint, chars bigint"
     count_schema = arrow_schema(count_ddl)
