@@ -52,6 +52,25 @@ def test_deep_and_broken_pages():
     assert len(text_of("<p>" + "word " * 200_000)) == 5 * 200_000 - 1
 
 
+def test_long_tags_and_deep_elements():
+    long = "x>" * 10_000
+    assert text_of(f"<article><p>a<img src='data:{long}'>b<div style=\"{long}\">c</div></article>") == "ab\nc"
+    assert text_of(f"<article><p>a</p><nav data-x='{long}'>menu</nav><p>b</p></article>") == "a\nb"
+    many = " ".join(f'a{i}=">"' for i in range(200))
+    assert text_of(f"<article><p>a</p><nav {many}>menu</nav><p>b</p></article>") == "a\nb"
+    deep = "<div>" * 300 + "<nav>menu</nav><div><p>b</p></div>" + "</div>" * 300
+    assert text_of(f"<article><p>a</p>{deep}<p>c</p></article>") == "a\nb\nc"
+    assert text_of("<p>x<script>'<!--'</script>y <a href='u'\">z</a> 1 <b") == "xy z 1 <b"
+
+
+def test_broken_tags_are_linear():
+    n = 20_000
+    for text in ("<a b='" * n, "<a b='>" * n, "<a b=\"'" * n, "<a b='x" * n + ">", "<a" * n + ">",
+                 "<div>" * n + "</b>" * n, "<b>" * n + "<div>" * n + "</b>" * n, "<b>" * n + "x<hr>" * n,
+                 "<p><b>" * n + "</i>" * n):
+        text_of(text)
+
+
 def host(n, make):
     return [(i, f"http://h.example/{i}", make(i)) for i in range(n)]
 

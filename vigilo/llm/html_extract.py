@@ -62,12 +62,9 @@ DROPPED_WORDS = frozenset(
     "subscription toolbar topbar widget widgets".split())
 CONTAINERS = ("article", "main")
 
-# A tag's quoted values may hold ">"; lengths are bounded, so that a page of
-# broken tags costs no more than a constant for each.
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]{0,60})((?:[^>\"']++|\"[^\"]{0,4000}\"|'[^']{0,4000}'){0,40}+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]{0,60})([^>]{0,4000})>", re.S)
+# A comment, a declaration, or a tag up to its name; ``Tags`` finds a tag's end.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)", re.S)
+QUOTE_OR_END = re.compile(r">|=\s*+([\"'])")
 MARK = re.compile(r"""(?:^|\s)(class|id|role|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 NOT_NAME = re.compile(r"[^a-z0-9:-]")
 SPLIT = re.compile(r"[^a-z0-9]+")
@@ -87,14 +84,94 @@ class Node:
     dropped: bool
     parent: "Node | None"
     children: dict = field(default_factory=dict)
+    depth: int = 0
 
     def child(self, label: str, dropped: bool) -> "Node":
+        dropped = dropped or self.dropped
+        if self.depth >= DEEPEST:  # only whether it is dropped is told of what is nested deeper
+            return self if dropped == self.dropped else Node("", True, self, depth=self.depth + 1)
         got = self.children.get(label)
         if got is None:
-            got = self.children[label] = Node(label, dropped or self.dropped, self)
+            got = self.children[label] = Node(label, dropped, self, depth=self.depth + 1)
         return got
 
 
+class Tags:
+    """Ends of the tags of a page, in one pass over it.
+
+    Quoted values may hold ``>`` and have any length. A tag with a quote that
+    is never closed ends at the next ``>``. What a failed search has gone
+    through is not gone through again, so broken pages cost no more.
+    """
+
+    def __init__(self, text: str):
+        self.text = text
+        self.last = text.rfind(">")
+        self.failed: set[int] = set()  # quotes from which no end is reached
+
+    def end(self, at: int) -> int:
+        """The place of the ``>`` of the tag whose name ends at ``at``, or -1."""
+        if at > self.last:
+            return -1
+        place, opened = at, []
+        while m := QUOTE_OR_END.search(self.text, place):
+            if not m[1]:
+                return m.start()
+            quote = m.end() - 1
+            if quote in self.failed:
+                break
+            opened.append(quote)
+            place = self.text.find(m[1], m.end()) + 1
+            if not place:
+                break
+        self.failed.update(opened)
+        return self.text.find(">", at)
+
+
+class Open:
+    """The open elements of a page, of any depth; each step takes constant
+    time, or that of the elements it ends."""
+
+    def __init__(self, root: Node):
+        self.stack: list[tuple[str, Node]] = [("", root)]
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    @property
+    def node(self) -> Node:
+        return self.stack[-1][1]
+
+    @property
+    def block(self) -> Node:
+        """The node of the innermost block element."""
+        return self.stack[self.blocks[-1] if self.blocks else 0][1]
+
+    def push(self, tag: str, node: Node) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, node))
+
+    def nearest(self, names) -> int:
+        """The innermost open element of these names, or 0."""
+        return max((self.places[t][-1] for t in names if self.places.get(t)), default=0)
+
+    def end(self, i: int) -> None:
+        """End element ``i`` and all in it."""
+        while len(self.stack) > i or (len(self.stack) > 1 and not self.stack[-1][0]):
+            tag, _ = self.stack.pop()
+            if tag:
+                self.places[tag].pop()
+                if tag in BLOCK:
+                    self.blocks.pop()
+
+    def end_alone(self, i: int) -> None:
+        """End element ``i``, the innermost of its name and not a block, but nothing in it."""
+        tag, node = self.stack[i]
+        self.places[tag].pop()
+        self.stack[i] = "", node
+
+
 def marks(attributes: str) -> tuple[str, bool]:
     """Class and id as part of a label, and whether they name something dropped."""
     named, dropped = [], False
@@ -116,7 +193,7 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
     references decoded and white space folded; dropped elements give none.
     """
     root = Node("", False, None)
-    stack: list[tuple[str, Node]] = [("", root)]
+    elements, tags = Open(root), Tags(text)
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
     seen: dict[str, tuple[str, bool]] = {}
@@ -126,51 +203,46 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             words = references.unescape("".join(held)).split()
             held.clear()
             if words:
-                at = len(stack) - 1
-                while at and stack[at][0] not in BLOCK:
-                    at -= 1
-                blocks.append((stack[at][1], " ".join(words)))
+                blocks.append((elements.block, " ".join(words)))
 
     def close(names: tuple, borders: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                end_block()
-                del stack[i:]
-                return
-            if stack[i][0] in borders:
-                return
-
-    at = 0
-    for m in TOKEN.finditer(text):
-        start = m.start()
-        if start < at:
-            continue
-        if start > at and not stack[-1][1].dropped:
+        i = elements.nearest(names)
+        if i and i >= elements.nearest(borders):
+            end_block()
+            elements.end(i)
+
+    at = look = 0
+    while m := TOKEN.search(text, look):
+        start, look = m.start(), m.end()
+        tag = m[2]
+        if tag:
+            end = tags.end(look)
+            if end < 0:
+                continue
+            attributes, look = text[look:end], end + 1
+        if start > at and not elements.node.dropped:
             held.append(text[at:start])
-        at = m.end()
-        tag = m[2] or m[5]
+        at = look
         if not tag:
             continue
         tag = NOT_NAME.sub("_", tag.lower())
-        if m[1] or m[4]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == tag:
-                    if tag in BLOCK:
-                        end_block()
-                        del stack[i:]
-                    elif any(t in BLOCK for t, _ in stack[i + 1:]):
-                        del stack[i]  # an inline element that a block was opened in
-                    else:
-                        del stack[i:]
-                    break
-                if stack[i][0] in BORDERS and tag not in BLOCK:
-                    break
+        if m[1]:
+            i = elements.nearest((tag,))
+            if not i:
+                continue
+            if tag in BLOCK:
+                end_block()
+                elements.end(i)
+            elif i >= elements.nearest(BORDERS):
+                if elements.blocks and elements.blocks[-1] > i:
+                    elements.end_alone(i)  # an inline element that a block was opened in
+                else:
+                    elements.end(i)
             continue
-        attributes = m[3] or m[6] or ""
         if tag in VOID:
             if tag == "hr":
                 end_block()
-            elif tag == "br" and not stack[-1][1].dropped:
+            elif tag == "br" and not elements.node.dropped:
                 held.append(" ")
             continue
         if tag in CLOSES_P:
@@ -184,16 +256,16 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             known = seen[attributes] = marks(attributes) if attributes.strip() else ("", False)
         dropped = known[1] or tag in DROPPED_TAGS
         if tag == "header":  # the page's, not an article's own
-            dropped = known[1] or not any(t in CONTAINERS for t, _ in stack)
+            dropped = known[1] or not elements.nearest(CONTAINERS)
         elif tag in CONTAINERS or tag in ("html", "body"):
             dropped = "comment" in known[0].split(".") or "comments" in known[0].split(".")
-        node = stack[-1][1].child(f"{tag} {known[0]}" if known[0] else tag, dropped)
+        node = elements.node.child(f"{tag} {known[0]}" if known[0] else tag, dropped)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, at)
-            at = end.end() if end else len(text)
-        elif len(stack) < DEEPEST and (tag in BLOCK or not attributes.endswith("/")):
-            stack.append((tag, node))
-    if at < len(text) and not stack[-1][1].dropped:
+            at = look = end.end() if end else len(text)
+        elif tag in BLOCK or not attributes.endswith("/"):
+            elements.push(tag, node)
+    if at < len(text) and not elements.node.dropped:
         held.append(text[at:])
     end_block()
     return root, [(n, t) for n, t in blocks if not n.dropped]
