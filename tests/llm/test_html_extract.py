@@ -45,6 +45,26 @@ def test_chrome_is_left_out():
     assert text_of(page) == "T\none\ntwo"
 
 
+def test_marked_elements_around_the_content_stay():
+    article = "<article><h1>T</h1><p>one</p></article>"
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div id=page class=header-fixed>", "</div>"),
+                       ("<form id=aspnetForm>", "</form>"), ("<div class=widget><form>", "</form></div>"),
+                       ("<main><div class=banner>", "</div></main>")):
+        assert text_of(f"<body><nav>m</nav>{start}{article}{end}<footer>f</footer>") == "T\none", start
+    assert text_of("<form><p>one</p><div class=ad>x</div><p>two</p></form>") == "one\ntwo"
+    assert text_of("<div class=widget><p>one</p></div>") == "one"
+    # With content elsewhere, and what surely is none, nothing changes.
+    assert text_of(f"<p>{'body ' * 9}</p><div class=sidebar>{article}</div>") == ("body " * 9).strip()
+    assert text_of(f"{article}<div class=related><article>{'teaser ' * 9}</article></div>") == "T\none"
+    assert text_of(f"<aside>{article}</aside><div class=comments>{article}</div>") == ""
+
+
+def test_headings_and_sections_of_an_article_stay():
+    parts = ("<h2 id=related-work>R</h2><h2 id=how-to-share>H</h2><h2 id=search>S</h2><h2 id=search-engines>E</h2>"
+             "<section class=article-header>A</section><div class='nav-menu x'>m</div><div class=ad-2>n</div>")
+    assert text_of(f"<article>{parts}</article>") == "R\nH\nS\nE\nA"
+
+
 def test_deep_and_broken_pages():
     assert text_of("<div>" * 5000 + "x" + "</div>" * 5000 + "<p>y") == "x\ny"
     assert text_of("<b>" * 3000 + "x") == "x"

@@ -10,7 +10,8 @@ the main text.
 The container is the host's ``article`` or ``main`` node where there is one,
 else the node that most of the varying text lies under. Menus, headers,
 footers, sidebars, notices, adverts, forms, scripts and comments vary too, so
-elements marked as such by tag, role, class or id are never slots. A
+elements marked as such by tag, role, class or id are never slots; but what a
+form or a word in class, id or role marks stays if the content is in it. A
 container's own nodes are template only when all but a hundredth of a
 host's many pages agree, so copies of an article stay.
 
@@ -60,6 +61,8 @@ DROPPED_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related "
     "replies reply respond search share sharebar sharing sidebar signup skip social sponsor sponsored subscribe "
     "subscription toolbar topbar widget widgets".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply respond".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CONTAINERS = ("article", "main")
 
 # A comment, a declaration, or a tag up to its name; ``Tags`` finds a tag's end.
@@ -85,16 +88,34 @@ class Node:
     parent: "Node | None"
     children: dict = field(default_factory=dict)
     depth: int = 0
-
-    def child(self, label: str, dropped: bool) -> "Node":
-        dropped = dropped or self.dropped
-        if self.depth >= DEEPEST:  # only whether it is dropped is told of what is nested deeper
-            return self if dropped == self.dropped else Node("", True, self, depth=self.depth + 1)
-        got = self.children.get(label)
+    sure: bool = False        # dropped by more than a word or a form
+    doubtful: tuple = ()      # the nodes from the root to this one that only a word or a form drops
+    box: "Node | None" = None  # the innermost container
+
+    def child(self, label: str, dropped: bool, sure: bool = True) -> "Node":
+        flat = self.depth >= DEEPEST  # only whether it is dropped is told of what is nested deeper
+        if flat and (not dropped or self.sure or (self.dropped and not sure)):
+            return self
+        got = None if flat else self.children.get(label)
         if got is None:
-            got = self.children[label] = Node(label, dropped, self, depth=self.depth + 1)
+            got = Node("" if flat else label, dropped or self.dropped, self, depth=self.depth + 1,
+                       sure=self.sure or (dropped and sure), doubtful=self.doubtful, box=self.box)
+            if dropped and not sure:
+                got.doubtful += (got,)
+            if label.partition(" ")[0] in CONTAINERS and not dropped:
+                got.box = got
+            if not flat:
+                self.children[label] = got
         return got
 
+    def path(self) -> tuple:
+        """Labels from the root."""
+        out, node = [], self
+        while node is not None:
+            out.append(node.label)
+            node = node.parent
+        return tuple(reversed(out))
+
 
 class Tags:
     """Ends of the tags of a page, in one pass over it.
@@ -172,31 +193,78 @@ class Open:
         self.stack[i] = "", node
 
 
-def marks(attributes: str) -> tuple[str, bool]:
-    """Class and id as part of a label, and whether they name something dropped."""
-    named, dropped = [], False
+def marks(attributes: str) -> tuple[str, bool, frozenset]:
+    """Class and id as part of a label, whether they hide the element, and
+    which of their words name something dropped. A class of several words
+    names it only with all of them: ``nav-menu``, but not ``has-sidebar``."""
+    named, hidden, found = [], False, set()
     for name, a, b, c in MARK.findall(attributes):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden":
-            dropped = dropped or value != "until-found"
+            hidden = hidden or value != "until-found"
             continue
-        words = [w for w in SPLIT.split(value) if w]
-        dropped = dropped or any(w in DROPPED_WORDS for w in words)
-        named += [w for w in words if not w.isdigit()]
-    return ".".join(sorted(set(named))), dropped
+        for token in value.split():
+            words = [w for w in SPLIT.split(token) if w]
+            plain = [w for w in words if not w.isdigit()]
+            if plain and DROPPED_WORDS.issuperset(plain):
+                found.update(plain)
+            named += plain
+    return ".".join(sorted(set(named))), hidden, frozenset(found)
 
 
 def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
     """The generalised tree of a page, and its blocks of text in page order.
 
     A block is the text between two borders of block elements, with character
-    references decoded and white space folded; dropped elements give none.
+    references decoded and white space folded; dropped elements give none. An
+    element that only a word or a form drops is kept if it turns out to hold
+    the page's content.
     """
+    root, blocks, doubted = read(text)
+    spared = holders(blocks, doubted)
+    return read(text, spared)[:2] if spared else (root, blocks)
+
+
+def holders(blocks: list[tuple[Node, str]], doubted: Counter) -> frozenset:
+    """Paths of the elements around the content that only a word or a form
+    drops: around an article or main, or of a form, with more text than the
+    page keeps; else, where nothing is kept, around most of the text."""
+    if not doubted:
+        return frozenset()
+    kept = sum(len(t) for _, t in blocks)
+    boxes, forms, every = Counter(), Counter(), Counter()
+    for node, n in doubted.items():
+        every[node.doubtful] += n
+        if node.box is not None and node.doubtful == node.box.doubtful:
+            boxes[node.doubtful] += n
+        elif len(node.doubtful) == 1 and node.doubtful[0].label.partition(" ")[0] == "form":
+            forms[node.doubtful] += n
+    if any(n.box is not None for n, _ in blocks):
+        return frozenset()
+    for found, least in ((boxes, kept), (forms, kept), (Counter() if kept else every, 0)):
+        if found:
+            best = max(found, key=found.get)
+            if found[best] > least:
+                return frozenset(n.path() for n in best)
+    return frozenset()
+
+
+def read(text: str, spared: frozenset = frozenset()) -> tuple[Node, list[tuple[Node, str]], Counter]:
+    """Tree and blocks of a page, and the characters under each node that only
+    words or forms drop. Elements at the ``spared`` paths are not dropped so."""
     root = Node("", False, None)
     elements, tags = Open(root), Tags(text)
     blocks: list[tuple[Node, str]] = []
     held: list[str] = []
-    seen: dict[str, tuple[str, bool]] = {}
+    seen: dict[str, tuple[str, bool, frozenset]] = {}
+    doubted: Counter = Counter()
+
+    def hold(part: str) -> None:
+        node = elements.node
+        if not node.dropped:
+            held.append(part)
+        elif not node.sure and (n := len(part.strip())):
+            doubted[node] += n
 
     def end_block() -> None:
         if held:
@@ -220,8 +288,8 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             if end < 0:
                 continue
             attributes, look = text[look:end], end + 1
-        if start > at and not elements.node.dropped:
-            held.append(text[at:start])
+        if start > at:
+            hold(text[at:start])
         at = look
         if not tag:
             continue
@@ -253,22 +321,31 @@ def parse(text: str) -> tuple[Node, list[tuple[Node, str]]]:
             end_block()
         known = seen.get(attributes)
         if known is None:
-            known = seen[attributes] = marks(attributes) if attributes.strip() else ("", False)
-        dropped = known[1] or tag in DROPPED_TAGS
-        if tag == "header":  # the page's, not an article's own
-            dropped = known[1] or not elements.nearest(CONTAINERS)
-        elif tag in CONTAINERS or tag in ("html", "body"):
-            dropped = "comment" in known[0].split(".") or "comments" in known[0].split(".")
-        node = elements.node.child(f"{tag} {known[0]}" if known[0] else tag, dropped)
+            known = seen[attributes] = marks(attributes) if attributes.strip() else ("", False, frozenset())
+        named, sure, words = known
+        label = f"{tag} {named}" if named else tag
+        if tag in CONTAINERS or tag in ("html", "body"):
+            sure, words = "comment" in named.split(".") or "comments" in named.split("."), frozenset()
+        elif tag == "header":  # the page's, not an article's own
+            sure = sure or not elements.nearest(CONTAINERS)
+        elif tag in HEADINGS:
+            words = frozenset()
+        elif tag != "form":
+            sure = sure or tag in DROPPED_TAGS
+        sure = sure or not COMMENT_WORDS.isdisjoint(words)
+        dropped = sure or bool(words) or tag == "form"
+        if dropped and not sure and spared and (*elements.node.path(), label) in spared:
+            dropped = False
+        node = elements.node.child(label, dropped, sure)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(text, at)
             at = look = end.end() if end else len(text)
         elif tag in BLOCK or not attributes.endswith("/"):
             elements.push(tag, node)
-    if at < len(text) and not elements.node.dropped:
-        held.append(text[at:])
+    if at < len(text):
+        hold(text[at:])
     end_block()
-    return root, [(n, t) for n, t in blocks if not n.dropped]
+    return root, [(n, t) for n, t in blocks if not n.dropped], doubted
 
 
 def skeleton(node: Node) -> str:
