@@ -1,5 +1,6 @@
 """Base counts against a plain count, distances against the definition."""
 
+import random
 import re
 from collections import Counter
 
@@ -85,3 +86,24 @@ def test_no_language_leaves_the_base_rule(odd_docs):
     docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
     assert Q.references(docs) == {}
     assert all(r.kept == (not r.base_failed) for r in Q.quality_rules(docs).collect())
+
+
+def varied(words, n, seed):
+    rng = random.Random(seed)
+    return [" ".join(rng.choices(words, k=120)) for _ in range(n)]
+
+
+def test_small_and_unknown_languages_are_not_held_against_others(spark):
+    english = [f"{a}{b}" for a in "the of and to in for was he on".split() for b in ("", "r", "ing", "se", "ly")]
+    russian = [f"{a}{b}" for a in "и в не на я быть он что это".split() for b in ("", "а", "ом", "ые", "ть")]
+    greek = [f"{a}{b}" for a in "και το να είναι με για που".split() for b in ("", "ς", "ων", "ου", "ες")]
+    finnish = [f"{a}{b}" for a in "ja on ei se että kuin mutta".split() for b in ("", "ssa", "lla", "iin", "ksi")]
+    texts = ([(t, "en") for t in varied(english, 3000, 0)] + [(t, "ru") for t in varied(russian, 12, 3)]
+             + [(varied(greek, 1, 5)[0], None), (varied(finnish, 1, 5)[0], "fi")])
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t)) for i, (t, lang) in enumerate(texts)],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    refs = Q.references(docs)
+    assert sorted(refs) == ["en", "ru"]  # ru has less than 0.5 % of the words
+    got = {r.doc_id: r for r in Q.quality_rules(docs).collect()}
+    assert all(got[i].kept for i in range(3000, len(texts)))
+    assert got[len(texts) - 2].class_distance is None and got[len(texts) - 1].word_distance is None

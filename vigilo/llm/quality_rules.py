@@ -8,10 +8,11 @@ rejected if no language is near enough. A histogram over too few items is
 noise, so each test has a minimum length, below which it says nothing.
 
 References are counts over all documents: the character classes of each
-``lang``, and the shares of its most frequent words. A language needs a share
-of all words (``min_share``) to have a reference, which bounds their number;
-a document's own ``lang`` is not used when it is judged, so a wrong or null
-one does no harm.
+``lang``, its script, and the shares of its most frequent words. A language has
+a reference if it has words enough for a stable histogram (``min_words``),
+however large the others are. The nearest language decides, not a document's
+own ``lang``, so a wrong or null one does no harm. Where the document's
+language or script has no reference the tests say nothing.
 
 A null text is empty. Empty and short texts fail the base rule. Without any
 reference (no rows, or all languages null) only the base rule decides.
@@ -25,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo.llm.common import (
@@ -41,6 +42,7 @@ CLASSES = ("vowel", "consonant", "upper", "digit", "space", "line", "stop", "com
            "bracket", "symbol", "beyond", "control")
 FLUSH_WORDS = 200_000  # distinct words a task counts before it passes them on
 CHUNK = 4_000_000
+TOP_PARTS = 32         # a language's words are ranked in so many parts, so that no task has all
 RULES = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, "
          "n_repeat_words bigint, base_failed boolean, class_distance double, word_distance double, kept boolean")
 
@@ -49,7 +51,7 @@ RULES = ("doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_
 class Settings:
     """Limits of the divergence tests."""
     common_words: int = 100          # words of a language's reference
-    min_share: float = 0.005         # of all words, for a language to have a reference
+    min_words: int = 1_000           # for a language to have a reference: ten for each bin
     max_class_distance: float = 0.28
     max_word_distance: float = 0.45
     min_chars: int = 200             # below, the class test says nothing
@@ -73,9 +75,43 @@ def class_counts(data: bytes, classes: np.ndarray) -> np.ndarray:
     return np.bincount(classes, weights=per_byte, minlength=len(CLASSES))
 
 
+def script_table() -> np.ndarray:
+    """Script number of every pair of first and second byte of a character;
+    0 for none, as digits, marks and symbols. Neighbouring blocks of 128
+    characters share a script only where they are one by name."""
+    out = np.zeros((256, 256), dtype=np.int64)
+    letters = [c for c in range(128) if chr(c).isalpha()]
+    out[letters] = 1                                           # Latin
+    out[0xC3:0xCB] = 1
+    out[0xE1, 0xB8:0xBC] = 1
+    for n, (first, last) in enumerate(((0xCE, 0xCF), (0xD0, 0xD3), (0xD4, 0xD5), (0xD6, 0xD7), (0xD8, 0xDB),
+                                       (0xDC, 0xDF), (0xE3, 0xE9), (0xEA, 0xED)), 2):
+        out[first:last + 1] = n                                # Greek, Cyrillic, … Han and kana, Hangul
+    for first in (0xE0, 0xE1):
+        for second in range(0x80, 0xC0):
+            if not out[first, second]:
+                out[first, second] = 100 + (first & 1) * 32 + (second - 0x80) // 2
+    return out
+
+
+def script_counts(data: bytes, table: np.ndarray) -> np.ndarray:
+    """Characters of each script."""
+    per_byte = np.bincount(np.frombuffer(data, dtype=np.uint8), minlength=256)
+    wide = [b for b in (0xE0, 0xE1) if per_byte[b]]
+    by_first = table[:, 0].copy()
+    out = np.bincount(by_first, weights=per_byte, minlength=164)
+    if wide:
+        raw = np.frombuffer(data, dtype=np.uint8)
+        at = np.flatnonzero(np.isin(raw[:-1], wide))
+        out += np.bincount(table[raw[at], raw[at + 1]], minlength=164)
+    out[0] = 0
+    return out
+
+
 def js_distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen–Shannon distance (base 2) of one histogram to each row of ``q``."""
-    p = p / p.sum()
+    """Jensen–Shannon distance (base 2) of one histogram, or of each row of
+    ``p``, to each row of ``q``."""
+    p = p / p.sum(axis=-1, keepdims=True)
     q = q / q.sum(axis=1, keepdims=True)
     m = (p + q) / 2
 
@@ -121,29 +157,33 @@ def repeated_words(ids: np.ndarray, distinct: int) -> int:
 
 
 def language_counts(docs: DataFrame) -> DataFrame:
-    """(lang, kind, item, n): every lower-case word and every character class
+    """(lang, kind, item, n): every lower-case word, character class and script
     of each language, counted in each task first, then summed."""
     ddl = "lang string, kind string, item string, n bigint"
     schema = arrow_schema(ddl)
-    classes = byte_classes()
+    classes, table = byte_classes(), script_table()
 
-    def flush(words, chars):
+    def flush(words, chars, scripts):
         rows = [(lang, "word", w.decode(), n) for (lang, w), n in words.items()]
         rows += [(lang, "class", str(i), int(n)) for lang, c in chars.items() for i, n in enumerate(c)]
+        rows += [(lang, "script", str(i), int(n)) for lang, c in scripts.items() for i, n in enumerate(c) if n]
         return to_batch(dict(zip(schema.names, zip(*rows))), schema)
 
     def run(batches):
         words: Counter = Counter()
         chars: dict = {}
+        scripts: dict = {}
         for langs, texts in text_chunks(batches, CHUNK):
             for lang, text in zip(langs, texts):
                 words.update((lang, w) for w in text.lower().encode().split())
-                chars[lang] = chars.get(lang, 0) + class_counts(text.encode(), classes)
+                data = text.encode()
+                chars[lang] = chars.get(lang, 0) + class_counts(data, classes)
+                scripts[lang] = scripts.get(lang, 0) + script_counts(data, table)
                 if len(words) > FLUSH_WORDS:
-                    yield flush(words, chars)
-                    words, chars = Counter(), {}
+                    yield flush(words, chars, scripts)
+                    words, chars, scripts = Counter(), {}, {}
         if chars:
-            yield flush(words, chars)
+            yield flush(words, chars, scripts)
         words.clear()
         give_back()
 
@@ -152,21 +192,30 @@ def language_counts(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame, settings: Settings = Settings()) -> dict:
-    """The languages' references. Rows that reach the driver are bounded: at
-    most 1 / ``min_share`` languages of a few hundred words each."""
+    """The languages' references. What reaches the driver follows the number
+    of languages with ``min_words``: at most ``TOP_PARTS`` times
+    ``common_words`` rows for each."""
     counts = written(language_counts(docs), "language-counts")
     totals = counts.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("words"))
-    everything = totals.agg(F.sum("words")).first()[0] or 0
-    langs = {r["lang"]: r["words"] for r in
-             totals.where(F.col("words") >= max(1, settings.min_share * everything)).collect()} if everything else {}
+    langs = {r["lang"]: r["words"] for r in totals.where(F.col("words") >= settings.min_words).collect()}
+    if not langs:
+        return {}
+    own = counts.join(F.broadcast(totals.where(F.col("words") >= settings.min_words).select("lang")), "lang", "left_semi")
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("item"), F.lit(TOP_PARTS))).orderBy(F.desc("n"), "item")
+    top: dict = {}
+    for r in (own.where("kind = 'word'").withColumn("rank", F.row_number().over(part))
+              .where(F.col("rank") <= settings.common_words).collect()):
+        top.setdefault(r["lang"], []).append((-r["n"], r["item"].encode()))
+    bins: dict = {}
+    for r in own.where("kind <> 'word'").collect():
+        bins.setdefault((r["lang"], r["kind"]), {})[int(r["item"])] = r["n"]
     out = {}
     for lang, words in sorted(langs.items()):
-        own = counts.where((F.col("lang") == lang))
-        top = own.where("kind = 'word'").orderBy(F.desc("n"), "item").limit(settings.common_words).collect()
-        chars = {int(r["item"]): r["n"] for r in own.where("kind = 'class'").collect()}
-        common = {r["item"].encode(): r["n"] / words for r in top}
+        common = {w: -n / words for n, w in sorted(top[lang])[:settings.common_words]}
+        chars, scripts = bins.get((lang, "class"), {}), bins.get((lang, "script"), {})
         out[lang] = {"words": common, "rest": max(0.0, 1 - sum(common.values())),
-                     "classes": [chars.get(i, 0) for i in range(len(CLASSES))]}
+                     "classes": [chars.get(i, 0) for i in range(len(CLASSES))],
+                     "script": max(scripts, key=lambda i: (scripts[i], -i)) if scripts else None}
     return out
 
 
@@ -175,7 +224,8 @@ class Judge:
 
     def __init__(self, refs: dict, settings: Settings):
         self.settings = settings
-        self.classes = byte_classes()
+        self.classes, self.table = byte_classes(), script_table()
+        self.langs, self.scripts = frozenset(refs), frozenset(r["script"] for r in refs.values())
         self.class_refs = np.array([r["classes"] for r in refs.values()], dtype=float).reshape(len(refs), len(CLASSES))
         self.vocab: dict[bytes, list[tuple[int, int]]] = {}
         width = 1 + max([0, *(len(r["words"]) for r in refs.values())])
@@ -200,7 +250,7 @@ class Judge:
                 for lang, i in self.vocab.get(w.decode().lower().encode(), ()):
                     seen[lang, i] += n[k]
             seen[:, -1] = len(ids) - seen[:, :-1].sum(axis=1)
-            by_word = np.concatenate([js_distance(seen[k], self.word_refs[k:k + 1]) for k in range(len(seen))])
+            by_word = js_distance(seen, self.word_refs)
         both = [d for d in (by_class, by_word) if d is not None]
         if not both:
             return None, None
@@ -209,13 +259,21 @@ class Judge:
         return tuple(None if d is None else float(d[best]) for d in (by_class, by_word))
 
 
-    def verdict(self, text: str) -> dict:
+    def comparable(self, data: bytes, lang: str | None) -> bool:
+        """Whether there is a reference of the language, if it is given, and of
+        the script that most letters are of."""
+        counts = script_counts(data, self.table)
+        return (lang is None or lang in self.langs) and (not counts.any() or int(counts.argmax()) in self.scripts)
+
+    def verdict(self, text: str, lang: str | None = None) -> dict:
         """The base counts, distances and decision of one text."""
         s = self.settings
         counts, ids, number = base_counts(text)
         failed = (counts["n_words"] < MIN_WORDS
                   or 100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
-        by_class, by_word = (None, None) if failed else self.distances(text.encode(), ids, number)
+        data = text.encode()
+        by_class, by_word = ((None, None) if failed or not self.comparable(data, lang)
+                             else self.distances(data, ids, number))
         near = ((by_class is None or by_class <= s.max_class_distance)
                 and (by_word is None or by_word <= s.max_word_distance))
         return {**counts, "base_failed": failed, "class_distance": by_class, "word_distance": by_word,
@@ -224,12 +282,15 @@ class Judge:
 
 def judge(docs: DataFrame, refs: dict, settings: Settings = Settings()) -> DataFrame:
     """The base counts, distances and verdict of every document."""
+    known: list = []
+
     def run(c):
-        j = Judge(refs, settings)
-        verdicts = [j.verdict(text or "") for text in c["text"]]
+        if not known:
+            known.append(Judge(refs, settings))
+        verdicts = [known[0].verdict(text or "", lang) for text, lang in zip(c["text"], c["lang"])]
         return {"doc_id": c["doc_id"], **{k: [v[k] for v in verdicts] for k in verdicts[0]}}
 
-    return map_columns(docs.select("doc_id", "text"), run, RULES)
+    return map_columns(docs.select("doc_id", "text", "lang"), run, RULES)
 
 
 def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -239,7 +300,8 @@ def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches):
         j = Judge(refs, settings)
         for batch in batches:
-            keep = [j.verdict(t or "")["kept"] for t in batch.column("text").to_pylist()]
+            keep = [j.verdict(t or "", lang)["kept"]
+                    for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
         give_back()
 
