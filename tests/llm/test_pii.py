@@ -116,3 +116,28 @@ def test_redaction_keeps_columns_and_removes_spans(odd_docs, make_docs, no_docs)
     assert odd.columns == odd_docs.columns and odd.count() == odd_docs.count()
     assert P.redact(no_docs, P.fit(no_docs)).count() == 0
     assert P.personal_data(no_docs, None).count() == 0
+
+
+def test_evidence_reaches_the_last_repeat():
+    model = {"weights": np.zeros((P.FEATURES, P.LABELS)), "chain": np.zeros((P.LABELS, P.LABELS)), "skip": 9 * np.eye(P.LABELS)}
+    text = "call +1 4765553519 now." + " see 4765553519 again." * 60
+    (base, every), = P.find([text], model, P.Settings())
+    assert len(base) == 1 and len(every) == 61
+
+
+def test_messages_settle_at_the_settings_in_use():
+    rng = np.random.default_rng(1)
+    n = 80
+    unary, pair = rng.normal(size=(n, P.LABELS)) / 4, rng.normal(size=(n - 1, P.LABELS, P.LABELS)) / 4 + 5 * np.eye(P.LABELS)
+    unary[0] += 20 * np.eye(P.LABELS)[3]
+    ahead, back = np.zeros((n, P.LABELS)), np.zeros((n, P.LABELS))
+    for i in range(1, n):
+        ahead[i] = np.logaddexp.reduce((ahead[i - 1] + unary[i - 1])[:, None] + pair[i - 1], axis=0)
+        back[n - 1 - i] = np.logaddexp.reduce((back[n - i] + unary[n - i])[None] + pair[n - 1 - i], axis=1)
+    want = np.exp(P.log_softmax(unary + ahead + back))
+    edges = np.array([(i, i + 1) for i in range(n - 1)])
+    assert np.allclose(P.marginals(unary, edges, pair, P.Settings()), want, atol=1e-4)
+    # Odd loops of disagreement swing; they end all the same.
+    loop = np.array([(i, j) for i in range(9) for j in range(i)])
+    got = P.marginals(rng.normal(size=(9, P.LABELS)), loop, np.broadcast_to(-4 * np.eye(P.LABELS), (len(loop), P.LABELS, P.LABELS)), P.Settings())
+    assert np.allclose(got.sum(axis=1), 1)
