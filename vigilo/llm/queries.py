@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vigilo.llm import ann, bpe, html_extract, ngram_join, packing, pii, quality_classifier, quality_rules, suffix_dedup, toxicity
+from vigilo.llm import (ann, bag_search, bpe, hard_negatives, html_extract, imatch, ngram_join, packing, pii, quality_classifier,
+                        quality_rules, suffix_dedup, toxicity)
 from vigilo.llm.common import table
 
 
@@ -63,6 +64,19 @@ def op10_bayesian_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op11_l2ap_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label)
+
+
+def op12_bag_dedup_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bag_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
+def op13_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.fingerprints(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_random_indexing_quality": op1_random_indexing_quality,
     "op2_quality_divergence": op2_quality_divergence,
@@ -74,6 +88,9 @@ QUERIES = {
     "op8_length_buckets": op8_length_buckets,
     "op9_bpe_rank_array": op9_bpe_rank_array,
     "op10_bayesian_jaccard": op10_bayesian_jaccard,
+    "op11_l2ap_hard_negatives": op11_l2ap_hard_negatives,
+    "op12_bag_dedup_search": op12_bag_dedup_search,
+    "op13_imatch_fingerprints": op13_imatch_fingerprints,
 }
 
 # Words and links by the definition: pairs that share a shingle, counted.
@@ -120,7 +137,57 @@ SELECT t.doc_id, CAST(t.n AS BIGINT) AS n_bytes, CAST(coalesce(c.n_removed, 0) A
        sha256(unhex(coalesce(c.head, '') || substr(t.h, 2 * coalesce(c.last, 0) + 1))) AS kept_sha256
 FROM t LEFT JOIN cut c ON t.doc_id = c.doc_id"""
 
+# All anchors against all rows; whole numbers are exact as doubles.
+NEGATIVES_SQL = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, v.vec_id AS other_id, a.label = v.label AS same,
+         CAST(list_inner_product(a.e, v.e) AS BIGINT) AS score
+  FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5),
+n AS (
+  SELECT p.anchor_id, p.positive_id, s.other_id AS negative_id, p.positive_score, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.anchor_id, p.positive_id ORDER BY s.score DESC, s.other_id) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT s.same
+  WHERE 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5"""
+
+# Every term of every document, weighed and added for every item that holds it.
+SEARCH_SQL = r"""
+WITH t AS (
+  SELECT doc_id AS id, len(ts) AS n, unnest(ts) AS term
+  FROM (SELECT doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                                      lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS ts
+        FROM documents)),
+tf AS (SELECT id, n, term, count(*) AS tf FROM t GROUP BY id, n, term),
+c AS (SELECT count(DISTINCT id) AS docs, CAST(sum(tf) AS BIGINT) AS terms FROM tf),
+w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(c.docs) + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM tf CROSS JOIN c GROUP BY term),
+q AS (
+  SELECT item_id, term, count(*) AS times
+  FROM (SELECT item_id, unnest(list_transform(regexp_extract_all(coalesce(text, ''), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
+                                              lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+        FROM benchmark)
+  GROUP BY item_id, term),
+r AS (
+  SELECT q.item_id, tf.id AS doc_id,
+         CAST(sum(q.times * w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 12 * (75 + (25 * tf.n * c.docs) // c.terms)))) AS BIGINT) AS score
+  FROM q JOIN tf ON q.term = tf.term JOIN w ON w.term = tf.term CROSS JOIN c GROUP BY q.item_id, tf.id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 20"""
+
 SQL: dict[str, str] = {
     "op6_suffix_index": REPEATS_SQL,
     "op10_bayesian_jaccard": JACCARD_SQL,
+    "op11_l2ap_hard_negatives": NEGATIVES_SQL,
+    "op12_bag_dedup_search": SEARCH_SQL,
 }
