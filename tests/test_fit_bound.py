@@ -48,7 +48,7 @@ def test_split_of_the_whole_table_and_of_a_sample(spark, sf):
 
 def test_validation_rows_are_not_fitted(spark, sf):
     train = WF.train_rows(spark, sf)
-    _, val = WF.held_out(spark, sf, "logistic")
+    _, _, val = WF.held_out(spark, sf, "logistic")
     fit_rows = validation_holdout(train).where("NOT is_val")
     assert val.select(C.KEY).intersect(fit_rows.select(C.KEY)).count() == 0
     assert val.count() + fit_rows.count() == train.count()

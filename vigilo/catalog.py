@@ -911,7 +911,7 @@ def q_cv_model_scores(spark, sf):
     if key not in _CV:                                  # five fits a model, shared with the summary
         scored = None
         for name in CV_MODELS:
-            s = TU.cross_validate(WF.train_rows(spark, sf), name, **dict(WF.QUERY_SETTINGS[name]))
+            s = TU.cross_validate(WF.train_rows(spark, sf), name)
             scored = s if scored is None else scored.unionByName(s)
         folds = E.fold_scores(scored)
         _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # models × folds × 5 metric rows
@@ -929,39 +929,46 @@ _GRID: dict = {}
 def _grid(spark, sf):
     key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
     if key not in _GRID:
-        _GRID[key] = TU.grid_search(spark, WF.train_rows(spark, sf), "cart")
+        _GRID[key] = {name: TU.grid_search(spark, WF.train_rows(spark, sf), name) for name in M.TREES}
     return _GRID[key]
 
 
+def _grid_rows(spark, sf):
+    parts = [_grid(spark, sf)[name][0] for name in M.TREES]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @register("grid_search")
 def q_grid_search(spark, sf):
-    return _grid(spark, sf)[0]
+    return _grid_rows(spark, sf)
 
 
 @register("grid_refit")
 def q_grid_refit(spark, sf):
-    _, best, _ = _grid(spark, sf)
-    return E.test_metrics(M.score(best, WF.test_rows(spark, sf), "cart"))
+    scored = None
+    for name, (_, best, _) in _grid(spark, sf).items():
+        s = M.score(best, WF.test_rows(spark, sf), name)
+        scored = s if scored is None else scored.unionByName(s)
+    return E.test_metrics(scored)
 
 
 @register("grid_top5")
 def q_grid_top5(spark, sf):
-    return TU.grid_top5(_grid(spark, sf)[0])
+    return TU.grid_top5(_grid(spark, sf)["lightgbm"][0])
 
 
 @register("grid_pivot")
 def q_grid_pivot(spark, sf):
-    return TU.grid_pivot(_grid(spark, sf)[0])
+    return TU.grid_pivot(_grid(spark, sf)["cart"][0])
 
 
 @register("grid_best")
 def q_grid_best(spark, sf):
-    return TU.grid_best(_grid(spark, sf)[0])
+    return TU.grid_best(_grid_rows(spark, sf))
 
 
 def _history(spark, sf):
-    model, val = WF.held_out(spark, sf, "lightgbm")
-    return TU.boosting_history(spark, model, val)
+    return TU.boosting_history(spark, *WF.held_out(spark, sf, "lightgbm"))
 
 
 @register("training_history")
@@ -971,12 +978,12 @@ def q_training_history(spark, sf):
 
 @register("best_epoch")
 def q_best_epoch(spark, sf):
-    return E.best_epoch(_history(spark, sf))
+    return E.best_epoch(q_mlp_history(spark, sf))
 
 
 @register("early_stop_epoch")
 def q_early_stop_epoch(spark, sf):
-    return E.early_stop_epoch(_history(spark, sf))
+    return E.early_stop_epoch(q_mlp_history(spark, sf))
 
 
 # ---------------------------------------------------------------- sources and sinks
@@ -1093,17 +1100,15 @@ def q_rate_by_source_docs(spark, sf):
 
 @register("export_artifacts")
 def q_export_artifacts(spark, sf):
-    """S4–S9 end to end: fit all models, tune the tree, evaluate, explain,
-    persist; lists the written tables with their row counts (CV for the
-    logistic model only)."""
+    """S4–S9 end to end: fit all models, cross-validate six, tune three, evaluate,
+    explain, persist; lists the written tables with their row counts."""
     from vigilo.plans.training import run_training
-    return run_training(spark, sf, scratch_path(spark, "training"), settings=WF.QUERY_SETTINGS,
-                        cv_models=("logistic",), grids={"cart": {"max_depth": [3, 5], "min_samples_leaf": [10, 50]}})
+    return run_training(spark, sf, scratch_path(spark, "training"), grids=dict.fromkeys(M.TREES))
 
 
 @register("mlp_history")
 def q_mlp_history(spark, sf):
-    """C14 for the network: the optimiser's loss after each iteration."""
+    """C14 for the network: loss, accuracy and AUC of each epoch."""
     return M.training_history(spark, WF.fitted(spark, sf, "mlp"), "mlp")
 
 

@@ -115,12 +115,16 @@ def attribution_long(attr: DataFrame, k: int = C.TOP_FEATURES) -> DataFrame:
 
 # ------------------------------------------------------------------ TreeSHAP
 
-def ensemble_tables(model, spark: SparkSession) -> tuple[list[dict], list[float]]:
+def ensemble_tables(model, spark: SparkSession, shares: bool = False) -> tuple[list[dict], list[float]]:
     """Node arrays of every tree of a fitted tree ensemble, and tree weights.
 
-    The model is written to the shared scratch folder with its own writer and
+    With ``shares`` the values of classification trees are the node's share of
+    class 1 (what a forest averages) instead of its class. The model is written to the shared scratch folder with its own writer and
     its node table read back (size: trees × nodes, small by construction).
     """
+    if type(model).__name__ == "LeafwiseModel":          # keeps its trees itself
+        trees = model.trees()
+        return trees, [1.0] * len(trees)
     path = scratch_path(spark, "ensemble")
     model.write().overwrite().save(path)
     data = spark.read.parquet(f"{path}/data")
@@ -133,8 +137,9 @@ def ensemble_tables(model, spark: SparkSession) -> tuple[list[dict], list[float]
     regression = type(model).__name__.startswith("GBT")
     stats = F.col("impurityStats")
     cover = F.get(stats, 0) if regression else F.aggregate(stats, F.lit(0.0), lambda a, b: a + b)
+    value = F.get(stats, 1) / cover if shares else F.col("prediction")
     nodes = data.select(
-        "treeID", "id", "prediction", "leftChild", "rightChild", cover.alias("cover"),
+        "treeID", "id", value.alias("prediction"), "leftChild", "rightChild", cover.alias("cover"),
         "split.featureIndex", F.get(F.col("split.leftCategoriesOrThreshold"), 0).alias("thr"),
     ).toPandas()
     try:
@@ -158,6 +163,12 @@ def ensemble_tables(model, spark: SparkSession) -> tuple[list[dict], list[float]
     return trees, weights
 
 
+def margin_scale(model) -> float:
+    """Log-odds of a unit of the summed trees: Spark's boosted classifier has
+    P = 1/(1+e^(−2m)) for a margin m, the leaf-wise booster P = 1/(1+e^(−m))."""
+    return 2.0 if type(model).__name__.startswith("GBT") else 1.0
+
+
 def _tree_expected(tree: dict) -> float:
     leaves = tree["left"] < 0
     return float(np.sum(tree["value"][leaves] * tree["cover"][leaves]) / tree["cover"][0])
@@ -315,13 +326,13 @@ def leaf_values(X: np.ndarray, tree: dict) -> np.ndarray:
 
 
 def tree_attributions(spark: SparkSession, ensemble, rows: DataFrame, names: list[str],
-                      features_col: str = "features", output_scale: float = 2.0) -> tuple[DataFrame, float]:
+                      features_col: str = "features") -> tuple[DataFrame, float]:
     """(row_id, feature, value, shap) and the base value, in log-odds.
 
-    For Spark's boosted classifier the raw margin m gives P = 1/(1+e^(−2m)),
-    so log-odds = 2m: attributions and base are scaled by ``output_scale``
-    and satisfy base + Σ shap = log-odds for every row.
+    Attributions and base are scaled by :func:`margin_scale` and satisfy
+    base + Σ shap = log-odds for every row.
     """
+    output_scale = margin_scale(ensemble)
     trees, weights = ensemble_tables(ensemble, spark)
     base = output_scale * sum(w * _tree_expected(t) for t, w in zip(trees, weights))
     n_feat = len(names)

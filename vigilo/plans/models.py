@@ -12,27 +12,28 @@ logistic        LogisticRegression, no penalty, 2000 iterations,
 ridge / lasso   regParam = 1 / (C · Σw), elasticNet 0 / 1, C = 0.1
 cart            DecisionTree depth 8, balanced weights
 random_forest   RandomForest 200 trees depth 12, sqrt features
-lightgbm        GBT 300 rounds, step 0.1, depth 5, ≥20 rows per leaf,
-                positives weighted n_neg/n_pos (level-wise, so close to,
-                not equal to, a leaf-wise booster)
-mlp             MultilayerPerceptron 128-128 (sigmoid, L-BFGS, unweighted:
-                the reference's per-row weighting had no effect)
+lightgbm        LeafwiseBooster (plans/boosting.py): 300 rounds, step 0.1,
+                31 leaves, ≥20 rows per leaf, positives weighted n_neg/n_pos
+mlp             NetworkClassifier (plans/network.py): 128-128 ReLU, dropout
+                0.3, Adam, halving on plateau, early stop on the validation
+                hold-out (unweighted: the reference's per-row weighting had
+                no effect)
 ==============  =====================================================
 """
 
 from __future__ import annotations
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier,
-    RandomForestClassifier)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo import config as C
 from vigilo.functions.clean import decide
-from vigilo.operators.sampling import bounded_rows
+from vigilo.operators.sampling import bounded_rows, validation_holdout
+from vigilo.plans.boosting import LeafwiseBooster
+from vigilo.plans.network import NetworkClassifier
 from vigilo.plans.features import balanced_weights, default_preparer, unbalance_weights
 
 LINEAR = ("logistic", "ridge", "lasso")
@@ -63,18 +64,13 @@ def classifier(name: str, n_train_weight: float | None = None, **over):
         kw.update(over)
         return RandomForestClassifier(**common, **kw)
     if name == "lightgbm":
-        kw = dict(maxIter=C.BOOST_ROUNDS, stepSize=0.1, maxDepth=5, minInstancesPerNode=20,
-                  weightCol="weight", seed=C.SEED, maxBins=256)
+        kw = dict(idCol=C.KEY, maxIter=C.BOOST_ROUNDS, seed=C.SEED)
         kw.update(over)
-        return GBTClassifier(**common, **kw)
+        return LeafwiseBooster(**kw)
     if name == "mlp":
-        layers = over.pop("layers", None)
-        kw = dict(maxIter=100, seed=C.SEED, blockSize=512)
+        kw = dict(idCol=C.KEY, hidden=C.MLP_HIDDEN, patience=C.MLP_PATIENCE, seed=C.SEED)
         kw.update(over)
-        est = MultilayerPerceptronClassifier(**common, **kw)
-        if layers:
-            est.setLayers(layers)
-        return est
+        return NetworkClassifier(**kw)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -100,21 +96,19 @@ def fit(train: DataFrame, name: str, prep_model=None, rows: int = C.SAMPLE_TARGE
     ``prep_model`` lets several models share one fitted preparation of the
     same training rows (it is deterministic, so refitting it per model would
     only repeat the work). The classifier trains on the transformed vectors,
-    persisted once for its iterations and released afterwards.
+    persisted once for its iterations and released afterwards. The network sets
+    the validation share of the rows (R4) aside for its rate and its end.
     """
     data = with_label(weighted(bounded_rows(train, rows), name))
+    extra = ["is_val"] if name == "mlp" else []
+    if extra:
+        data = validation_holdout(data)
     if prep_model is None:
         prep_model = default_preparer(train.columns).fit(data)
-    feats = prep_model.transform(data).select("features", "label", "weight").persist()
+    feats = prep_model.transform(data).select(C.KEY, "features", "label", "weight", *extra).persist()
     try:
-        if name == "mlp":
-            n_in = len(prep_model.feature_names())
-            hidden = over.pop("hidden", C.MLP_HIDDEN)
-            est = classifier(name, layers=[n_in, *hidden, 2], **over)
-        else:
-            n_w = feats.agg(F.sum("weight")).first()[0] if name in ("ridge", "lasso") else None
-            est = classifier(name, n_w, **over)
-        return PipelineModel([prep_model, est.fit(feats)])
+        n_w = feats.agg(F.sum("weight")).first()[0] if name in ("ridge", "lasso") else None
+        return PipelineModel([prep_model, classifier(name, n_w, **over).fit(feats)])
     finally:
         feats.unpersist()
 
@@ -182,20 +176,7 @@ def top_by_rank(table: DataFrame, k: int = C.TOP_FEATURES) -> DataFrame:
     return table.where(F.col("rank") <= k)
 
 
-def training_history(spark: SparkSession, model: PipelineModel, name: str,
-                     val: DataFrame | None = None) -> DataFrame:
-    """C14: per-epoch (or per-round) losses.
-
-    GBT: validation log-loss after each round from ``evaluateEachIteration``;
-    MLP: the optimiser's objective history (training loss).
-    """
-    clf = model.stages[-1]
-    rows = []
-    if hasattr(clf, "evaluateEachIteration") and val is not None:
-        data = model.stages[0].transform(with_label(val))
-        losses = clf.evaluateEachIteration(data)
-        rows = [(name, i + 1, None, float(v)) for i, v in enumerate(losses)]
-    elif hasattr(clf, "summary") and getattr(clf, "hasSummary", False):
-        summ = clf.summary() if callable(clf.summary) else clf.summary      # method on some models
-        rows = [(name, i + 1, float(v), None) for i, v in enumerate(summ.objectiveHistory)]
-    return spark.createDataFrame(rows, "model string, epoch int, train_loss double, val_loss double")
+def training_history(spark: SparkSession, model: PipelineModel, name: str) -> DataFrame:
+    """C14 for the network: loss, accuracy and AUC of each epoch on its training
+    rows and on the hold-out it has not learned from."""
+    return model.stages[-1].history_table(spark, name)

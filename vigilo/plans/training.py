@@ -44,7 +44,7 @@ def run_training_csv(spark: SparkSession, reports: str, symptoms: str, vaccines:
 
 def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MODELS,
                 settings: dict | None = None, cv_models=CV_MODELS, explain_model: str = "lightgbm",
-                grids: dict | None = None, history_model: str | None = "lightgbm") -> DataFrame:
+                grids: dict | None = None, history_models=("lightgbm", "mlp")) -> DataFrame:
     """Fit, tune, evaluate, explain and persist; returns (artifact, rows).
 
     ``grids`` maps a model to its parameter grid (None: the reference's); the
@@ -104,11 +104,14 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
         put("importances", importance_table(spark, {name: best}), "model")
         if name == "cart":
             put("tree_text", AR.tree_rules(spark, best.stages[-1], M.feature_names(best)))
-    if history_model in fitted:                                                  # R4, C14
+    for name in [n for n in history_models if n in fitted]:                      # R4, C14
+        if name == "mlp":
+            put("history", M.training_history(spark, fitted[name], name), "model")
+            continue
         rows = validation_holdout(train)
-        seen = rows.where(~F.col("is_val")).drop("is_val")
-        m = M.fit(seen, history_model, **dict(settings.get(history_model, {})))
-        put("history", TU.boosting_history(spark, m, rows.where("is_val")), "model")
+        seen, unseen = (rows.where(F.col("is_val") == v).drop("is_val") for v in (False, True))
+        m = M.fit(seen, name, **dict(settings.get(name, {})))
+        put("history", TU.boosting_history(spark, m, seen, unseen), "model")
     folds = None
     for name in [n for n in cv_models if n in fitted]:                           # C9
         f = E.fold_scores(TU.cross_validate(train, name, **dict(settings.get(name, {}))))

@@ -5,9 +5,13 @@
   metrics come from one pass (Spark's CrossValidator reports one metric).
 * ``grid_search`` — every point of a grid on the same prepared folds with the
   positive-class F1, returning mean and sd per parameter combination and
-  the best pipeline refitted on all training rows.
-* ``boosting_history`` — validation loss and AUC after every boosting round,
-  from per-tree outputs computed in ``mapInPandas`` and aggregated per round.
+  the best pipeline refitted on all training rows. The first trees of a forest
+  or of a booster are one of fewer trees, so points that differ in
+  ``n_estimators`` alone share a fit and are scored together, by tree prefixes.
+* ``boosting_history`` — loss, accuracy and AUC after every boosting round,
+  from tree outputs summed in the tasks into counts by (round, score).
+
+Boosters of all folds and points are fitted in step (``boosting.fit_many``).
 """
 
 from __future__ import annotations
@@ -18,17 +22,20 @@ from multiprocessing.pool import ThreadPool
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigilo import config as C
 from vigilo.functions.clean import round_half_even
 from vigilo.operators.distributed import hash_rank, md5_hash
-from vigilo.operators.evaluate import ranking_metrics
 from vigilo.operators.sampling import bounded_rows
-from vigilo.operators.explain import ensemble_tables, leaf_values
+from vigilo.operators.explain import ensemble_tables, leaf_values, margin_scale
+from vigilo.plans import boosting as B
 from vigilo.plans import models as M
+from vigilo.plans import network as N
 from vigilo.plans.features import default_preparer
+from vigilo.session import scratch_path
 
 # ---- fixed values: the reference's grid parameter names → Spark ML names ----
 PARAM_NAMES = {
@@ -46,28 +53,85 @@ def stratified_folds(train: DataFrame, k: int, seed: int = C.SEED) -> DataFrame:
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_h", "_rank", "_n", "_n_all")
 
 
-def cross_validate(train: DataFrame, name: str, k: int = C.CV_FOLDS, **over) -> DataFrame:
+def booster_folds(train: DataFrame, k: int, points: list[dict], rows: int) -> tuple[list, list[list[B.LeafwiseModel]]]:
+    """(preparation of each fold, model of each fold and point): each fitted on the other folds' rows."""
+    preps, parts, specs, widths = [], [], [], []
+    for f in range(k):
+        others = M.with_label(M.weighted(bounded_rows(train.where(F.col("fold") != f), rows), "lightgbm"))
+        preps.append(default_preparer(train.columns).fit(others))
+        widths.append(len(preps[f].feature_names()))
+        parts.append(preps[f].transform(others).select(
+            F.lit(f).alias("group"), F.col(C.KEY).alias("id"), "features", "label", "weight"))
+        specs += [M.classifier("lightgbm", **p).spec(f) for p in points]
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p)
+    together = together.persist()
+    try:
+        trees = B.fit_many(together, specs, C.SEED)
+    finally:
+        together.unpersist()
+    n = len(points)
+    return preps, [[B.LeafwiseModel.of(t, widths[f]) for t in trees[f * n:(f + 1) * n]] for f in range(k)]
+
+
+def cross_validate(train: DataFrame, name: str, k: int = C.CV_FOLDS, rows: int = C.SAMPLE_TARGET, **over) -> DataFrame:
     """Out-of-fold scored rows (model, fold, VAERS_ID, y, p, pred)."""
     if "fold" not in train.columns or k != C.CV_FOLDS:
         train = stratified_folds(train.drop("fold"), k)
-
-    def fold_scored(f):
-        model = M.fit(train.where(F.col("fold") != f), name, **dict(over))
-        return M.score(model, train.where(F.col("fold") == f), name, keep=["fold"])
-
-    with ThreadPool(k) as pool:
-        parts = pool.map(fold_scored, range(k))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    if name == "lightgbm":
+        preps, fitted = booster_folds(train, k, [over], rows)
+        models = [PipelineModel([p, m[0]]) for p, m in zip(preps, fitted)]
+    else:
+        with ThreadPool(k) as pool:
+            models = pool.map(lambda f: M.fit(train.where(F.col("fold") != f), name, rows=rows, **dict(over)), range(k))
+    # Written once: the metrics scan narrow rows several times and do not score again.
+    path = scratch_path(train.sparkSession, "fold-scores")
+    for f, m in enumerate(models):
+        M.score(m, train.where(F.col("fold") == f), name, keep=["fold"]).write.mode("append").parquet(path)
+    return train.sparkSession.read.parquet(path)
 
 
 def positive_f1(scored: DataFrame) -> float:
     """F1 of class 1 over (label, prediction), 0 where undefined."""
     y, d = F.col("label"), F.col("prediction")
     r = scored.agg(F.count_if((y == 1) & (d == 1)).alias("tp"), F.count_if(y != d).alias("wrong")).first()
-    return 2 * r["tp"] / (2 * r["tp"] + r["wrong"]) if r["tp"] else 0.0
+    return f1_of(r["tp"], r["wrong"])
+
+
+def f1_of(tp: int, wrong: int) -> float:
+    return 2 * tp / (2 * tp + wrong) if tp else 0.0
+
+
+def prefix_f1(rows: DataFrame, ensembles: list[list[dict]], sizes: list[int], mean: bool) -> np.ndarray:
+    """F1 of class 1 (ensemble × size) when only an ensemble's first ``size`` trees vote.
+
+    One pass over the rows (features, label): class 1 where the sum of log-odds,
+    or with ``mean`` the mean share, of the trees lies above its middle.
+    """
+    level = 0.5 if mean else 0.0
+
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x, y = np.vstack(pdf["x"].to_numpy()), pdf["label"].to_numpy() == 1
+            out = []
+            for e, trees in enumerate(ensembles):
+                total = np.zeros(len(x))
+                for k, t in enumerate(trees):
+                    total += leaf_values(x, t)
+                    if k + 1 in sizes:
+                        yes = total / (k + 1 if mean else 1) > level
+                        out.append((e, k + 1, int((yes & y).sum()), int((yes != y).sum())))
+            yield pd.DataFrame(out, columns=["e", "size", "tp", "wrong"])
+
+    counts = (rows.select(vector_to_array("features").alias("x"), "label").mapInPandas(run, "e int, size int, tp long, wrong long")
+              .groupBy("e", "size").agg(F.sum("tp").alias("tp"), F.sum("wrong").alias("wrong")).collect())
+    out = np.zeros((len(ensembles), len(sizes)))
+    for r in counts:
+        out[r["e"], sizes.index(r["size"])] = f1_of(r["tp"], r["wrong"])
+    return out
 
 
 def grid_search(spark: SparkSession, train: DataFrame, name: str, grid: dict | None = None,
@@ -75,40 +139,97 @@ def grid_search(spark: SparkSession, train: DataFrame, name: str, grid: dict | N
     """C10 + C11: (results DataFrame, best refitted PipelineModel, best params).
 
     Preparation is fitted once per fold, on the other folds; every point of
-    the grid then trains on the same persisted vectors. ``rows`` bounds the
-    rows of the fits as in :func:`models.fit`.
+    the grid then trains on the same vectors. ``rows`` bounds the rows of the
+    fits as in :func:`models.fit`.
     """
     grid = grid or GRIDS[name]
     k = k or GRID_FOLDS[name]
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
-    data = M.with_label(M.weighted(stratified_folds(bounded_rows(train, rows).drop("fold"), k), name))
-    scores = np.zeros((len(points), k))
+    data = stratified_folds(bounded_rows(train, rows).drop("fold"), k)
+    scores = FOLD_SCORES[name](spark, data, name, grid, points, k, parallelism, fixed)
+    mean, sd = scores.mean(axis=1), scores.std(axis=1)
+    res = spark.createDataFrame(
+        [(name, {g: str(v) for g, v in p.items()}, float(m), float(d), k) for p, m, d in zip(points, mean, sd)],
+        "model string, params map<string,string>, mean_f1 double, std_f1 double, n_splits int")
+    best = points[int(np.argmax(mean))]
+    return res, M.fit(train, name, rows=rows, **{**fixed, **spark_params(name, best)}), best
+
+
+def spark_params(name: str, point: dict) -> dict:
+    return {PARAM_NAMES[name][g]: v for g, v in point.items()}
+
+
+def in_folds(data: DataFrame, name: str, k: int):
+    """(fold, prepared rows of the others, prepared rows of the fold), each held while it is used."""
+    weighted = M.with_label(M.weighted(data, name))
     for fold in range(k):
-        others = data.where(F.col("fold") != fold)
-        prep = default_preparer(train.columns).fit(others)
+        others = weighted.where(F.col("fold") != fold)
+        prep = default_preparer(data.columns).fit(others)
         seen = prep.transform(others).select("features", "label", "weight").persist()
-        unseen = prep.transform(data.where(F.col("fold") == fold)).select("features", "label").persist()
+        unseen = prep.transform(weighted.where(F.col("fold") == fold)).select("features", "label").persist()
         try:
-            # Every fit is many short jobs over at most ``rows`` rows: no more tasks than they need.
+            # Every fit is many short jobs over a bounded number of rows: no more tasks than they need.
             tasks = max(1, seen.count() // 20_000)
-            narrow, other = seen.coalesce(tasks), unseen.coalesce(tasks)
-
-            def fold_f1(point):
-                clf = M.classifier(name, **fixed, **{PARAM_NAMES[name][g]: v for g, v in point.items()})
-                return positive_f1(clf.fit(narrow).transform(other))
-
-            with ThreadPool(parallelism) as pool:            # Spark shares its slots among the fits' jobs
-                scores[:, fold] = pool.map(fold_f1, points)
+            yield fold, seen.coalesce(tasks), unseen.coalesce(tasks)
         finally:
             seen.unpersist()
             unseen.unpersist()
-    mean, sd = scores.mean(axis=1), scores.std(axis=1)
-    res = spark.createDataFrame(
-        [(name, {g: str(v) for g, v in p.items()}, float(m), float(d), k) for p, m, d in zip(points, mean, sd)],
-        "model string, params map<string,string>, mean_f1 double, std_f1 double, n_splits int")
-    best = points[int(np.argmax(mean))]
-    model = M.fit(train, name, rows=rows, **fixed, **{PARAM_NAMES[name][g]: v for g, v in best.items()})
-    return res, model, best
+
+
+def each_point(spark, data, name, grid, points, k, parallelism, fixed) -> np.ndarray:
+    """F1 of each point and fold, by a fit each."""
+    scores = np.zeros((len(points), k))
+    for fold, seen, unseen in in_folds(data, name, k):
+        def fold_f1(point):
+            return positive_f1(M.classifier(name, **{**fixed, **spark_params(name, point)}).fit(seen).transform(unseen))
+
+        with ThreadPool(parallelism) as pool:            # Spark shares its slots among the fits' jobs
+            scores[:, fold] = pool.map(fold_f1, points)
+    return scores
+
+
+def prefix_groups(grid: dict, points: list[dict]) -> tuple[list[dict], list[int]]:
+    """Points with the most trees, and the numbers of trees: other points are prefixes of these."""
+    sizes = sorted(set(grid.get("n_estimators", [])))
+    return [p for p in points if not sizes or p["n_estimators"] == sizes[-1]], sizes
+
+
+def spread_out(points: list[dict], largest: list[dict], sizes: list[int], found: np.ndarray) -> list[float]:
+    """Each point's value from (largest point × size)."""
+    def rest(p):
+        return {g: v for g, v in p.items() if g != "n_estimators"}
+
+    return [found[[rest(q) for q in largest].index(rest(p)), sizes.index(p["n_estimators"]) if sizes else 0] for p in points]
+
+
+def forest_prefixes(spark, data, name, grid, points, k, parallelism, fixed) -> np.ndarray:
+    """F1 of each point and fold: a forest for each depth, scored by its first trees."""
+    largest, sizes = prefix_groups(grid, points)
+    scores = np.zeros((len(points), k))
+    for fold, seen, unseen in in_folds(data, name, k):
+        def fold_f1(point):
+            model = M.classifier(name, **{**fixed, **spark_params(name, point)}).fit(seen)
+            trees, _ = ensemble_tables(model, spark, shares=True)
+            return prefix_f1(unseen, [trees], sizes or [len(trees)], mean=True)[0]
+
+        with ThreadPool(parallelism) as pool:
+            scores[:, fold] = spread_out(points, largest, sizes, np.array(pool.map(fold_f1, largest)))
+    return scores
+
+
+def booster_prefixes(spark, data, name, grid, points, k, parallelism, fixed) -> np.ndarray:
+    """F1 of each point and fold: all folds' boosters with the most rounds in one fit, scored by their first trees."""
+    largest, sizes = prefix_groups(grid, points)
+    preps, fitted = booster_folds(data, k, [{**fixed, **spark_params(name, p)} for p in largest], C.SAMPLE_TARGET)
+    scores = np.zeros((len(points), k))
+    for fold in range(k):
+        unseen = preps[fold].transform(M.with_label(data.where(F.col("fold") == fold))).select("features", "label")
+        trees = [m.trees() for m in fitted[fold]]
+        scores[:, fold] = spread_out(points, largest, sizes, prefix_f1(unseen, trees, sizes or [len(trees[0])], mean=False))
+    return scores
+
+
+FOLD_SCORES = {"cart": each_point, "random_forest": forest_prefixes, "lightgbm": booster_prefixes}
 
 
 def grid_top5(results: DataFrame) -> DataFrame:
@@ -137,36 +258,27 @@ def grid_best(results: DataFrame) -> DataFrame:
                        F.explode(F.col("b.params")).alias("param", "value"))
 
 
-def boosting_history(spark: SparkSession, model, val: DataFrame, name: str = "lightgbm",
-                     output_scale: float = 2.0) -> DataFrame:
-    """C14: (model, epoch, val_loss, val_auc) after each boosting round.
+def boosting_history(spark: SparkSession, model, seen: DataFrame, val: DataFrame, name: str = "lightgbm") -> DataFrame:
+    """C14: (model, epoch, loss, accuracy and AUC of training and validation rows) after each round.
 
-    Each validation row's per-round log-odds is a cumulative sum of tree
-    outputs (one mapInPandas pass); log loss is an average and AUC the exact
-    ranking metric, both grouped by round.
+    A task sums a batch's tree outputs round by round and sends, for each
+    round, its counts by score (to six places), not its rows.
     """
-    prep, gbt = model.stages[0], model.stages[-1]
-    trees, weights = ensemble_tables(gbt, spark)
-    n_rounds = len(trees)
+    prep, booster = model.stages[0], model.stages[-1]
+    trees, weights = ensemble_tables(booster, spark)
+    scale = margin_scale(booster)
 
     def run(batches):
         for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            X = np.vstack([np.asarray(v, dtype=float) for v in pdf["x"]])
-            outs = np.column_stack([w * leaf_values(X, t) for t, w in zip(trees, weights)])
-            logit = output_scale * np.cumsum(outs, axis=1)               # rows × rounds
-            yield pd.DataFrame({"epoch": np.tile(np.arange(1, n_rounds + 1), len(X)).astype("int32"),
-                                "y": np.repeat(pdf["y"].to_numpy(), n_rounds).astype("int32"),
-                                "logit": logit.ravel()})
-
-    rows = prep.transform(M.with_label(val)).select(
-        F.col(C.LABEL).cast("int").alias("y"), vector_to_array("features").alias("x"))
-    per = rows.mapInPandas(run, "epoch int, y int, logit double").withColumn(
-        "p", 1 / (1 + F.exp(-F.col("logit"))))
-    pc = F.least(F.greatest(F.col("p"), F.lit(C.PROB_CLIP)), F.lit(1 - C.PROB_CLIP))
-    loss = per.groupBy("epoch").agg(
-        F.avg(-(F.col("y") * F.log(pc) + (1 - F.col("y")) * F.log(1 - pc))).alias("val_loss"))
-    auc = ranking_metrics(per, ["epoch"], max_groups=n_rounds).select("epoch", F.col("roc_auc").alias("val_auc"))
-    return loss.join(auc, "epoch").select(F.lit(name).alias("model"), "epoch", "val_loss", "val_auc")
+            for is_val, part in pdf.groupby("is_val"):
+                x, y = np.vstack(part["x"].to_numpy()), part["y"].to_numpy()
+                z, out = np.zeros(len(x)), []
+                for k, (t, w) in enumerate(zip(trees, weights)):
+                    z += scale * w * leaf_values(x, t)
+                    out.append((k + 1, bool(is_val), *N.score_counts(z, y)))
+                yield pd.DataFrame(out, columns=["epoch", "is_val", "loss", "correct", "n", "score", "positive", "negative"])
 
+    both = seen.withColumn("is_val", F.lit(False)).unionByName(val.withColumn("is_val", F.lit(True)))
+    rows = prep.transform(M.with_label(both)).select(
+        "is_val", F.col("label").alias("y"), vector_to_array("features").alias("x"))
+    return N.history_of(rows.mapInPandas(run, N.SCORED)).select(F.lit(name).alias("model"), *N.SERIES)
