@@ -1,15 +1,17 @@
 """Distributed building blocks shared by several operators.
 
-Three patterns recur in the reference's work and none may collapse into a
+Four patterns recur in the reference's work and none may collapse into a
 single task at scale:
 
 * ``prefix_sums``        running totals over an ordered key (ROC/PR curves,
                          exact ranks of values, quantiles)
 * ``exact_percentiles``  type-7 (linear) quantiles, exact, per group
 * ``hash_rank``          exact 1..n rank of rows in a seeded hash order, per
-                         stratum (exact-size samples, splits, folds)
+                         stratum (splits with folds)
+* ``hash_cuts``          where the first k rows of that order end, per stratum:
+                         exact-size samples are then a plain filter
 
-All three follow one scheme: cut the ordered key into blocks whose totals
+The first three follow one scheme: cut the ordered key into blocks whose totals
 form a *small* table (blocks × groups rows, bounded by construction), turn
 those totals into offsets with a window over that small table, broadcast
 the offsets back, and finish with a window partitioned by (group, block),
@@ -18,6 +20,8 @@ so no task ever holds more than one block of one group.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,7 +155,7 @@ def hash_rank(df: DataFrame, hash_col: str, strata: list[str] | tuple = (),
     ~1/65536 of a stratum. The offsets table has ≤ 65,536 × max_strata rows.
     """
     s = list(strata)
-    bucket = F.coalesce(F.conv(F.substring(F.col(hash_col), 1, 4), 16, 10).cast("int"), F.lit(0))
+    bucket = hash_bucket(hash_col)
     # The histogram branch needs only (stratum, hash): Catalyst prunes its
     # input to those columns and combines map-side, so it ships ≤ 65,536 rows
     # per stratum and task; the ranking window is the one full shuffle.
@@ -169,6 +173,55 @@ def hash_rank(df: DataFrame, hash_col: str, strata: list[str] | tuple = (),
     return joined.withColumn("_rank", F.col("_hoff") + F.row_number().over(w)).drop("_hb", "_hoff")
 
 
+def hash_bucket(hash_col: str) -> Column:
+    """16-bit prefix of a hexadecimal hash, as a number."""
+    return F.coalesce(F.conv(F.substring(F.col(hash_col), 1, 4), 16, 10).cast("int"), F.lit(0))
+
+
+def hash_cuts(df: DataFrame, hash_col: str, kept: Callable[[Column, Column], Column], key: str,
+              strata: list[str] | tuple = ()) -> list[tuple]:
+    """(stratum values, hash, key) of the last kept row of each stratum, in (hash, key) order.
+
+    ``kept(n, n_all)`` says how many of a stratum's n rows (of n_all rows) are
+    kept; strata that keep none are missing. Two narrow jobs: the histogram of
+    the hash's 16-bit prefix tells in which bucket the cut lies, and only the
+    rows of that bucket, about 1/65,536 of a stratum, are ranked. Strata are
+    few (classes); their cuts, one row each, come to the driver. ``key`` is unique.
+    """
+    s = list(strata)
+    rows = df.select(*s, hash_col, key, hash_bucket(hash_col).alias("_hb"))
+    hist = rows.groupBy(*s, "_hb").agg(F.count(F.lit(1)).alias("_hc"))
+    before = Window.partitionBy(*s).orderBy("_hb").rowsBetween(Window.unboundedPreceding, -1)
+    counted = hist.select(*s, "_hb", "_hc", F.coalesce(F.sum("_hc").over(before), F.lit(0)).alias("_hoff"),
+                          kept(F.sum("_hc").over(Window.partitionBy(*s)), F.sum("_hc").over(Window.partitionBy())).alias("_keep"))
+    edges = counted.where((F.col("_hoff") < F.col("_keep")) & (F.col("_keep") <= F.col("_hoff") + F.col("_hc"))).collect()
+    if not edges:
+        return []
+    inside, place = F.lit(False), F.lit(None).cast("long")
+    for e in edges:
+        here = (F.col("_hb") == e["_hb"]) & _in_stratum(s, [e[c] for c in s])
+        inside, place = inside | here, F.when(here, F.lit(e["_keep"] - e["_hoff"]).cast("long")).otherwise(place)
+    last = (rows.where(inside).withColumn("_rank", F.row_number().over(Window.partitionBy(*s, "_hb").orderBy(hash_col, key)))
+            .where(F.col("_rank") == place))
+    return [(tuple(r[c] for c in s), r[hash_col], r[key]) for r in last.collect()]
+
+
+def _in_stratum(strata: list[str], values: list) -> Column:
+    out = F.lit(True)
+    for c, v in zip(strata, values):
+        out = out & F.col(c).eqNullSafe(F.lit(v))
+    return out
+
+
+def up_to_cut(cuts: list[tuple], hash_col: str, key: str, strata: list[str] | tuple = ()) -> Column:
+    """Whether a row is among the kept ones of its stratum (see :func:`hash_cuts`)."""
+    out = F.lit(False)
+    for values, h, k in cuts:
+        first = (F.col(hash_col) < h) | ((F.col(hash_col) == h) & (F.col(key) <= F.lit(k)))
+        out = out | (_in_stratum(list(strata), list(values)) & first)
+    return out
+
+
 def exact_modes(df: DataFrame, cols: list[str]) -> DataFrame:
     """Most frequent value of each column, smallest value on ties, as text.
 

@@ -1,18 +1,20 @@
 """Exact, reproducible sampling and splitting.
 
 Rows are ordered by md5('<key>:<salt><seed>') — the same bytes in Spark and
-in any SQL engine — and cut by exact counts. Ranks come from
-:func:`vigilo.operators.distributed.hash_rank`, which never sorts a whole
+in any SQL engine — and cut by exact counts. Where only the first n rows of a
+class matter (R1, R4, the bound of a fit), the cut is found in one bucket of the
+hash and the rest is a filter: no row is moved. Folds need every row's rank,
+from :func:`vigilo.operators.distributed.hash_rank`, which never sorts a whole
 class in one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigilo import config as C
-from vigilo.operators.distributed import hash_rank, md5_hash
+from vigilo.operators.distributed import hash_cuts, hash_rank, md5_hash, up_to_cut
 
 
 def ranked_rows(df: DataFrame, h, strata, key: str, max_strata: int = 2) -> DataFrame:
@@ -35,8 +37,9 @@ def bounded_rows(train: DataFrame, rows: int, label: str = C.LABEL, key: str = C
         raise ValueError(f"a fit needs rows of both classes, got {counts}")
     if n <= rows:
         return train
-    ranked = ranked_rows(train, md5_hash(key, seed, "fit"), [label], key)
-    return ranked.where(F.col("_rank") <= F.ceil(F.col("_n") * F.lit(rows / n))).drop("_rank", "_n", "_n_all")
+    hashed = train.withColumn("_h", md5_hash(key, seed, "fit"))
+    cuts = hash_cuts(hashed, "_h", lambda n_class, _: F.ceil(n_class * F.lit(rows / n)), key, [label])
+    return hashed.where(up_to_cut(cuts, "_h", key, [label])).drop("_h")
 
 
 def stratified_sample(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
@@ -44,11 +47,13 @@ def stratified_sample(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
     """Every positive plus exactly n0 = min(target − positives, negatives)
     negatives (clamped at 0), chosen without replacement in seeded hash order.
     """
-    ranked = hash_rank(df.withColumn("_h", md5_hash(key, seed)), "_h", [label], key)
-    n_pos_seen = F.col("_n_all") - F.col("_n")          # on a negative row: #positives
-    n0 = F.greatest(F.least(F.lit(target) - n_pos_seen, F.col("_n")), F.lit(0))
-    keep = (F.col(label) == 1) | (F.col("_rank") <= n0)
-    return ranked.where(keep).drop("_h", "_rank", "_n", "_n_all")
+    hashed = df.withColumn("_h", md5_hash(key, seed))
+
+    def negatives(n, n_all):                            # n_all - n: the positives, on a negative row
+        return F.greatest(F.least(F.lit(target) - (n_all - n), n), F.lit(0))
+
+    cuts = hash_cuts(hashed, "_h", negatives, key, [label])
+    return hashed.where((F.col(label) == 1) | up_to_cut(cuts, "_h", key, [label])).drop("_h")
 
 
 def test_count(n: str = "_n", share: float = C.TEST_SHARE):
@@ -102,15 +107,16 @@ def sample_and_split(df: DataFrame, label: str = C.LABEL, key: str = C.KEY,
 def validation_holdout(train: DataFrame, key: str = C.KEY,
                        share: float = C.VALIDATION_SHARE, seed: int = C.SEED) -> DataFrame:
     """Flag ``is_val`` on the first floor(share·n) training rows, unstratified."""
-    ranked = hash_rank(train.withColumn("_h", md5_hash(key, seed, "val")), "_h", [], key, 1)
-    n_val = F.floor(F.col("_n") * F.lit(share)).cast("long")
-    return ranked.withColumn("is_val", F.col("_rank") <= n_val).drop("_h", "_rank", "_n", "_n_all")
+    hashed = train.withColumn("_h", md5_hash(key, seed, "val"))
+    cuts = hash_cuts(hashed, "_h", lambda n, _: F.floor(n * F.lit(share)).cast("long"), key)
+    return hashed.withColumn("is_val", up_to_cut(cuts, "_h", key)).drop("_h")
 
 
 def explain_sample(test: DataFrame, key: str = C.KEY, n: int = C.EXPLAIN_ROWS,
                    seed: int = C.SEED) -> DataFrame:
-    """The first n test rows in seeded hash order, with their row number."""
-    ranked = hash_rank(test.withColumn("_h", md5_hash(key, seed, "explain")), "_h", [], key, 1)
-    return (ranked.where(F.col("_rank") <= n)
-                  .withColumn("row_id", (F.col("_rank") - 1).cast("int"))
-                  .drop("_h", "_rank", "_n", "_n_all"))
+    """The first n test rows in seeded hash order, with their row number.
+
+    A bounded top-n: every task sends n rows at most, and the window numbers n.
+    """
+    first = test.withColumn("_h", md5_hash(key, seed, "explain")).orderBy("_h", key).limit(n)
+    return first.withColumn("row_id", F.row_number().over(Window.orderBy("_h", key)) - 1).drop("_h")
