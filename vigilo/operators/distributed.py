@@ -12,10 +12,12 @@ single task at scale:
                          exact-size samples are then a plain filter
 
 The first three follow one scheme: cut the ordered key into blocks whose totals
-form a *small* table (blocks × groups rows, bounded by construction), turn
-those totals into offsets with a window over that small table, broadcast
-the offsets back, and finish with a window partitioned by (group, block),
-so no task ever holds more than one block of one group.
+form a *small* table (blocks × groups rows), turn those totals into offsets
+with a window over that small table, join the offsets back, and finish with a
+window partitioned by (group, block), so no task ever holds more than one
+block of one group. Prefix sums count their distinct keys first: blocks hold
+about ``BLOCK_ROWS`` of them at every size, and the offsets are broadcast only
+if the counted groups times blocks are few.
 """
 
 from __future__ import annotations
@@ -26,23 +28,24 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Broadcasting the offsets table is allowed only below this many rows; the
-# table has (groups × blocks) rows, so callers state their group bound.
+from vigilo.session import scratch_path
+
+# Broadcasting the offsets table is allowed only below this many rows.
 MAX_BROADCAST_ROWS = 2_000_000
+BLOCK_ROWS = 50_000              # distinct keys of a block of a prefix sum, about
 HASH_BUCKETS = 1 << 16           # 16-bit prefix of the md5 hex string
 
 
-MAX_BLOCKS = 4096                # one percentile job returns ≤ this many bounds
-
-
-def default_blocks(df: DataFrame) -> int:
-    """Blocks per prefix sum: a few per shuffle partition, capped."""
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return min(MAX_BLOCKS, max(16, 4 * parts))
+def held(df: DataFrame, name: str = "steps") -> DataFrame:
+    """``df`` written to the shared folder and read back: computed once for
+    the several small jobs and branches that follow."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int) -> DataFrame:
-    """Join a table whose row count is bounded by ``rows_bound`` (caller-proven).
+    """Join a table whose row count is bounded by ``rows_bound``.
 
     Keys match null-safely (a NULL stratum is a stratum, never a lost row);
     as a side effect Catalyst infers no IsNotNull filters that would make the
@@ -58,12 +61,14 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str], rows_bound: int
 def block_index(df: DataFrame, order_col: str, n_blocks: int, out: str = "_blk") -> DataFrame:
     """Add a block id that cuts ``order_col`` into ~equal-count ranges.
 
-    Boundaries come from one ``percentile_approx`` (≤ n_blocks numbers reach
+    Boundaries come from one ``percentile_approx`` (< n_blocks numbers reach
     the driver); the id itself is a JVM-side binary search (Bucketizer).
     Block ids increase with ``order_col``.
     """
+    if n_blocks < 2:
+        return df.withColumn(out, F.lit(0))
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, 10_000)).first()
+    row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, max(10_000, 10 * n_blocks))).first()
     bounds = sorted(set(float(b) for b in (row[0] or []) if b is not None))
     splits = [float("-inf")] + bounds + [float("inf")]
     tmp = f"{out}_in"
@@ -74,42 +79,48 @@ def block_index(df: DataFrame, order_col: str, n_blocks: int, out: str = "_blk")
 
 def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
                 partition_cols: list[str] | tuple = (), descending: bool = False,
-                max_groups: int = 64, n_blocks: int | None = None,
-                suffix: str = "_cum") -> DataFrame:
+                n_blocks: int | None = None, suffix: str = "_cum", next_cols: list[str] | tuple = ()) -> DataFrame:
     """Inclusive running sums of ``sum_cols`` along ``order_col`` per partition.
 
     ``df`` must hold one row per (partition_cols, order_col) — callers
     aggregate first, which also makes duplicated keys (ties) one step.
     Output adds ``<c><suffix>`` and the partition's total ``<c>_total`` for
-    each sum column (the totals ride on the broadcast offsets table, so no
-    further join is needed).
+    each sum column, and for each of ``next_cols`` the value of the next row,
+    ``<c>_next`` (NULL at the end). Totals, and the first values of the block
+    that follows, ride on the offsets table, so no further join is needed.
     """
     part = list(partition_cols)
-    n_blocks = n_blocks or default_blocks(df)
+    df = held(df)
+    size = df.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct(F.struct(*part)) if part else F.lit(1)).alias("groups")).first()
+    n_blocks = n_blocks or max(1, -(-size["n"] // BLOCK_ROWS))
     blk = block_index(df, order_col, n_blocks)
-    tot = blk.groupBy(*part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols])
+    first_of = F.max_by if descending else F.min_by
+    tot = blk.groupBy(*part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols],
+                                         *[first_of(c, order_col).alias(f"_f_{c}") for c in next_cols])
     blk_order = F.col("_blk").desc() if descending else F.col("_blk").asc()
-    w_off = (Window.partitionBy(*part).orderBy(blk_order)
-             .rowsBetween(Window.unboundedPreceding, -1))
+    w_seq = Window.partitionBy(*part).orderBy(blk_order)
+    w_off = w_seq.rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*part)                                  # over ≤ blocks rows each
     offsets = tot.select(*part, "_blk", *[
         F.coalesce(F.sum(f"_t_{c}").over(w_off), F.lit(0)).alias(f"_o_{c}") for c in sum_cols], *[
-        F.sum(f"_t_{c}").over(w_all).alias(f"{c}_total") for c in sum_cols])
-    joined = _join_small(blk, offsets, part + ["_blk"], max_groups * (n_blocks + 1))
+        F.sum(f"_t_{c}").over(w_all).alias(f"{c}_total") for c in sum_cols], *[
+        F.lead(f"_f_{c}").over(w_seq).alias(f"_e_{c}") for c in next_cols])
+    joined = _join_small(blk, offsets, part + ["_blk"], size["groups"] * (n_blocks + 1))
     val_order = F.col(order_col).desc() if descending else F.col(order_col).asc()
-    w_loc = (Window.partitionBy(*part, "_blk").orderBy(val_order)
-             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    w_val = Window.partitionBy(*part, "_blk").orderBy(val_order)
+    w_loc = w_val.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = joined.withColumns({
-        f"{c}{suffix}": F.col(f"_o_{c}") + F.sum(c).over(w_loc) for c in sum_cols})
-    return out.drop("_blk", *[f"_o_{c}" for c in sum_cols])
+        **{f"{c}{suffix}": F.col(f"_o_{c}") + F.sum(c).over(w_loc) for c in sum_cols},
+        **{f"{c}_next": F.coalesce(F.lead(c).over(w_val), F.col(f"_e_{c}")) for c in next_cols}})
+    return out.drop("_blk", *[f"_o_{c}" for c in sum_cols], *[f"_e_{c}" for c in next_cols])
 
 
 def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
-                      group_cols: list[str] | tuple = (), max_groups: int = 64) -> DataFrame:
+                      group_cols: list[str] | tuple = (), count_col: str | None = None) -> DataFrame:
     """Exact linear (type-7) percentiles of ``value_col`` per group.
 
     Returns one row per (group, p): columns ``group_cols``, ``p``, ``q``.
-    NULL values are ignored. Work: one aggregate to distinct values, one
+    NULL values are ignored. With ``count_col`` each row stands for so many. Work: one aggregate to distinct values, one
     distributed prefix sum, one small aggregate — no value list is ever
     gathered in one task.
     """
@@ -117,8 +128,8 @@ def exact_percentiles(df: DataFrame, value_col: str, probs: list[float],
     v = F.col(value_col)
     counts = (df.where(v.isNotNull())
                 .groupBy(*g, v.cast("double").alias("_v"))
-                .agg(F.count(F.lit(1)).alias("_c")))
-    ps = prefix_sums(counts, "_v", ["_c"], g, max_groups=max_groups).withColumnRenamed("_c_total", "_n")
+                .agg((F.sum(count_col) if count_col else F.count(F.lit(1))).alias("_c")))
+    ps = prefix_sums(counts, "_v", ["_c"], g).withColumnRenamed("_c_total", "_n")
     parr = F.array(*[F.lit(float(p)) for p in probs])
     prev = F.col("_c_cum") - F.col("_c")
     cum = F.col("_c_cum")

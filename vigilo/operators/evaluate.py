@@ -10,8 +10,8 @@ columns such as ``fold``. Metrics are computed per group in one pass:
   over the (group, score) aggregate, then one more aggregate —
   AUC = Σ neg·(TP_above + pos/2) / (P·N) (ties averaged),
   AP  = Σ pos·precision / P (step-wise, no interpolation);
-* curve points (E7, E8) come from the same prefix sums; the "next point"
-  needed to drop collinear ROC points is an equi-join on the point index.
+* curve points (E7, E8) come from the same prefix sums, which also number
+  the points and carry the next one, needed to drop collinear ROC points.
 """
 
 from __future__ import annotations
@@ -56,23 +56,24 @@ def class_metrics(scored: DataFrame, groups=("model",)) -> DataFrame:
         r6(_div0(tn, tn + fp)).alias("specificity"))
 
 
-def score_steps(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
+def score_steps(scored: DataFrame, groups=("model",)) -> DataFrame:
     """Per (group, distinct score): pos, neg, and inclusive running totals
-    ``pos_cum``/``neg_cum`` from the highest score down, plus class totals."""
+    ``pos_cum``/``neg_cum`` from the highest score down, plus class totals,
+    the point's number and the next point's ``pos_next``/``neg_next``."""
     g = list(groups)
     steps = scored.groupBy(*g, "p").agg(
         F.sum(F.col("y").cast("long")).alias("pos"),
-        F.sum((1 - F.col("y")).cast("long")).alias("neg"))
-    cum = prefix_sums(steps, "p", ["pos", "neg"], g, descending=True, max_groups=max_groups)
-    return cum.withColumnRenamed("pos_total", "n_pos").withColumnRenamed("neg_total", "n_neg")
+        F.sum((1 - F.col("y")).cast("long")).alias("neg")).withColumn("_one", F.lit(1))
+    cum = prefix_sums(steps, "p", ["pos", "neg", "_one"], g, descending=True, next_cols=["pos", "neg"])
+    return cum.drop("_one", "_one_total").withColumnsRenamed({"pos_total": "n_pos", "neg_total": "n_neg", "_one_cum": "point"})
 
 
-def ranking_metrics(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
+def ranking_metrics(scored: DataFrame, groups=("model",)) -> DataFrame:
     """E4 + E5: exact ROC-AUC (ties averaged) and average precision.
 
     NULL when a group holds one class only.
     """
-    s = score_steps(scored, groups, max_groups)
+    s = score_steps(scored, groups)
     pos, neg = F.col("pos").cast("double"), F.col("neg").cast("double")
     above = F.col("pos_cum") - F.col("pos")
     prec = F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))
@@ -113,20 +114,14 @@ def test_metrics(scored: DataFrame, groups=("model",)) -> DataFrame:
                            ranking_metrics(scored, g), log_loss(scored, g)], g)
 
 
-def roc_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
+def roc_points(scored: DataFrame, groups=("model",)) -> DataFrame:
     """ROC points at each distinct threshold, collinear interior points
     dropped, with the (0, 0) start point (threshold NULL)."""
     g = list(groups)
-    s = score_steps(scored, g, max_groups)
-    idx = (prefix_sums(s.withColumn("_one", F.lit(1)), "p", ["_one"], g, descending=True,
-                       max_groups=max_groups)
-           .withColumnRenamed("_one_cum", "i").withColumnRenamed("_one_total", "_last"))
-    nxt = idx.select(*g, (F.col("i") - 1).alias("i"),
-                     F.col("pos").alias("_npos"), F.col("neg").alias("_nneg"))
-    j = idx.join(nxt, g + ["i"], "left")
-    keep = ((F.col("i") == 1) | (F.col("i") == F.col("_last"))
-            | (F.col("_npos") != F.col("pos")) | (F.col("_nneg") != F.col("neg")))
-    pts = j.where(keep).select(
+    s = score_steps(scored, g)
+    keep = ((F.col("point") == 1) | F.col("pos_next").isNull()
+            | (F.col("pos_next") != F.col("pos")) | (F.col("neg_next") != F.col("neg")))
+    pts = s.where(keep).select(
         *g, r6(F.col("neg_cum") / F.col("n_neg")).alias("fpr"),
         r6(F.col("pos_cum") / F.col("n_pos")).alias("tpr"), r6("p").alias("threshold"))
     start = s.select(*g).distinct().select(
@@ -134,11 +129,11 @@ def roc_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> Da
     return pts.unionByName(start)
 
 
-def pr_points(scored: DataFrame, groups=("model",), max_groups: int = 64) -> DataFrame:
+def pr_points(scored: DataFrame, groups=("model",)) -> DataFrame:
     """precision/recall at each distinct threshold down to the first that
     reaches full recall, plus the end point (precision 1, recall 0)."""
     g = list(groups)
-    s = score_steps(scored, g, max_groups)
+    s = score_steps(scored, g)
     pts = s.where(F.col("pos_cum") - F.col("pos") < F.col("n_pos")).select(
         *g, r6(F.col("pos_cum") / (F.col("pos_cum") + F.col("neg_cum"))).alias("precision"),
         r6(F.col("pos_cum") / F.col("n_pos")).alias("recall"), r6("p").alias("threshold"))

@@ -17,7 +17,7 @@ from vigilo import config as C
 from vigilo.functions.clean import (
     fill_unknown, outcome_text, pretty_symptom, r6, round_half_even, yes_no_text)
 from vigilo.functions.names import present, sym_columns
-from vigilo.operators.distributed import MAX_BROADCAST_ROWS, exact_modes, exact_percentiles
+from vigilo.operators.distributed import exact_modes, exact_percentiles, held
 from vigilo.operators.reshape import outcome_unpivot
 
 def n_rows():
@@ -193,9 +193,14 @@ def histogram_by_label(df: DataFrame, col: str = "AGE_YRS", bins: int = C.AGE_BI
                       label, "n"))
 
 
-def box_stats(df: DataFrame, value: str, group: str, max_groups: int = 64) -> DataFrame:
-    """Quartiles (type 7), 1.5·IQR whiskers, min, max and n per group."""
-    qs = exact_percentiles(df, value, [0.25, 0.5, 0.75], [group], max_groups)
+def box_stats(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Quartiles (type 7), 1.5·IQR whiskers, min, max and n per group.
+
+    Everything comes from one table of counts by (group, value); Spark joins
+    the fences, a row for each group, by their measured size."""
+    counts = held(df.where(F.col(value).isNotNull() & F.col(group).isNotNull())
+                  .groupBy(group, F.col(value).alias(value)).agg(n_rows().alias("_n")))
+    qs = exact_percentiles(counts, value, [0.25, 0.5, 0.75], [group], "_n")
     wide = qs.groupBy(group).agg(
         F.max(F.when(F.col("p") == 0.25, F.col("q"))).alias("q1"),
         F.max(F.when(F.col("p") == 0.5, F.col("q"))).alias("median"),
@@ -203,11 +208,10 @@ def box_stats(df: DataFrame, value: str, group: str, max_groups: int = 64) -> Da
     fences = wide.withColumns({
         "_lo": F.col("q1") - (F.col("q3") - F.col("q1")) * 1.5,
         "_hi": F.col("q3") + (F.col("q3") - F.col("q1")) * 1.5})
-    small = F.broadcast(fences) if max_groups <= MAX_BROADCAST_ROWS else fences
     v = F.col(value)
-    j = df.where(v.isNotNull()).select(group, value).join(small, group)
+    j = counts.join(fences, group)
     return j.groupBy(group).agg(
-        n_rows().alias("n"),
+        F.sum("_n").alias("n"),
         r6(F.first("q1")).alias("q1"), r6(F.first("median")).alias("median"),
         r6(F.first("q3")).alias("q3"),
         F.min(F.when(v >= F.col("_lo"), v)).alias("whisker_lo"),
@@ -217,12 +221,12 @@ def box_stats(df: DataFrame, value: str, group: str, max_groups: int = 64) -> Da
 
 def lag_box(df: DataFrame, value: str = "NUMDAYS", label: str = C.LABEL) -> DataFrame:
     """Onset-to-report lag by outcome (Survived / Died)."""
-    return box_stats(df.withColumn("Outcome", outcome_text(label)), value, "Outcome", 2)
+    return box_stats(df.withColumn("Outcome", outcome_text(label)), value, "Outcome")
 
 
 def age_box_by_outcomes(df: DataFrame, value: str = "AGE_YRS") -> DataFrame:
     """A11 over U2: age by the ten 'Outcome=0/1' groups, from one unpivot."""
-    return box_stats(outcome_unpivot(df, value), value, "Outcome", 2 * len(C.OUTCOME_LABELS))
+    return box_stats(outcome_unpivot(df, value), value, "Outcome")
 
 
 DECILES = [i / 10 for i in range(11)]
@@ -257,7 +261,7 @@ def decile_rate(df: DataFrame, col: str, label: str = C.LABEL) -> DataFrame:
 def label_location_stats(df: DataFrame, col: str, label: str = C.LABEL) -> DataFrame:
     """Mean and exact median of a numeric column per outcome."""
     means = df.where(F.col(col).isNotNull()).groupBy(label).agg(F.avg(col).alias("mean"))
-    med = exact_percentiles(df, col, [0.5], [label], 2).select(label, F.col("q").alias("median"))
+    med = exact_percentiles(df, col, [0.5], [label]).select(label, F.col("q").alias("median"))
     return means.join(F.broadcast(med), label).select(label, r6("mean").alias("mean"),
                                                       r6("median").alias("median"))
 
@@ -297,7 +301,7 @@ def profile_row(df: DataFrame, numeric: list[str], categorical: list[str],
     if numeric:
         long = df.select(*[F.col(c).cast("double").alias(c) for c in numeric]).unpivot(
             [], list(numeric), "feature", "v")
-        med = exact_percentiles(long, "v", [0.5], ["feature"], len(numeric))
+        med = exact_percentiles(long, "v", [0.5], ["feature"])
         parts.append(med.select("feature", r6("q").alias("value_num"),
                                 F.lit(None).cast("string").alias("value_cat")))
     if mode_numeric:

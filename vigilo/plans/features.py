@@ -132,7 +132,7 @@ def fit_numeric(df: DataFrame, num: list[str]) -> tuple[list[float], list[float]
     if not num:
         return [], [], []
     long = df.select(*[F.col(c).cast("double").alias(c) for c in num]).unpivot([], num, "feature", "v")
-    med_rows = exact_percentiles(long, "v", [0.5], ["feature"], len(num)).collect()
+    med_rows = exact_percentiles(long, "v", [0.5], ["feature"]).collect()
     med = {r["feature"]: r["q"] for r in med_rows}
     medians = [float(med.get(c) if med.get(c) is not None else 0.0) for c in num]
     imputed = [F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in zip(num, medians)]

@@ -82,8 +82,8 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     put("scores", scored, "model")
     scored = AR.read_table(spark, f"{out}/scores")
     put("metrics", E.test_metrics(scored), "model")                              # S8
-    put("roc_points", E.roc_points(scored, max_groups=len(fitted)), "model")
-    put("pr_points", E.pr_points(scored, max_groups=len(fitted)), "model")
+    put("roc_points", E.roc_points(scored), "model")
+    put("pr_points", E.pr_points(scored), "model")
     put("confusion", E.confusion(scored), "model")
     put("coefficients", M.coefficients(spark, fitted), "model")                 # C13
     trees = {n: m for n, m in fitted.items() if n in M.TREES}
