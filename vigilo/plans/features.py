@@ -4,9 +4,12 @@
   * the exact median of each numeric column (M2),
   * mean and population sd after imputation, sd 0 → 1 (M3),
   * the sorted category list of each categorical column (M5);
-``FeaturePreparerModel.transform`` then builds, as plain column expressions
-inside one projection, standardised numerics, zero-filled binaries (M4) and
-drop-first one-hot columns (unknown → all zeros), assembled into one vector.
+``FeaturePreparerModel.transform`` then builds standardised numerics and
+zero-filled binaries (M4) as column expressions, and looks up each category's
+place in a table joined by value, so that a column with very many categories
+costs a join and a sparse vector, not an expression for each. One-hot parts drop
+the first category (unknown → all zeros); everything is assembled into one
+vector. ``named`` and ``long`` write every feature out and are for few.
 
 Spark's own Imputer/StandardScaler/OneHotEncoder differ on exactly these
 points (approximate median, sample sd, no drop-first), hence this stage.
@@ -17,9 +20,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, OneHotEncoderModel, VectorAssembler
 from pyspark.ml.param.shared import HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import DataFrame, Window
@@ -29,7 +33,7 @@ from vigilo import config as C
 from vigilo.functions.clean import fill_unknown
 from vigilo.operators.distributed import exact_percentiles
 
-MAX_CATEGORIES = 10_000          # one-hot width must fit the driver-side name list
+MAX_CATEGORIES = 5_000_000       # names of a model's features, on the driver as its coefficients are
 
 
 class _PrepParams(HasOutputCol):
@@ -92,13 +96,13 @@ class FeaturePreparerModel(Model, _PrepParams, DefaultParamsReadable, DefaultPar
                 out[f"{c}_{v}"] = c
         return out
 
-    def feature_exprs(self) -> list:
+    def feature_exprs(self, onehot: bool = True) -> list:
         num = self.getOrDefault("numCols")
         meds, means, sds = (self.getOrDefault(p) for p in ("medians", "means", "stds"))
         exprs = [(F.coalesce(F.col(c).cast("double"), F.lit(md)) - F.lit(mu)) / F.lit(sd)
                  for c, md, mu, sd in zip(num, meds, means, sds)]
         exprs += [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in self.getOrDefault("binCols")]
-        cats = self.category_map()
+        cats = self.category_map() if onehot else {}
         for c in self.getOrDefault("catCols"):
             filled = fill_unknown(c)
             exprs += [(filled == F.lit(v)).cast("double") for v in cats.get(c, [])[1:]]
@@ -118,12 +122,37 @@ class FeaturePreparerModel(Model, _PrepParams, DefaultParamsReadable, DefaultPar
                           for e, n in zip(self.feature_exprs(), self.feature_names())])
         return df.select(*keep, F.explode(pairs).alias("_fv")).select(*keep, "_fv.feature", "_fv.value")
 
+    def _place(self, df: DataFrame, c: str, values: list[str], out: str) -> DataFrame:
+        """Add a category's place among the kept ones; the first one and unknown
+        ones get the place behind the last, which the encoder drops."""
+        dropped = len(values) - 1
+        table = df.sparkSession.createDataFrame(
+            pd.DataFrame({f"{out}_v": values[1:], f"{out}_i": [float(i) for i in range(dropped)]}),
+            f"{out}_v string, {out}_i double")
+        joined = df.join(table, fill_unknown(c) == F.col(f"{out}_v"), "left")
+        return joined.withColumn(out, F.coalesce(F.col(f"{out}_i"), F.lit(float(dropped)))).drop(f"{out}_v", f"{out}_i")
+
+    def _encoder(self, spark, sizes: list[int]) -> OneHotEncoderModel:
+        """Encoder of that many categories a column, learned from each one's last place."""
+        if getattr(self, "_fitted_encoder", None) is None:
+            names = [f"_place{k}" for k in range(len(sizes))]
+            last = spark.createDataFrame([tuple(float(n - 1) for n in sizes)], ", ".join(f"{c} double" for c in names))
+            self._fitted_encoder = OneHotEncoder(inputCols=names, outputCols=[f"_hot{k}" for k in range(len(sizes))], dropLast=True).fit(last)
+        return self._fitted_encoder
+
     def _transform(self, df: DataFrame) -> DataFrame:
-        exprs = self.feature_exprs()
-        tmp = [f"_feat{i}" for i in range(len(exprs))]
-        with_cols = df.withColumns(dict(zip(tmp, exprs)))
-        out = VectorAssembler(inputCols=tmp, outputCol=self.getOrDefault("outputCol")).transform(with_cols)
-        return out.drop(*tmp)
+        plain = self.feature_exprs(onehot=False)
+        cats = self.category_map()
+        wide = [c for c in self.getOrDefault("catCols") if len(cats.get(c, [])) > 1]
+        tmp = [f"_feat{i}" for i in range(len(plain))]
+        out = df.withColumns(dict(zip(tmp, plain)))
+        for k, c in enumerate(wide):
+            out = self._place(out, c, cats[c], f"_place{k}")
+        if wide:
+            out = self._encoder(df.sparkSession, [len(cats[c]) for c in wide]).transform(out)
+        hot = [f"_hot{k}" for k in range(len(wide))]
+        out = VectorAssembler(inputCols=tmp + hot, outputCol=self.getOrDefault("outputCol")).transform(out)
+        return out.drop(*tmp, *hot, *[f"_place{k}" for k in range(len(wide))])
 
 
 def fit_numeric(df: DataFrame, num: list[str]) -> tuple[list[float], list[float], list[float]]:
@@ -146,8 +175,8 @@ def fit_numeric(df: DataFrame, num: list[str]) -> tuple[list[float], list[float]
 def fit_categories(df: DataFrame, cat: list[str]) -> dict[str, list[str]]:
     """Sorted distinct values per categorical column (NULL → 'Unknown').
 
-    One distinct-pairs job, read with a limit one past the bound, so an
-    unexpectedly wide column fails fast instead of flooding the driver.
+    One distinct-pairs job, read with a limit one past the bound: the names of
+    a model's features are on the driver, as its coefficients are.
     """
     if not cat:
         return {}
