@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from vigilo import config as C
 from vigilo.operators import evaluate as E
 from vigilo.operators import explain as XP
+from vigilo.operators.distributed import held
 from vigilo.operators.sampling import explain_sample, sample_and_split, validation_holdout
 from vigilo.plans import models as M
 from vigilo.plans import tuning as TU
@@ -35,9 +36,10 @@ def run_training(spark: SparkSession, sf_dir: str, out: str, **options) -> DataF
 
 def run_training_csv(spark: SparkSession, reports: str, symptoms: str, vaccines: str, out: str,
                      multiline: bool = True, **options) -> DataFrame:
-    """:func:`train_split` over three CSV extracts."""
-    merged = assemble(CS.scan_reports(spark, reports, multiline), CS.scan_symptoms(spark, symptoms, multiline),
-                      CS.scan_vaccines(spark, vaccines, multiline)).merged
+    """:func:`train_split` over three CSV extracts, each parsed once into Parquet."""
+    merged = assemble(held(CS.scan_reports(spark, reports, multiline), "reports"),
+                      held(CS.scan_symptoms(spark, symptoms, multiline), "symptoms"),
+                      held(CS.scan_vaccines(spark, vaccines, multiline), "vaccines")).merged
     AR.write_table(sample_and_split(merged), f"{out}/split", "split")
     return train_split(spark, AR.read_table(spark, f"{out}/split"), out, **options)
 
