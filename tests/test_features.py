@@ -59,6 +59,7 @@ def test_joined_categories_equal_the_dense_form(spark, sf):
     both = dense.join(got, C.KEY)
     assert both.count() == split.count() == both.where(F.col("x") == F.col("y")).count()
     assert set(prep.transform(split).columns) == {*split.columns, "features"}
+    assert prep.transform(split).schema["features"].metadata == {}      # trees split by threshold
 
 
 def test_one_category_none_and_unknown(spark):

@@ -905,15 +905,23 @@ _CV: dict = {}
 CV_MODELS = tuple(m for m in M.ALL_MODELS if m != "mlp")     # as the reference cross-validates
 
 
-@register("cv_model_scores")
-def q_cv_model_scores(spark, sf):
-    key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
-    if key not in _CV:                                  # five fits a model, shared with the summary
+def cv_scored(spark, sf):
+    """Out-of-fold scores of the models: five fits each, written once."""
+    key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf), "scored")
+    if key not in _CV:
         scored = None
         for name in CV_MODELS:
             s = TU.cross_validate(WF.train_rows(spark, sf), name)
             scored = s if scored is None else scored.unionByName(s)
-        folds = E.fold_scores(scored)
+        _CV[key] = scored
+    return _CV[key]
+
+
+@register("cv_model_scores")
+def q_cv_model_scores(spark, sf):
+    key = (spark.sparkContext.applicationId, WF.input_signature(spark, sf))
+    if key not in _CV:                                  # shared with the summary
+        folds = E.fold_scores(cv_scored(spark, sf))
         _CV[key] = spark.createDataFrame(folds.collect(), folds.schema)   # models × folds × 5 metric rows
     return _CV[key]
 
@@ -1120,3 +1128,4 @@ def q_split_importances(spark, sf):
 
 
 from vigilo import catalog_derived  # noqa: E402, F401  (registers its queries)
+from vigilo import catalog_checks  # noqa: E402, F401

@@ -152,6 +152,8 @@ class FeaturePreparerModel(Model, _PrepParams, DefaultParamsReadable, DefaultPar
             out = self._encoder(df.sparkSession, [len(cats[c]) for c in wide]).transform(out)
         hot = [f"_hot{k}" for k in range(len(wide))]
         out = VectorAssembler(inputCols=tmp + hot, outputCol=self.getOrDefault("outputCol")).transform(out)
+        # Without the encoder's notes on its columns: trees would split 0/1 features by category, not by threshold.
+        out = out.withMetadata(self.getOrDefault("outputCol"), {})
         return out.drop(*tmp, *hot, *[f"_place{k}" for k in range(len(wide))])
 
 
