@@ -2,6 +2,7 @@
 
 import math
 
+import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
@@ -9,6 +10,7 @@ from pyspark.ml.linalg import SparseVector
 from pyspark.sql import functions as F
 
 from vigilo import config as C
+from vigilo.plans import features
 from vigilo.plans.features import FeaturePreparer, FeaturePreparerModel, default_preparer
 from vigilo.plans.materialize import materialized_split
 
@@ -51,7 +53,9 @@ def test_pipeline_roundtrip(spark, tmp_path):
     assert a == b
 
 
-def test_joined_categories_equal_the_dense_form(spark, sf):
+@pytest.mark.parametrize("short_list", [1_000, 0], ids=["listed", "joined"])
+def test_looked_up_categories_equal_the_dense_form(spark, sf, short_list, monkeypatch):
+    monkeypatch.setattr(features, "SHORT_LIST", short_list)
     split = materialized_split(spark, sf)
     prep = default_preparer(split.columns).fit(split.where("split = 'train'"))
     dense = split.select(C.KEY, F.array(*prep.feature_exprs()).alias("x"))
@@ -62,7 +66,9 @@ def test_joined_categories_equal_the_dense_form(spark, sf):
     assert prep.transform(split).schema["features"].metadata == {}      # trees split by threshold
 
 
-def test_one_category_none_and_unknown(spark):
+@pytest.mark.parametrize("short_list", [1_000, 0], ids=["listed", "joined"])
+def test_one_category_none_and_unknown(spark, short_list, monkeypatch):
+    monkeypatch.setattr(features, "SHORT_LIST", short_list)
     df = spark.createDataFrame([(1, "a", "x", 1.0), (2, "b", "x", 2.0), (3, None, "x", None)], "id int, c string, one string, v double")
     prep = FeaturePreparer(numCols=["v"], binCols=[], catCols=["c", "one"]).fit(df)
     assert prep.feature_names() == ["v", "c_a", "c_b"]              # 'Unknown' sorts first and is dropped

@@ -65,11 +65,9 @@ def block_index(df: DataFrame, order_col: str, n_blocks: int, out: str = "_blk")
     the driver); the id itself is a JVM-side binary search (Bucketizer).
     Block ids increase with ``order_col``.
     """
-    if n_blocks < 2:
-        return df.withColumn(out, F.lit(0))
     probs = [i / n_blocks for i in range(1, n_blocks)]
     row = df.select(F.percentile_approx(F.col(order_col).cast("double"), probs, max(10_000, 10 * n_blocks))).first()
-    bounds = sorted(set(float(b) for b in (row[0] or []) if b is not None))
+    bounds = sorted(set(float(b) for b in (row[0] or []) if b is not None)) or [0.0]
     splits = [float("-inf")] + bounds + [float("inf")]
     tmp = f"{out}_in"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
@@ -92,7 +90,7 @@ def prefix_sums(df: DataFrame, order_col: str, sum_cols: list[str],
     part = list(partition_cols)
     df = held(df)
     size = df.agg(F.count(F.lit(1)).alias("n"), (F.count_distinct(F.struct(*part)) if part else F.lit(1)).alias("groups")).first()
-    n_blocks = n_blocks or max(1, -(-size["n"] // BLOCK_ROWS))
+    n_blocks = n_blocks or max(2, -(-size["n"] // BLOCK_ROWS))       # never a constant, which joins would fold
     blk = block_index(df, order_col, n_blocks)
     first_of = F.max_by if descending else F.min_by
     tot = blk.groupBy(*part, "_blk").agg(*[F.sum(c).alias(f"_t_{c}") for c in sum_cols],

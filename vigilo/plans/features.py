@@ -6,8 +6,9 @@
   * the sorted category list of each categorical column (M5);
 ``FeaturePreparerModel.transform`` then builds standardised numerics and
 zero-filled binaries (M4) as column expressions, and looks up each category's
-place in a table joined by value, so that a column with very many categories
-costs a join and a sparse vector, not an expression for each. One-hot parts drop
+place: in a list, or beyond ``SHORT_LIST`` categories in a table joined by
+value, so that a column with very many costs a join and a sparse vector, not an
+expression for each. One-hot parts drop
 the first category (unknown → all zeros); everything is assembled into one
 vector. ``named`` and ``long`` write every feature out and are for few.
 
@@ -33,6 +34,7 @@ from vigilo import config as C
 from vigilo.functions.clean import fill_unknown
 from vigilo.operators.distributed import exact_percentiles
 
+SHORT_LIST = 1_000               # categories that are searched in the row; more are joined
 MAX_CATEGORIES = 5_000_000       # names of a model's features, on the driver as its coefficients are
 
 
@@ -126,6 +128,9 @@ class FeaturePreparerModel(Model, _PrepParams, DefaultParamsReadable, DefaultPar
         """Add a category's place among the kept ones; the first one and unknown
         ones get the place behind the last, which the encoder drops."""
         dropped = len(values) - 1
+        if len(values) <= SHORT_LIST:
+            at = F.array_position(F.array(*[F.lit(v) for v in values[1:]]), fill_unknown(c))
+            return df.withColumn(out, F.when(at > 0, at - 1).otherwise(dropped).cast("double"))
         table = df.sparkSession.createDataFrame(
             pd.DataFrame({f"{out}_v": values[1:], f"{out}_i": [float(i) for i in range(dropped)]}),
             f"{out}_v string, {out}_i double")
