@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 from vigilo.session import scratch_path
 
 MOST_BINS = 255
-SHARD_ROWS = 65_536       # rows of a shard, about: 5 MB of bins at 83 features
+SHARD_ROWS = 131_072      # rows of a shard, about: 11 MB of bins at 83 features
 MOST_TASKS = 64           # tasks of a job; each sends its sums to the driver
 CUT = 25
 LEAST_GAIN = 1e-9

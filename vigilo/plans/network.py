@@ -42,6 +42,7 @@ from pyspark.sql.window import Window
 
 from vigilo.session import scratch_path
 
+SHARDS_OF_TASK = 4         # whose mini-batches one task of a step takes
 MOST_TASKS = 32            # tasks of a step; each sends one gradient
 SCORE_STEPS = 1_000_000    # scores are counted to six places
 SERIES = ["epoch", "train_loss", "val_loss", "train_acc", "val_acc", "train_auc", "val_auc"]
@@ -287,7 +288,7 @@ class NetworkClassifier(Estimator, _NetworkParams, DefaultParamsReadable, Defaul
             raise ValueError("no training rows")
         layers = [size["width"], *get("hidden"), 1]
         shards = -(-size["train"] // get("shardRows"))
-        tasks = min(shards, MOST_TASKS)
+        tasks = min(-(-shards // SHARDS_OF_TASK), MOST_TASKS)
         path, scores = scratch_path(spark, "network-batches"), scratch_path(spark, "network-scores")
         packed(rows, get("idCol"), shards, get("batchRows"), seed).write.parquet(path)
         batches = (spark.read.schema(PACKED).parquet(path).repartition(tasks, "shard")
