@@ -46,13 +46,16 @@ def run_training_csv(spark: SparkSession, reports: str, symptoms: str, vaccines:
 
 def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MODELS,
                 settings: dict | None = None, cv_models=CV_MODELS, explain_model: str = "lightgbm",
-                grids: dict | None = None, history_models=("lightgbm", "mlp")) -> DataFrame:
+                grids: dict | None = None, history_models=("lightgbm", "mlp"), ready: dict | None = None) -> DataFrame:
     """Fit, tune, evaluate, explain and persist; returns (artifact, rows).
 
     ``grids`` maps a model to its parameter grid (None: the reference's); the
     refitted best replaces the model, and its rows in the result tables.
+    ``ready`` may hold what was already computed on this split: ``models`` by
+    name, ``grids`` (results of a grid search by name) and ``cv`` (fold scores).
     """
     settings = settings or {}
+    ready = {"models": {}, "grids": {}, "cv": None} | (ready or {})
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
     written: list[tuple[str, str]] = []
@@ -74,7 +77,7 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     prep = default_preparer(train.columns).fit(M.with_label(train))               # M1–M6, once
     fitted = {}
     for name in models:                                                          # C1–C7
-        fitted[name] = M.fit(train, name, prep_model=prep, **dict(settings.get(name, {})))
+        fitted[name] = ready["models"].get(name) or M.fit(train, name, prep_model=prep, **dict(settings.get(name, {})))
         AR.save_model(fitted[name], f"{out}/models/{name}")                      # S7
     scored = None
     for name, m in fitted.items():                                               # C8
@@ -94,7 +97,7 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     if "cart" in fitted:
         put("tree_text", AR.tree_rules(spark, fitted["cart"].stages[-1], M.feature_names(fitted["cart"])))  # S11
     for name in [n for n in (grids or {}) if n in fitted]:                       # C10, C11, S9
-        results, best, _ = TU.grid_search(spark, train, name, grids[name])
+        results, best, _ = ready["grids"].get(name) or TU.grid_search(spark, train, name, grids[name])
         put("grid", results, "model")
         fitted[name] = best
         best.write().overwrite().save(f"{out}/models/{name}")
@@ -114,8 +117,8 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
         seen, unseen = (rows.where(F.col("is_val") == v).drop("is_val") for v in (False, True))
         m = M.fit(seen, name, **dict(settings.get(name, {})))
         put("history", TU.boosting_history(spark, m, seen, unseen), "model")
-    folds = None
-    for name in [n for n in cv_models if n in fitted]:                           # C9
+    folds = ready["cv"]
+    for name in [n for n in cv_models if n in fitted and ready["cv"] is None]:   # C9
         f = E.fold_scores(TU.cross_validate(train, name, **dict(settings.get(name, {}))))
         folds = f if folds is None else folds.unionByName(f)
     if folds is not None:
