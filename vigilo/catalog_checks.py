@@ -24,6 +24,7 @@ from vigilo.plans import whatif as WI
 from vigilo.plans import workflow as WF
 from vigilo.session import scratch_path
 from vigilo.sources import artifacts as AR
+from vigilo.sources.commits import Commit
 
 
 def _models(names) -> str:
@@ -154,6 +155,31 @@ def q_results_upsert_check(spark, sf):
         F.count_if((F.col("auc") != F.col("roc_auc")) | ((F.col("now") != -1) & (F.col("now") != F.col("accuracy")))).alias("changed"))
 
 
+@register("results_commit_check", O.base() + """
+ SELECT md.model, count(*) AS n, CAST(0 AS BIGINT) AS early, md.model = 'ridge' AS rewritten, CAST(0 AS BIGINT) AS torn
+ FROM split_base CROSS JOIN (VALUES ('logistic'), ('ridge'), ('cart')) md(model) WHERE split = 'test' GROUP BY md.model""")
+def q_results_commit_check(spark, sf):
+    """Scores and metrics of a model change in one commit: no row of either is
+    seen before it (``early``), and after it both are of one version (``torn``)."""
+    out = scratch_path(spark, "commits")
+    scored = WF.scored_test(spark, sf, ("logistic", "ridge", "cart")).withColumn("version", F.lit(1))
+    first = Commit(spark, out)
+    first.table("scores", scored, "model")
+    first.table("metrics", E.test_metrics(scored).withColumn("version", F.lit(1)), "model")
+    first.publish()
+    ridge = scored.where("model = 'ridge'").withColumn("version", F.lit(2))
+    second = Commit(spark, out)
+    second.table("scores", ridge, "model")
+    second.table("metrics", E.test_metrics(ridge).withColumn("version", F.lit(2)), "model")
+    versions = [AR.read_table(spark, f"{out}/{t}").select("model", "version") for t in ("scores", "metrics")]
+    early = versions[0].unionByName(versions[1]).groupBy("model").agg(F.count_if(F.col("version") != 1).alias("early"))
+    second.publish()
+    metrics = AR.read_table(spark, f"{out}/metrics").select("model", F.col("version").alias("of_metrics"))
+    return AR.read_table(spark, f"{out}/scores").join(metrics, "model").groupBy("model").agg(
+        F.count(F.lit(1)).alias("n"), (F.max("version") == 2).alias("rewritten"),
+        F.count_if(F.col("version") != F.col("of_metrics")).alias("torn")).join(early, "model")
+
+
 @register("tree_rules_check", O.base() + """
  SELECT count(*) AS n, CAST(0 AS BIGINT) AS uncovered, CAST(0 AS BIGINT) AS twice FROM split_base WHERE split = 'test'""")
 def q_tree_rules_check(spark, sf):

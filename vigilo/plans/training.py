@@ -3,12 +3,17 @@
 Mirrors the reference's training scripts as one Spark application. Every
 artifact is a Parquet table (results partitioned by ``model``) or a saved
 pipeline under ``out`` — a folder on the shared file system — so the
-dashboard views can read them back instead of recomputing. ``run_training``
+dashboard views can read them back instead of recomputing. The tables of the
+fitted models are published in one commit, and a tuned model replaces its
+pipeline and all its rows in one commit of its own (:mod:`vigilo.sources.commits`),
+so a reader never sees its new metrics beside old curves. ``run_training``
 reads the stand-in extracts, ``run_training_csv`` three CSV extracts.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +29,7 @@ from vigilo.plans.materialize import materialized_split
 from vigilo.plans.sample import assemble
 from vigilo.sources import artifacts as AR
 from vigilo.sources import csv_scan as CS
+from vigilo.sources.commits import Commit
 
 
 CV_MODELS = tuple(m for m in M.ALL_MODELS if m != "mlp")     # as the reference cross-validates
@@ -58,15 +64,12 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     ready = {"models": {}, "grids": {}, "cv": None} | (ready or {})
     train = split.where(F.col("split") == "train")
     test = split.where(F.col("split") == "test")
-    written: list[tuple[str, str]] = []
+    written: list[str] = []
+    commit = Commit(spark, out)
 
-    def put(name: str, df: DataFrame, partition_by: str | None = None) -> None:
-        path = f"{out}/{name}"
-        if partition_by:
-            AR.upsert_results(df, path, partition_by)
-        else:
-            AR.write_table(df, path)
-        written.append((name, path))
+    def put(name: str, df: DataFrame, partition_by: str | None = None) -> DataFrame:
+        written.append(name)
+        return commit.table(name, df, partition_by)
 
     put("sample", split.drop("split", "fold"))                                   # S4
     put("y_test", test.select(C.KEY, C.LABEL))                                   # S5
@@ -78,14 +81,13 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
     fitted = {}
     for name in models:                                                          # C1–C7
         fitted[name] = ready["models"].get(name) or M.fit(train, name, prep_model=prep, **dict(settings.get(name, {})))
-        AR.save_model(fitted[name], f"{out}/models/{name}")                      # S7
+        commit.model(name, fitted[name])                                         # S7
     scored = None
     for name, m in fitted.items():                                               # C8
         s = M.score(m, test, name)
         scored = s if scored is None else scored.unionByName(s)
     # Metrics and curves read the scores, they do not score again.
-    put("scores", scored, "model")
-    scored = AR.read_table(spark, f"{out}/scores")
+    scored = put("scores", scored, "model")
     put("metrics", E.test_metrics(scored), "model")                              # S8
     put("roc_points", E.roc_points(scored), "model")
     put("pr_points", E.pr_points(scored), "model")
@@ -96,11 +98,13 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
         put("importances", importance_table(spark, trees), "model")             # C12
     if "cart" in fitted:
         put("tree_text", AR.tree_rules(spark, fitted["cart"].stages[-1], M.feature_names(fitted["cart"])))  # S11
+    commit.publish()
     for name in [n for n in (grids or {}) if n in fitted]:                       # C10, C11, S9
+        commit = Commit(spark, out)
         results, best, _ = ready["grids"].get(name) or TU.grid_search(spark, train, name, grids[name])
         put("grid", results, "model")
         fitted[name] = best
-        best.write().overwrite().save(f"{out}/models/{name}")
+        commit.model(name, best)
         tuned = M.score(best, test, name)
         put("metrics", E.test_metrics(tuned), "model")
         put("roc_points", E.roc_points(tuned), "model")
@@ -109,14 +113,19 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
         put("importances", importance_table(spark, {name: best}), "model")
         if name == "cart":
             put("tree_text", AR.tree_rules(spark, best.stages[-1], M.feature_names(best)))
+        commit.publish()
+    commit = Commit(spark, out)
+    histories = []
     for name in [n for n in history_models if n in fitted]:                      # R4, C14
         if name == "mlp":
-            put("history", M.training_history(spark, fitted[name], name), "model")
+            histories.append(M.training_history(spark, fitted[name], name))
             continue
         rows = validation_holdout(train)
         seen, unseen = (rows.where(F.col("is_val") == v).drop("is_val") for v in (False, True))
         m = M.fit(seen, name, **dict(settings.get(name, {})))
-        put("history", TU.boosting_history(spark, m, seen, unseen), "model")
+        histories.append(TU.boosting_history(spark, m, seen, unseen))
+    if histories:
+        put("history", reduce(DataFrame.unionByName, histories), "model")
     folds = ready["cv"]
     for name in [n for n in cv_models if n in fitted and ready["cv"] is None]:   # C9
         f = E.fold_scores(TU.cross_validate(train, name, **dict(settings.get(name, {}))))
@@ -134,7 +143,8 @@ def train_split(spark: SparkSession, split: DataFrame, out: str, models=M.ALL_MO
         names = M.feature_names(m)
         put("feature_names", spark.createDataFrame(list(enumerate(names)), "position int, feature string"))
 
-    counts = [(name, AR.read_table(spark, path).count()) for name, path in dict(written).items()]
+    commit.publish()
+    counts = [(name, AR.read_table(spark, f"{out}/{name}").count()) for name in dict.fromkeys(written)]
     return spark.createDataFrame(counts, "artifact string, rows long")
 
 
