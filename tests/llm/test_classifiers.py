@@ -124,3 +124,27 @@ def test_tokens_are_words_and_symbols():
         assert bucket.setdefault(t, b) == b
     assert len(set(bucket.values())) > 0.8 * len(bucket)
     assert (Q.tokens_of(["pad pad", "###"])[0][-3:] == Q.tokens_of(["###"])[0]).all()
+
+
+def test_tokens_do_not_depend_on_the_texts_beside(monkeypatch):
+    texts = ["some words, and wörds!", "x" * 30, "日本語テキスト words " * 4, "", "a-b_c " * 9, "z" * 95 + " end"]
+    alone = [Q.tokens_of([t])[0].tolist() for t in texts]
+    for size in (32, 41, 64, 100):
+        monkeypatch.setattr(Q, "SLICE", size)
+        short = [i for i, t in enumerate(texts) if max((len(w.encode()) for w in t.split()), default=0) <= size]
+        mine = [Q.tokens_of([t])[0].tolist() for t in texts]
+        assert [mine[i] for i in short] == [alone[i] for i in short]
+        for pad in range(0, 2 * size, 3):
+            tokens, lengths = Q.tokens_of(["p" * pad, *texts])
+            got = np.split(tokens, np.cumsum(lengths)[:-1])[1:]
+            assert [g.tolist() for g in got] == mine
+
+
+def test_quality_scores_do_not_depend_on_the_cut(real_docs, spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    long = spark.createDataFrame([(10 ** 9, "mot " * 300_000 + "x" * 50, "fr", "s", 0)], real_docs.schema)
+    docs = real_docs.unionByName(long)
+    model = Q.fit(docs, labels)
+    got = [{r.doc_id: r.score for r in Q.score(docs.repartition(n), model).collect()} for n in (1, 7, 50)]
+    assert got[0] == got[1] == got[2]
+    assert {i: v for i, v in got[0].items() if i != 10 ** 9} == {r.doc_id: r.score for r in Q.score(real_docs, model).collect()}

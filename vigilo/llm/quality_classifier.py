@@ -65,7 +65,9 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all tokens, and the number of tokens of each text.
 
     Tokens are found and hashed as stretches of the joined bytes, a bounded
-    number of bytes at a time; a token that spans two such slices is cut.
+    number of bytes at a time. Such a slice ends before a word that it does not
+    hold whole, so that a text's tokens do not depend on the texts beside it; a
+    word of more than ``SLICE`` bytes counts as pieces of that size.
     """
     if not _PRINTS:
         _PRINTS.append(Fingerprints(SLICE))
@@ -73,9 +75,17 @@ def tokens_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     bounds = np.cumsum([0, *map(len, data)])
     joined = np.frombuffer(b"".join(data), dtype=np.uint8)
     buckets, begins = [], []
-    for at in range(0, len(joined), SLICE):
-        part = joined[at:at + SLICE]
-        kind = KINDS[part]
+    following = 0
+    while following < len(joined):
+        at = following
+        kind = KINDS[joined[at:at + SLICE]]
+        following = at + len(kind)
+        if following < len(joined) and kind[-1] == 1 and KINDS[joined[following]] == 1:
+            outside = np.flatnonzero(kind != 1)
+            if len(outside):
+                kind = kind[:outside[-1] + 1]
+                following = at + len(kind)
+        part = joined[at:following]
         word = np.concatenate([[False], kind == 1, [False]])
         begin = np.flatnonzero((kind == 2) | (word[1:-1] & ~word[:-2]))
         end = begin + 1
