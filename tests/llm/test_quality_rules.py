@@ -107,3 +107,47 @@ def test_small_and_unknown_languages_are_not_held_against_others(spark):
     got = {r.doc_id: r for r in Q.quality_rules(docs).collect()}
     assert all(got[i].kept for i in range(3000, len(texts)))
     assert got[len(texts) - 2].class_distance is None and got[len(texts) - 1].word_distance is None
+
+
+def test_a_verdict_follows_the_text_alone(spark):
+    english = [f"{a}{b}" for a in "the of and to in for was he on".split() for b in ("", "r", "ing", "se", "ly")]
+    clean, signs = varied(english, 1, 7)[0], " ".join(f"#{i}$%&|<>{i * i}" for i in range(90))
+    salad = " ".join(random.Random(1).choices(english[:3], weights=(8, 1, 1), k=400))
+    langs = ["en", "EN", "zz", "", None]
+    odd = [(t, lang) for t in (clean, signs, salad) for lang in langs]
+    texts = odd + [(t, "en") for t in varied(english, 500, 0)]
+    docs = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(texts)], "doc_id bigint, text string, lang string")
+    got = {r.doc_id: r for r in Q.judge(docs, Q.references(docs.where(f"doc_id >= {len(odd)}"))).collect()}
+    for k, kept in enumerate((True, False, None)):
+        verdicts = {tuple(got[i])[1:] for i in range(k * len(langs), (k + 1) * len(langs))}
+        assert len(verdicts) == 1 and (kept is None or verdicts.pop()[-1] == kept)
+    assert got[len(langs)].class_distance > Q.Settings().max_class_distance
+
+
+def test_whole_result_by_plain_rules(odd_docs, real_docs):
+    """``kept`` from distances that are taken over plain histograms."""
+    s = Q.Settings()
+    for docs in (real_docs, odd_docs):
+        refs = Q.references(docs)
+        number = Q.byte_classes()
+        texts = {}
+        for r in docs.select("doc_id", "text").collect():
+            texts.setdefault(r.doc_id, []).append(r.text or "")
+        for r in Q.judge(docs, refs).collect():
+            if r.base_failed:
+                assert not r.kept
+                continue
+            assert r.kept == ((r.class_distance is None or r.class_distance <= s.max_class_distance)
+                              and (r.word_distance is None or r.word_distance <= s.max_word_distance))
+            if r.word_distance is None or len(texts[r.doc_id]) > 1:
+                continue
+            text = texts[r.doc_id][0]
+            words, chars = Counter(WORD.findall(text.lower())), Counter(int(number[b]) for b in text.encode())
+            by = []
+            for ref in refs.values():
+                bins = [words[w.decode()] for w in ref["words"]]
+                p, q = np.array([*bins, sum(words.values()) - sum(bins)]), np.array([[*ref["words"].values(), ref["rest"]]])
+                c = np.array([chars[i] for i in range(len(Q.CLASSES))])
+                by.append((Q.js_distance(c, np.array([ref["classes"]]))[0], Q.js_distance(p, q)[0]))
+            want = min(by, key=sum)
+            assert abs(want[0] - r.class_distance) < 1e-9 and abs(want[1] - r.word_distance) < 1e-9

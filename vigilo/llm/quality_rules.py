@@ -10,9 +10,12 @@ noise, so each test has a minimum length, below which it says nothing.
 References are counts over all documents: the character classes of each
 ``lang``, its script, and the shares of its most frequent words. A language has
 a reference if it has words enough for a stable histogram (``min_words``),
-however large the others are. The nearest language decides, not a document's
-own ``lang``, so a wrong or null one does no harm. Where the document's
-language or script has no reference the tests say nothing.
+however large the others are. A document's own ``lang`` only counts for the
+references; its verdict follows its text alone. The nearest language decides. A
+text that holds hardly any common word of any reference (``min_common_share`` of
+what is usual) is of a language without one: the word test says nothing of it,
+and the class test takes all letters as one class, since languages differ in
+theirs. Where the script of most letters has no reference no test speaks.
 
 A null text is empty. Empty and short texts fail the base rule. Without any
 reference (no rows, or all languages null) only the base rule decides.
@@ -40,6 +43,7 @@ MAX_REPEAT_PERCENT = 50
 #: Classes of bytes; every byte of the UTF-8 text is in exactly one.
 CLASSES = ("vowel", "consonant", "upper", "digit", "space", "line", "stop", "comma", "mark",
            "bracket", "symbol", "beyond", "control")
+LETTERS = ("vowel", "consonant", "upper", "beyond")  # one class for languages without a reference
 FLUSH_WORDS = 200_000  # distinct words a task counts before it passes them on
 CHUNK = 4_000_000
 TOP_PARTS = 32         # a language's words are ranked in so many parts, so that no task has all
@@ -56,6 +60,7 @@ class Settings:
     max_word_distance: float = 0.45
     min_chars: int = 200             # below, the class test says nothing
     min_common_words: int = 100      # words, below which the word test says nothing
+    min_common_share: float = 0.25   # of a reference's share of common words, for its language
 
 
 def byte_classes() -> np.ndarray:
@@ -193,8 +198,8 @@ def language_counts(docs: DataFrame) -> DataFrame:
 
 def references(docs: DataFrame, settings: Settings = Settings()) -> dict:
     """The languages' references. What reaches the driver follows the number
-    of languages with ``min_words``: at most ``TOP_PARTS`` times
-    ``common_words`` rows for each."""
+    of languages with ``min_words``: ``common_words`` rows for each, and its
+    classes and scripts."""
     counts = written(language_counts(docs), "language-counts")
     totals = counts.where("kind = 'word'").groupBy("lang").agg(F.sum("n").alias("words"))
     langs = {r["lang"]: r["words"] for r in totals.where(F.col("words") >= settings.min_words).collect()}
@@ -202,8 +207,10 @@ def references(docs: DataFrame, settings: Settings = Settings()) -> dict:
         return {}
     own = counts.join(F.broadcast(totals.where(F.col("words") >= settings.min_words).select("lang")), "lang", "left_semi")
     part = Window.partitionBy("lang", F.pmod(F.xxhash64("item"), F.lit(TOP_PARTS))).orderBy(F.desc("n"), "item")
+    whole = Window.partitionBy("lang").orderBy(F.desc("n"), "item")
     top: dict = {}
     for r in (own.where("kind = 'word'").withColumn("rank", F.row_number().over(part))
+              .where(F.col("rank") <= settings.common_words).withColumn("rank", F.row_number().over(whole))
               .where(F.col("rank") <= settings.common_words).collect()):
         top.setdefault(r["lang"], []).append((-r["n"], r["item"].encode()))
     bins: dict = {}
@@ -225,8 +232,13 @@ class Judge:
     def __init__(self, refs: dict, settings: Settings):
         self.settings = settings
         self.classes, self.table = byte_classes(), script_table()
-        self.langs, self.scripts = frozenset(refs), frozenset(r["script"] for r in refs.values())
+        self.scripts = frozenset(r["script"] for r in refs.values())
         self.class_refs = np.array([r["classes"] for r in refs.values()], dtype=float).reshape(len(refs), len(CLASSES))
+        # Sums the letter classes into one, keeps the others.
+        self.merge = np.zeros((len(CLASSES), 1 + len(CLASSES) - len(LETTERS)))
+        others = [c for c in CLASSES if c not in LETTERS]
+        for i, c in enumerate(CLASSES):
+            self.merge[i, 0 if c in LETTERS else 1 + others.index(c)] = 1
         self.vocab: dict[bytes, list[tuple[int, int]]] = {}
         width = 1 + max([0, *(len(r["words"]) for r in refs.values())])
         self.word_refs = np.zeros((len(refs), width))
@@ -240,16 +252,20 @@ class Judge:
         s = self.settings
         if not len(self.class_refs):
             return None, None
+        seen = np.zeros_like(self.word_refs)
+        n = np.bincount(ids, minlength=len(number))
+        for w, k in number.items():
+            for lang, i in self.vocab.get(w.decode().lower().encode(), ()):
+                seen[lang, i] += n[k]
+        common = seen[:, :-1].sum(axis=1)
+        seen[:, -1] = len(ids) - common
+        known = (common >= s.min_common_share * (1 - self.word_refs[:, -1]) * len(ids)).any()
         by_class = by_word = None
         if len(data) >= s.min_chars:
-            by_class = js_distance(class_counts(data, self.classes), self.class_refs)
-        if len(ids) >= s.min_common_words:
-            seen = np.zeros_like(self.word_refs)
-            n = np.bincount(ids, minlength=len(number))
-            for w, k in number.items():
-                for lang, i in self.vocab.get(w.decode().lower().encode(), ()):
-                    seen[lang, i] += n[k]
-            seen[:, -1] = len(ids) - seen[:, :-1].sum(axis=1)
+            counts = class_counts(data, self.classes)
+            by_class = (js_distance(counts, self.class_refs) if known
+                        else js_distance(counts @ self.merge, self.class_refs @ self.merge))
+        if known and len(ids) >= s.min_common_words:
             by_word = js_distance(seen, self.word_refs)
         both = [d for d in (by_class, by_word) if d is not None]
         if not both:
@@ -258,21 +274,19 @@ class Judge:
         best = int(np.argmin(sum(both)))
         return tuple(None if d is None else float(d[best]) for d in (by_class, by_word))
 
-
-    def comparable(self, data: bytes, lang: str | None) -> bool:
-        """Whether there is a reference of the language, if it is given, and of
-        the script that most letters are of."""
+    def comparable(self, data: bytes) -> bool:
+        """Whether there is a reference of the script that most letters are of."""
         counts = script_counts(data, self.table)
-        return (lang is None or lang in self.langs) and (not counts.any() or int(counts.argmax()) in self.scripts)
+        return not counts.any() or int(counts.argmax()) in self.scripts
 
-    def verdict(self, text: str, lang: str | None = None) -> dict:
+    def verdict(self, text: str) -> dict:
         """The base counts, distances and decision of one text."""
         s = self.settings
         counts, ids, number = base_counts(text)
         failed = (counts["n_words"] < MIN_WORDS
                   or 100 * counts["n_repeat_words"] > MAX_REPEAT_PERCENT * counts["n_words"])
         data = text.encode()
-        by_class, by_word = ((None, None) if failed or not self.comparable(data, lang)
+        by_class, by_word = ((None, None) if failed or not self.comparable(data)
                              else self.distances(data, ids, number))
         near = ((by_class is None or by_class <= s.max_class_distance)
                 and (by_word is None or by_word <= s.max_word_distance))
@@ -287,10 +301,10 @@ def judge(docs: DataFrame, refs: dict, settings: Settings = Settings()) -> DataF
     def run(c):
         if not known:
             known.append(Judge(refs, settings))
-        verdicts = [known[0].verdict(text or "", lang) for text, lang in zip(c["text"], c["lang"])]
+        verdicts = [known[0].verdict(text or "") for text in c["text"]]
         return {"doc_id": c["doc_id"], **{k: [v[k] for v in verdicts] for k in verdicts[0]}}
 
-    return map_columns(docs.select("doc_id", "text", "lang"), run, RULES)
+    return map_columns(docs.select("doc_id", "text"), run, RULES)
 
 
 def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -300,8 +314,7 @@ def kept(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     def run(batches):
         j = Judge(refs, settings)
         for batch in batches:
-            keep = [j.verdict(t or "", lang)["kept"]
-                    for t, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist())]
+            keep = [j.verdict(t or "")["kept"] for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array(keep, type=pa.bool_()))
         give_back()
 
