@@ -72,3 +72,26 @@ def test_pieces_follow_each_other(make_docs):
 def test_a_batch_must_hold_a_sequence(make_docs):
     with pytest.raises(ValueError):
         P.pack(make_docs(["a"]), P.Settings(max_length=10, batch_tokens=9))
+
+
+def test_rows_without_id_are_no_large_group(spark, monkeypatch):
+    texts = ["a " * (1 + i % 37) for i in range(4000)]
+    docs = spark.createDataFrame([(None if i % 3 == 0 else i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    tables = {}
+    write = P.written
+    monkeypatch.setattr(P, "written", lambda df, name: tables.setdefault(name, write(df, name)))
+    check(docs, P.Settings(max_length=64, buckets=3, batch_tokens=256, block_rows=100))
+    assert tables["sequences"].where("doc_id IS NULL").count() <= 37  # a third of the rows, a row for each length
+
+
+def test_copies_are_expanded_in_parts(make_docs):
+    docs = make_docs(["w " * 7, "x y z"]).drop("doc_id").selectExpr("CAST(NULL AS bigint) AS doc_id", "text")
+    docs = docs.crossJoin(docs.sparkSession.range(45)).drop("id")
+    for copies in (1, 4, 45, 1000):
+        check(docs, P.Settings(max_length=5, buckets=2, batch_tokens=20, copies=copies))
+
+
+def test_repartitioning_changes_nothing(odd_docs):
+    s = P.Settings(max_length=512, batch_tokens=2048, block_rows=30)
+    rows = lambda d: sorted(map(str, P.pack(d, s).collect()))
+    assert rows(odd_docs) == rows(odd_docs.repartition(7))

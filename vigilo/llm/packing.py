@@ -8,8 +8,10 @@ boundary's length.
 
 A text longer than ``max_length`` words becomes consecutive pieces of that
 length and a rest, so no word is lost. Null and empty texts have no words and
-no row. Repeated rows are packed once each. Numbering follows a hash of the
-document and the piece, within blocks of bounded size whose counts are summed
+no row. Repeated rows are packed once each. Sequences that agree in document,
+piece and length (repeated rows, rows without an id) are counted as one with a
+weight, so no id makes a large group, and stand next to each other. Numbering
+follows a hash of these, within blocks of bounded size whose counts are summed
 into offsets, so no task sees a whole bucket and batches stay full across
 blocks.
 """
@@ -31,7 +33,8 @@ class Settings:
     max_length: int = 2048        # words of a sequence; also bounds the histogram's rows
     buckets: int = 8
     batch_tokens: int = 16_384    # padded words of a batch
-    block_rows: int = 50_000      # sequences that one task numbers, about
+    block_rows: int = 50_000      # different sequences that one task numbers, about
+    copies: int = 10_000          # like sequences that one row is expanded into
 
 
 def word_count(text: Column) -> Column:
@@ -94,29 +97,43 @@ def pack(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     if settings.batch_tokens < settings.max_length:
         raise ValueError("a batch must hold the longest sequence")
-    rows = written(sequences(docs, settings), "sequences")
+    key = ("doc_id", "piece", "start_word", "n_words")
+    rows = written(sequences(docs, settings).groupBy(*key).agg(F.count(F.lit(1)).alias("copies")), "sequences")
     # At most max_length rows.
-    histogram = sorted(map(tuple, rows.groupBy("n_words").count().collect()))
-    lengths, counts = np.array(histogram, dtype=np.int64).reshape(-1, 2).T
+    histogram = sorted(map(tuple, rows.groupBy("n_words").agg(F.sum("copies"), F.count(F.lit(1))).collect()))
+    lengths, counts, different = np.array(histogram, dtype=np.int64).reshape(-1, 3).T
     bounds, _ = optimal_boundaries(lengths, counts, settings.buckets)
     if not bounds:
-        return rows.select("*", *(F.lit(None).cast(t).alias(c) for c, t in
-                                  (("bucket", "int"), ("bucket_length", "bigint"), ("batch", "bigint"), ("slot", "bigint"))))
+        return rows.select(*key, *(F.lit(None).cast(t).alias(c) for c, t in
+                                   (("bucket", "int"), ("bucket_length", "bigint"), ("batch", "bigint"), ("slot", "bigint"))))
     upper = F.array([F.lit(b).cast("bigint") for b in bounds])
     bucket = sum((F.col("n_words") > b).cast("int") for b in bounds)
-    blocks = max(1, -(-int(counts.sum()) // settings.block_rows))
+    blocks = max(1, -(-int(different.sum()) // settings.block_rows))
     rows = rows.withColumn("bucket", bucket).withColumn(
-        "block", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+        "block", F.pmod(F.xxhash64("doc_id", "piece", "n_words"), F.lit(blocks)).cast("int"))
     # buckets x blocks rows: a few for every block_rows sequences.
-    sizes = rows.groupBy("bucket", "block").agg(F.count(F.lit(1)).alias("n"))
+    sizes = rows.groupBy("bucket", "block").agg(F.sum("copies").alias("n"))
     before = Window.partitionBy("bucket").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("bucket", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    within = Window.partitionBy("bucket", "block").orderBy(F.xxhash64("piece", "doc_id"), "doc_id", "piece")
-    numbered = rows.withColumn("place", F.row_number().over(within) - 1)
-    place = (F.col("offset") + F.col("place")).alias("place")
-    length = F.element_at(upper, F.col("bucket") + 1)
-    room = F.floor(F.lit(settings.batch_tokens) / F.col("bucket_length"))
-    return (numbered.join(offsets, ["bucket", "block"])
-            .select("doc_id", "piece", "start_word", "n_words", "bucket", length.alias("bucket_length"), place)
-            .select("doc_id", "piece", "start_word", "n_words", "bucket", "bucket_length",
-                    F.floor(F.col("place") / room).alias("batch"), F.pmod(F.col("place"), room).alias("slot")))
+    within = (Window.partitionBy("bucket", "block").orderBy(F.xxhash64("piece", "doc_id", "n_words"), "doc_id", "piece", "n_words")
+              .rowsBetween(Window.unboundedPreceding, -1))
+    numbered = (rows.withColumn("first", F.coalesce(F.sum("copies").over(within), F.lit(0)))
+                .join(offsets, ["bucket", "block"])
+                .select(*key, "bucket", "copies", (F.col("offset") + F.col("first")).alias("first")))
+    return expanded(numbered, settings.copies).select(
+        *key, "bucket", F.element_at(upper, F.col("bucket") + 1).alias("bucket_length"), "place").withColumn(
+        "room", F.floor(F.lit(settings.batch_tokens) / F.col("bucket_length"))).select(
+        *key, "bucket", "bucket_length", F.floor(F.col("place") / F.col("room")).alias("batch"),
+        F.pmod("place", "room").alias("slot"))
+
+
+def expanded(numbered: DataFrame, most: int) -> DataFrame:
+    """A row for each copy, with its ``place``: those with more than ``most``
+    copies are first split into rows of at most so many and dealt anew."""
+    part = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("copies") - 1) / most)))
+    split = (numbered.where(F.col("copies") > most).withColumn("part", part)
+             .withColumn("first", F.col("first") + F.col("part") * most)
+             .withColumn("copies", F.least(F.lit(most).cast("bigint"), F.col("copies") - F.col("part") * most))
+             .repartition("first", "bucket").drop("part"))
+    rows = numbered.where(F.col("copies") <= most).unionByName(split)
+    return rows.withColumn("place", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)))
