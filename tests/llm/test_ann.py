@@ -86,3 +86,19 @@ def test_a_frequent_vector_is_dealt_over_blocks(spark):
     settings = A.Settings(block_rows=50, block_queries=16)
     got = by_query(A.nearest(spark.createDataFrame(rows, DDL), F.col("vec_id") % 50 == 0, 5, settings).collect())
     assert [i for i, _ in got[0]] == [1, 2, 3, 4, 5] and [i for i, _ in got[100]] == [0, 1, 2, 3, 4]
+
+
+def test_five_are_found_where_partitions_hold_fewer(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 4))
+    x[:, 0] = np.where(np.arange(60) < 57, 1, -1)  # three rows in a partition of their own
+
+    by_sign = A.Router.__new__(A.Router)
+    by_sign.scale, by_sign.p = 1.0, [np.array([[1.0, -1], [0, 0], [0, 0], [0, 0]]), np.zeros(2), np.eye(2), np.zeros(2)]
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], DDL)
+    monkeypatch.setattr(A, "learn", lambda *args: (by_sign, 2, 1))
+    got = by_query(A.nearest(vectors, F.col("vec_id") % 29 == 0, 5).collect())
+    every = brute(list(range(60)), x, [0, 29, 58], 5)
+    own = brute(list(range(57)), x[:57], [0, 29], 5)
+    assert {q: [i for i, _ in n] for q, n in got.items()} == {
+        q: [i for i, _ in n] for q, n in {**own, 58: every[58]}.items()}

@@ -7,10 +7,11 @@ A small network learns which partition a vector belongs to. Every vector is
 indexed under its most probable partition; a query goes to its several most
 probable ones, and what it meets there is ranked by exact cosine. How many
 those are is measured: as many as queries kept aside from the sample need to
-find ``Settings.recall`` of their true neighbours.
+find ``Settings.recall`` of their true neighbours. Queries that meet fewer than
+``k`` candidates there are held against all partitions, in the same blocks.
 
-Partitions follow the number of rows (``Settings.rows_per_partition``), and
-a partition that holds more than a block of rows is dealt over as many tasks
+Partitions follow the number of rows (``Settings.rows_per_partition``) up to as
+many as the sample can fill (256 by default; beyond, they grow), and a partition that holds more than a block of rows is dealt over as many tasks
 as it has blocks, so neither a frequent vector nor a dense region lands in
 one task. Query blocks bound the other side.
 
@@ -229,21 +230,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, settings: Settings
     # At most most_partitions rows.
     sizes = {p: n for p, n in indexed.groupBy(F.col("parts")[0].alias("part")).count().collect()}
     blocks = F.array(*(F.lit(max(1, -(-sizes.get(p, 0) // settings.block_rows))) for p in range(parts)))
-    asked = indexed.where("is_query").select("vec_id", "embedding", F.explode("parts").alias("part"))
-    asked_sizes = {p: n for p, n in asked.groupBy("part").count().collect()}
-    query_blocks = F.array(*(F.lit(max(1, -(-asked_sizes.get(p, 0) // settings.block_queries))) for p in range(parts)))
-
-    def block(of: Column, part: Column, salt: str) -> Column:
-        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.element_at(of, part + 1)).cast("int")
-
-    def every(of: Column, part: Column) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.element_at(of, part + 1) - 1))
-
-    own = F.col("parts")[0]
-    right = (indexed.select("vec_id", "embedding", own.alias("part"), block(blocks, own, "row").alias("row_block"))
-             .select("*", every(query_blocks, F.col("part")).alias("query_block")))
-    left = (asked.select("*", block(query_blocks, F.col("part"), "query").alias("query_block"))
-            .select("*", every(blocks, F.col("part")).alias("row_block")))
     schema = arrow_schema("query_id bigint, vec_id bigint, score double")
 
     def search(l: pa.Table, r: pa.Table) -> pa.Table:
@@ -253,9 +239,36 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, settings: Settings
         i, j, score = nearest_in_block(qid, matrix(l.column("embedding")), rid, matrix(r.column("embedding")), k)
         return pa.table({"query_id": qid[i], "vec_id": rid[j], "score": score}, schema=schema)
 
-    keys = ("part", "row_block", "query_block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
-    best = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .select("query_id", "rank", "vec_id", "score"))
+    def block(of: Column, part: Column, salt: str) -> Column:
+        return F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.element_at(of, part + 1)).cast("int")
+
+    def every(of: Column, part: Column) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.element_at(of, part + 1) - 1))
+
+    def found(asked: DataFrame) -> DataFrame:
+        """The k best rows that each query (vec_id, embedding, part) meets."""
+        asked_sizes = {p: n for p, n in asked.groupBy("part").count().collect()}
+        query_blocks = F.array(*(F.lit(max(1, -(-asked_sizes.get(p, 0) // settings.block_queries))) for p in range(parts)))
+        own = F.col("parts")[0]
+        right = (indexed.select("vec_id", "embedding", own.alias("part"), block(blocks, own, "row").alias("row_block"))
+                 .select("*", every(query_blocks, F.col("part")).alias("query_block")))
+        left = (asked.select("*", block(query_blocks, F.col("part"), "query").alias("query_block"))
+                .select("*", every(blocks, F.col("part")).alias("row_block")))
+        keys = ("part", "row_block", "query_block")
+        met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(search, "query_id bigint, vec_id bigint, score double")
+        best = met.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return (best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+                .select("query_id", "rank", "vec_id", "score"))
+
+    queries = indexed.where("is_query")
+    first = found(queries.select("vec_id", "embedding", F.explode("parts").alias("part")))
+    if probes == parts:
+        return first
+    first = written(first, "found")
+    full = first.where(F.col("rank") == k).select("query_id")
+    short = written(queries.select("vec_id", "embedding").join(full, F.col("vec_id") == F.col("query_id"), "left_anti"), "short")
+    if short.isEmpty():
+        return first
+    everywhere = F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")
+    return first.join(full, "query_id", "left_semi").unionByName(found(short.select("vec_id", "embedding", everywhere)))
