@@ -11,8 +11,9 @@ break alone does not tell whether a record ends. :func:`records` reads the
 file's lines in as many splits as it has: the number of quotes of each split,
 odd or even, summed over the splits before it tells whether the split begins
 inside a quoted field, and the same running sum inside a split tells which
-lines begin a record. Lines of one record are joined again, and each record is
-parsed on its own. Quotes inside fields must be doubled and their field
+lines begin a record. Where a split has no line with an odd number of quotes and
+begins outside a field, each line is a record, and nothing is moved or sorted.
+Lines of one record are joined again, and each record is parsed on its own. Quotes inside fields must be doubled and their field
 quoted, as in any CSV that Spark reads with these options. Files known to have
 no line breaks in fields can be read line by line with ``multiline=False``.
 """
@@ -43,16 +44,22 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     by_block = Window.partitionBy("file").orderBy("block")
     before = by_block.rowsBetween(Window.unboundedPreceding, -1)
     begins = (lines.groupBy("file", "block").agg(                                  # a row for each split
-        F.sum("odd").alias("odd"), F.min_by(F.col("value").endswith("\r"), "line").alias("two"))
-        .select("file", "block", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("open"), F.first("two").over(by_block).alias("two")))
+        F.sum("odd").alias("odd"), F.min_by(F.col("value").endswith("\r"), "line").alias("two"), F.min("line").alias("first"))
+        .select("file", "block", "odd", "first", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("open"),
+                F.first("two").over(by_block).alias("two")))
+    # A split's lines have consecutive numbers, so where all are records they need no window.
+    begins = begins.withColumn("plain", (F.col("odd") == 0) & (F.col("open") % 2 == 0)).drop("odd")
+    placed = lines.join(F.broadcast(begins), ["file", "block"])
+    plain = placed.where("plain").select("file", "block", (F.col("line") - F.col("first") + 1).alias("number"), "two", F.col("value").alias("text"))
     within = Window.partitionBy("file", "block").orderBy("line")
     so_far = F.coalesce(F.sum("odd").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = lines.join(begins, ["file", "block"]).withColumn("starts", (F.col("open") + so_far) % 2 == 0)
+    starts = placed.where("NOT plain").withColumn("starts", (F.col("open") + so_far) % 2 == 0)
     numbered = starts.withColumns({
         "number": F.sum(F.col("starts").cast("long")).over(within.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
         "alone": F.col("starts") & ((F.col("odd") == 0))})
     # Lines before a split's first record end the last record of a split before it.
-    counts = numbered.groupBy("file", "block").agg(F.max("number").alias("n"))
+    counts = numbered.groupBy("file", "block").agg(F.max("number").alias("n")).unionByName(
+        plain.groupBy("file", "block").agg(F.max("number").alias("n")))
     owner = F.last(F.when(F.col("n") > 0, F.struct("block", "n")), ignorenulls=True).over(before)
     owners = counts.select("file", "block", owner.alias("owner"))
     single = numbered.where("alone").select("file", "block", "number", "two", F.col("value").alias("text"))
@@ -64,7 +71,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
         "file", F.col("first").alias("block"), "number", "two", F.array_join(F.col("parts.value"), "\n").alias("text"))
     one_break = F.replace(F.concat(F.col("text"), F.lit("\n")), F.lit("\r\n"), F.lit("\n"))
     text = F.when(F.col("two"), F.left(one_break, F.length(one_break) - 1)).otherwise(F.col("text"))
-    return single.unionByName(joined).select("file", "block", "number", text.alias("text"))
+    return plain.unionByName(single).unionByName(joined).select("file", "block", "number", text.alias("text"))
 
 
 def read_records(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
