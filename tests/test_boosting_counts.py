@@ -1,39 +1,40 @@
-"""Sums of a node by patterns of two-valued features; one task for a bounded fit; equal gains."""
+"""Rows of a node are dealt once; one task for a bounded fit; leaf values."""
 
 import numpy as np
-import pytest
 
 from vigilo import config as C
 from vigilo.operators import explain as XP
 from vigilo.plans import boosting as B
 
 
-@pytest.mark.parametrize("two", [0, 1, B.PATTERN, 2 * B.PATTERN + 3])
-def test_sums_by_patterns_equal_plain_sums(two):
-    rng = np.random.default_rng(two)
-    sizes = np.array([2] * (two // 2) + [1, 7, 2 if two % 2 else 1, 255] + [2] * (two // 2))
-    bins = np.asfortranarray(np.stack([rng.integers(0, s, 400) for s in sizes], axis=1).astype(np.uint8))
-    g, h, rows = rng.normal(size=400), rng.random(400), np.flatnonzero(rng.random(400) < 0.4)
-    got = B.histogram(B.coded(bins, sizes), sizes, rows, g, h)
-    want = np.concatenate([[[g[at].sum(), h[at].sum(), len(at)] for b in range(s) for at in [rows[bins[rows, k] == b]]]
-                           for k, s in enumerate(sizes)])
-    assert np.allclose(got, want) and (got[:, 2] == want[:, 2]).all()
+def test_rows_dealt_to_children_once():
+    rng = np.random.default_rng(1)
+    sizes = np.array([2, 7, 2, 40])
+    bins = np.stack([rng.integers(0, s, 500) for s in sizes], axis=1).astype(np.uint8)
+    y, w = rng.integers(0, 2, 500).astype(float), rng.random(500) + 0.5
+    shard = B.begun({"group": 0, "shard": 0, "n": 500, "bins": bins.tobytes(), "y": y.tobytes(), "w": w.tobytes()}, {0: -0.4}, {0: 1})
+    tree = {"left": np.array([1, -1, 3, -1, -1]), "right": np.array([2, -1, 4, -1, -1]), "feature": np.array([3, 0, 1, 0, 0]),
+            "bin": np.array([20, 0, 3, 0, 0])}
+    leaf = np.where(bins[:, 3] <= 20, 1, np.where(bins[:, 1] <= 3, 3, 4))
+    assert (B.descend(shard.columns, tree) == leaf).all()
+    held = B.Held([shard])
+    root = {c: x[:1] * 0 - (c in ("left", "right")) for c, x in tree.items()}
+    held.sums({0: (0, root, [0])}, {0: sizes}, {0: 0})
+    known = held.known[0, 0][1]
+    first = {c: x[:3].copy() for c, x in tree.items()}
+    first["left"][2] = first["right"][2] = -1
+    held.sums({0: (0, first, [1])}, {0: sizes}, {0: 0})
+    one = known[1]
+    got = held.sums({0: (0, tree, [3, 4])}, {0: sizes}, {0: 0})[0]
+    assert known[1] is one and sorted(known) == [0, 1, 2, 3, 4]
+    slot = np.where(leaf == 3, 0, np.where(leaf == 4, 1, -1))
+    assert (got == B.histograms(bins, sizes, slot, 2, *B.gradients(shard, 0))).all()
 
 
 def test_a_bounded_fit_needs_no_job_for_each_level():
     assert B.SHARD_ROWS >= 1.1 * C.SAMPLE_TARGET
 
 
-def test_of_equal_gains_the_first_feature_splits():
-    rng = np.random.default_rng(3)
-    one = rng.integers(0, 2, 900)
-    bins = np.asfortranarray(np.stack([1 - one, *rng.integers(0, 2, (12, 900)), one], axis=1).astype(np.uint8))
-    sizes, g, h = np.full(14, 2), one - 0.3 + 0.01 * rng.normal(size=900), rng.random(900)
-    tree = B.Growing(B.Spec(), sizes)
-    tree.learn(0, B.histogram(B.coded(bins, sizes), sizes, np.arange(900), g, h))
-    assert tree.split[0][1:3] == (0, 0)
-
-
 def test_leaf_values_of_rows_dealt_node_by_node():
     tree = {"left": np.array([1, 3, -1, -1, -1]), "right": np.array([2, 4, -1, -1, -1]), "feature": np.array([1, 0, -1, -1, -1]),
             "thr": np.array([0.5, 2.0, 0, 0, 0]), "value": np.array([0, 0, 1.0, 2.0, 3.0])}
