@@ -186,15 +186,17 @@ def q_tree_rules_check(spark, sf):
     """The rules of the tree's text part the rows: each test row meets one of them."""
     rules = [r["rule"] for r in q_tree_rules(spark, sf).collect()]          # at most 16
     prep = WF.fitted(spark, sf, "cart").stages[0]
+    # Names may differ by case alone (..._UNKNOWN, ..._Unknown): looked up here, never resolved as columns.
+    features = dict(zip(prep.feature_names(), prep.feature_exprs()))
     met = F.lit(0)
     for rule in rules:
         holds = F.lit(True)
         for part in filter(None, rule.split(" & ")):
             name, op, value = part.rsplit(" ", 2)
-            x, v = F.col(f"`{name}`"), F.lit(float(value))
+            x, v = features[name], F.lit(float(value))
             holds = holds & (x <= v if op == "<=" else x > v)
         met = met + holds.cast("int")
-    rows = prep.named(WF.test_rows(spark, sf)).select(met.alias("met"))
+    rows = WF.test_rows(spark, sf).select(met.alias("met"))
     return rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("met") == 0).alias("uncovered"),
                     F.count_if(F.col("met") > 1).alias("twice"))
 
